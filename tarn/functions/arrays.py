@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 256
@@ -75,3 +75,17 @@ def runs(flags: Column) -> Column:
         return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
 
     return let(flags, edges)
+
+
+def explode_rows(df: DataFrame, keep: list[str], arr: Column | str, pos: str, item: str) -> DataFrame:
+    """One row per element with its 0-based position.
+
+    The outer form with a null filter, because a plain explode makes the
+    optimizer add a ``size(arr) > 0`` filter below it, which evaluates an
+    expensive array expression twice.
+    """
+    return (
+        df.select(*keep, F.posexplode_outer(arr).alias(pos, item))
+        .filter(F.col(pos).isNotNull())
+        .withColumn(pos, F.col(pos).cast("long"))
+    )

@@ -14,7 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.arrays import indexes, let, prefix_states, running_offsets, runs, tail
+from tarn.functions.arrays import (
+    explode_rows,
+    indexes,
+    let,
+    prefix_states,
+    running_offsets,
+    runs,
+    tail,
+)
 from tarn.functions.text import count_tokens, slugify, strip, truncate_center
 
 # Fixed value: characters that end a sentence.
@@ -75,14 +83,12 @@ def header_sections(text: Column) -> Column:
 
 def split_headers(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per header section; empty text gives no rows."""
+    keep = [c for c in df.columns if c != text]
     return (
-        df.filter(F.length(text) > 0)
-        .select(
-            *[c for c in df.columns if c != text],
-            F.posexplode(header_sections(F.col(text))).alias("section_index", "_s"),
+        explode_rows(
+            df.filter(F.length(text) > 0), keep, header_sections(F.col(text)), "section_index", "_s"
         )
-        .select(*[c for c in df.columns if c != text], "section_index", "_s.*")
-        .withColumn("section_index", F.col("section_index").cast("long"))
+        .select(*keep, "section_index", "_s.*")
     )
 
 
@@ -110,8 +116,9 @@ def find_tables(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per table with its line range (0-based, inclusive)."""
     keep = [c for c in df.columns if c != text]
     return (
-        df.filter(F.contains(text, F.lit("|")))
-        .select(*keep, F.explode(table_runs(F.col(text))).alias("_t"))
+        explode_rows(
+            df.filter(F.contains(text, F.lit("|"))), keep, table_runs(F.col(text)), "_i", "_t"
+        )
         .select(*keep, "_t.*")
     )
 
@@ -212,10 +219,10 @@ def split_paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per paragraph with its character and line position."""
     keep = [c for c in df.columns if c != text]
     return (
-        df.select(*keep, F.posexplode(paragraphs(F.col(text))).alias("paragraph_index", "_p"))
+        explode_rows(df, keep, paragraphs(F.col(text)), "paragraph_index", "_p")
         .select(
             *keep,
-            F.col("paragraph_index").cast("long").alias("paragraph_index"),
+            "paragraph_index",
             F.col("_p.text").alias("text"),
             F.col("_p.start_pos").alias("start_pos"),
             F.col("_p.start_line").alias("start_line"),
@@ -427,7 +434,8 @@ def _with_pieces(df: DataFrame, cfg: ChunkConfig, whole: bool) -> DataFrame:
         )
     )
 
-    def one(sec: Column, i: Column) -> Column:
+    def one(z: Column) -> Column:
+        sec = z["_sections"]
         pieces = F.when(
             small(sec),
             F.array(
@@ -437,9 +445,7 @@ def _with_pieces(df: DataFrame, cfg: ChunkConfig, whole: bool) -> DataFrame:
                 )
             ),
         ).otherwise(
-            _section_pieces(
-                F.col("_paras")[i], F.col("_groups")[i], F.col("_cuts")[i], sec["start_pos"], cfg
-            )
+            _section_pieces(z["_paras"], z["_groups"], z["_cuts"], sec["start_pos"], cfg)
         )
         return F.transform(
             pieces,
@@ -451,7 +457,10 @@ def _with_pieces(df: DataFrame, cfg: ChunkConfig, whole: bool) -> DataFrame:
             ),
         )
 
-    return staged.withColumn("_pieces", F.flatten(F.transform("_sections", one))).drop(
+    # The arrays enter the lambda zipped: a column named inside it could be
+    # inlined there and evaluated anew for every section.
+    zipped = F.arrays_zip("_sections", "_paras", "_groups", "_cuts")
+    return staged.withColumn("_pieces", F.flatten(F.transform(zipped, one))).drop(
         "_sections", "_paras", "_groups", "_parts", "_cuts"
     )
 
@@ -468,8 +477,8 @@ def _one_section(text: str, start: Column) -> Column:
 
 
 def _explode_pieces(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.posexplode("_pieces").alias("_i", "_p")).select(
-        *keep, F.col("_i").cast("long").alias("piece_index"), "_p.*"
+    return explode_rows(df, keep, "_pieces", "piece_index", "_p").select(
+        *keep, "piece_index", "_p.*"
     )
 
 
@@ -672,10 +681,10 @@ def chunk_documents(df: DataFrame, cfg: ChunkConfig | None = None, text: str = "
     pieces = _with_pieces(sections, cfg, whole=True)
     windows = pieces.withColumn("_windows", _with_window(F.col("_pieces"), cfg))
     return with_anchor(
-        windows.select(*keep, F.posexplode(F.arrays_zip("_pieces", "_windows")).alias("_i", "_z"))
+        explode_rows(windows, keep, F.arrays_zip("_pieces", "_windows"), "chunk_index", "_z")
         .select(
             *keep,
-            F.col("_i").cast("long").alias("chunk_index"),
+            "chunk_index",
             "_z._pieces.*",
             "_z._windows.*",
         )
@@ -736,13 +745,19 @@ def chunk_sentences(df: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in df.columns if c != text]
     parts = sentences(F.col(text))
     return (
-        df.select(*keep, parts.alias("_s"))
-        .withColumn("_at", running_offsets(F.transform("_s", lambda s: F.length(s))))
-        .select(*keep, F.posexplode(F.arrays_zip("_s", "_at")).alias("_i", "_z"))
+        explode_rows(
+            df.select(*keep, parts.alias("_s")).withColumn(
+                "_at", running_offsets(F.transform("_s", lambda s: F.length(s)))
+            ),
+            keep,
+            F.arrays_zip("_s", "_at"),
+            "chunk_index",
+            "_z",
+        )
         .filter(F.col("_z._s").isNotNull())
         .select(
             *keep,
-            F.col("_i").cast("long").alias("chunk_index"),
+            "chunk_index",
             F.col("_z._at").alias("start_pos"),
             F.col("_z._s").alias("text"),
         )
@@ -893,7 +908,7 @@ def chunk_structured(reps: DataFrame) -> DataFrame:
     )
     keep = [c for c in reps.columns if c != "content"]
     return (
-        reps.select(*keep, F.posexplode(parts).alias("_i", "_c"))
-        .select(*keep, F.col("_i").cast("long").alias("chunk_index"), "_c.*")
+        explode_rows(reps, keep, parts, "chunk_index", "_c")
+        .select(*keep, "chunk_index", "_c.*")
     )
 
