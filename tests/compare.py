@@ -96,7 +96,7 @@ def main(argv: list[str]) -> int:
         i = argv.index("--sf")
         sf = argv[i + 1]
         argv = argv[:i] + argv[i + 2:]
-    names = [n for n in QUERIES if not argv or any(n == a or n.startswith(a + "*"[1:]) for a in argv)]
+    names = [n for n in QUERIES if not argv or any(n.startswith(a) or QUERIES[n].__module__.endswith("." + a) for a in argv)]
     spark, con, bad = session(), duck(sf), 0
     for name in names:
         try:
