@@ -154,11 +154,10 @@ def match_rules(files: DataFrame, rules: DataFrame, path: str = "path") -> DataF
     Only prefixes of a length some rule has are looked up, so this is an
     equi-join on the prefix text, not a comparison of every file with every rule.
     """
-    lengths = rules.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("_lengths"))
+    lengths = rules.agg(F.array_sort(F.collect_set(F.length("prefix")))).scalar()
     probes = (
         files.select(path).distinct()
-        .join(F.broadcast(lengths))  # one row: the distinct prefix lengths
-        .select(path, F.explode("_lengths").alias("_n"))
+        .select(path, F.explode(lengths).alias("_n"))
         .filter(F.col("_n") <= F.length(path))
         .withColumn("prefix", F.expr(f"substr({path}, 1, _n)"))
     )
