@@ -266,7 +266,7 @@ rows AS (
   FROM benchmark b JOIN orders ON o_custkey = b.item_id),
 hits AS (
   SELECT b.item_id AS query_id, 'doc_' || d.doc_id AS entity_id, '0' AS evidence_id, 'grep_hit' AS type, length(d.text)::double AS score, 2 AS o
-  FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+  FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
 alle AS (
   SELECT query_id, entity_id, '0' AS evidence_id, 'chunk' AS type, score, 0 AS o FROM lex WHERE rank <= 8
   UNION ALL SELECT * FROM rows UNION ALL SELECT * FROM hits),
@@ -284,13 +284,11 @@ def evidence_pack(spark, sf):
         F.col("item_id").alias("query_id"), F.lit("orders").alias("entity_id"),
         F.col("o_orderkey").cast("string").alias("evidence_id"),
     )
-    passages = table(spark, sf, "benchmark").agg(F.collect_list(F.struct("item_id", "text"))).scalar()
-    hits = (
-        table(spark, sf, "documents").withColumn("_b", passages)
-        .select("doc_id", F.length("text").cast("double").alias("score"),
-                F.explode(F.filter("_b", lambda b: F.contains(F.col("text"), b["text"]))).alias("_h"))
-        .select(F.col("_h.item_id").alias("query_id"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity_id"),
-                F.lit("0").alias("evidence_id"), "score")
+    lengths = table(spark, sf, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity_id"), F.length("text").cast("double").alias("score")
+    )
+    hits = S.substring_hits(text_index(spark, sf), text_queries(spark, sf)).join(lengths, "entity_id").select(
+        "query_id", "entity_id", F.col("chunk_index").cast("string").alias("evidence_id"), "score"
     )
     return S.evidence_pack(chunks, rows, hits, 8).select(
         "query_id", "type", "entity_id", "evidence_id", F.round("fused", 6).alias("fused")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.arrays import let
+from tarn.functions.sizes import is_small
+from tarn.session import durable
 
 KEY = ["entity_id", "rep_name", "chunk_index"]
 
@@ -24,6 +26,10 @@ BROADCAST_QUERIES = 2048
 # Block sides of the grid used beyond that.
 GRID_QUERIES = 1024
 GRID_VECTORS = 16384
+# Rows of a result or term list that may be broadcast.
+SMALL_ROWS = 500_000
+# Cells of a distance matrix held at once.
+_MATRIX_CELLS = 2_000_000
 
 
 def ensure_rep(index: DataFrame) -> DataFrame:
@@ -57,35 +63,63 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 
 class _TopK:
-    """The best ``k`` keys per query seen so far."""
+    """The best ``k`` keys per query seen so far, as flat arrays."""
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
-        self.best: list[pd.DataFrame | None] = [None] * n_queries
         self.limit = np.full(n_queries, np.inf)
+        self.pool: list[pd.DataFrame] = []
+        self.pooled = 0
 
     def add(self, keys: pd.DataFrame, dist: np.ndarray) -> None:
-        for i in range(dist.shape[0]):
-            row = dist[i]
-            cut = self.limit[i]
-            if len(row) > self.k:
-                cut = min(cut, np.partition(row, self.k - 1)[self.k - 1])
-            near = np.flatnonzero(row <= cut)
-            if not len(near):
-                continue
-            found = keys.iloc[near].assign(distance=row[near])
-            if self.best[i] is not None:
-                found = pd.concat([self.best[i], found], ignore_index=True)
-            found = found.sort_values(["distance", *KEY], kind="stable").head(self.k)
-            self.best[i] = found
-            if len(found) == self.k:
-                self.limit[i] = found["distance"].iloc[-1]
-
-    def rows(self, query_ids: Sequence) -> Iterator[pd.DataFrame]:
-        for qid, found in zip(query_ids, self.best):
-            if found is not None and np.isfinite(found["distance"]).any():
-                kept = found[np.isfinite(found["distance"])]
-                yield kept.assign(query_id=qid)[["query_id", *KEY, "distance"]]
+        """``keys`` must be sorted, so that column order breaks ties."""
+        cut = self.limit
+        if dist.shape[1] > self.k:
+            cut = np.minimum(cut, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
+        rows, cols = np.nonzero((dist <= cut[:, None]) & np.isfinite(dist))
+        near = dist[rows, cols]
+        order = np.lexsort((cols, near, rows))
+        rows, cols, near = rows[order], cols[order], near[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < self.k
+        if not kept.any():
+            return
+        found = keys.iloc[cols[kept]].reset_index(drop=True)
+        found["_q"], found["distance"] = rows[kept], near[kept]
+        self.pool.append(found)
+        self.pooled += len(found)
+        if self.pooled > 4 * self.k * len(self.limit):
+            self.shrink()
+
+    def shrink(self) -> pd.DataFrame:
+        merged = pd.concat(self.pool, ignore_index=True).sort_values(["_q", "distance", *KEY])
+        merged = merged[merged.groupby("_q").cumcount() < self.k]
+        sizes = merged.groupby("_q")["distance"].agg(["size", "max"])
+        full = sizes[sizes["size"] == self.k]
+        self.limit[full.index.to_numpy()] = full["max"].to_numpy()
+        self.pool, self.pooled = [merged], len(merged)
+        return merged
+
+    def result(self, query_ids: Sequence) -> pd.DataFrame:
+        columns = ["query_id", *KEY, "distance"]
+        if not self.pool:
+            return pd.DataFrame(columns=columns)
+        merged = self.shrink()
+        ids = pd.Series(list(query_ids), dtype=object).take(merged["_q"].to_numpy())
+        return merged.assign(query_id=ids.to_numpy())[columns].infer_objects()
+
+
+def _scan_block(top: _TopK, q: np.ndarray, keys: pd.DataFrame, v: np.ndarray, metric: str,
+                probed: np.ndarray | None = None, cell: np.ndarray | None = None) -> None:
+    """Feed vectors to ``top`` in slices that bound the distance matrix."""
+    order = keys.reset_index(drop=True).sort_values(KEY).index.to_numpy()
+    width = max(256, _MATRIX_CELLS // max(1, len(q)))
+    for at in range(0, len(order), width):
+        part = order[at:at + width]
+        dist = _distances(q, v[part], metric)
+        if probed is not None and cell is not None:
+            dist[~probed[:, cell[part]]] = np.inf
+        top.add(keys.iloc[part], dist)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -107,14 +141,14 @@ def conforming_vectors(df: DataFrame, dim: int, column: str = "embedding") -> Da
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "l2",
-            cells: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+            cells: np.ndarray | None = None) -> DataFrame:
     """``query_id``, chunk key and distance of the exact ``k`` nearest chunks.
 
     A query batch up to ``BROADCAST_QUERIES`` goes to every task as a matrix;
     the index is scanned once, each task keeps ``k`` rows per query, and only
     those are shuffled. Larger batches are cut into blocks, see ``_grid``.
     """
-    index = conforming_vectors(ensure_rep(index), dim).select(*KEY, "embedding", *(["cell"] if cells else []))
+    index = conforming_vectors(ensure_rep(index), dim).select(*KEY, "embedding", *(["cell"] if cells is not None else []))
     queries = conforming_vectors(queries, dim).select("query_id", "embedding")
     head = queries.orderBy("query_id").limit(BROADCAST_QUERIES + 1).collect()
     schema = _result_schema(index, queries)
@@ -125,25 +159,21 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, dim: int, metric: str
         matrix = np.array([r["embedding"] for r in head], dtype=np.float64).reshape(-1, dim)
         shared = index.sparkSession.sparkContext.broadcast((ids, matrix, cells))
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-            qids, q, probed = shared.value
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q, probe = shared.value
             top = _TopK(len(qids), k)
             for batch in batches:
                 if batch.num_rows == 0 or not qids:
                     continue
                 keys = pa.Table.from_batches([batch]).select(KEY).to_pandas()
-                dist = _distances(q, _matrix(batch.column("embedding"), q.shape[1]), metric)
-                if probed is not None:
-                    # probed[query, cell] says which cells a query looks into
-                    dist[~probed[1][:, batch.column("cell").to_numpy(zero_copy_only=False)]] = np.inf
-                top.add(keys, dist)
-            yield from top.rows(qids)
-
-        def scan_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for found in scan(batches):
+                cell = batch.column("cell").to_numpy(zero_copy_only=False) if probe is not None else None
+                # probe[query, cell] says which cells a query looks into
+                _scan_block(top, q, keys, _matrix(batch.column("embedding"), q.shape[1]), metric, probe, cell)
+            found = top.result(qids)
+            if len(found):
                 yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-        partial = index.mapInArrow(scan_arrow, schema)
+        partial = index.mapInArrow(scan, schema)
     return best_k(partial, k, [F.col("distance"), *map(F.col, KEY)])
 
 
@@ -161,15 +191,12 @@ def _grid(index: DataFrame, queries: DataFrame, k: int, metric: str, schema: str
     )
 
     def meet(vectors: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", *KEY, "distance"]
-        if vectors.empty or batch.empty:
-            return pd.DataFrame(columns=columns)
         top = _TopK(len(batch), k)
-        q = np.stack(batch["embedding"].to_list()).astype(np.float64)
-        v = np.stack(vectors["embedding"].to_list()).astype(np.float64)
-        top.add(vectors[KEY].reset_index(drop=True), _distances(q, v, metric))
-        found = list(top.rows(batch["query_id"].to_list()))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=columns)
+        if len(vectors) and len(batch):
+            q = np.stack(batch["embedding"].to_list()).astype(np.float64)
+            v = np.stack(vectors["embedding"].to_list()).astype(np.float64)
+            _scan_block(top, q, vectors[KEY], v, metric)
+        return top.result(batch["query_id"].to_list())
 
     return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(meet, schema)
 
@@ -178,14 +205,22 @@ def search_semantic(index: DataFrame, queries: DataFrame, k: int = 5, dim: int =
                     metric: str = "l2") -> DataFrame:
     """Nearest chunks with their payload; ``score`` is the distance, ascending."""
     found = nearest(index, queries, k, dim, metric).withColumnRenamed("distance", "score")
-    return with_payload(found, index).withColumn("search_type", F.lit("semantic"))
+    return with_payload(found, index, queries, k).withColumn("search_type", F.lit("semantic"))
+
 
+def with_payload(found: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Attach the other index columns to a ranked key list, vectors left out.
 
-def with_payload(found: DataFrame, index: DataFrame) -> DataFrame:
-    """Attach the other index columns to a ranked key list, vectors left out."""
+    A result has at most ``k`` rows per query. While that product is small the
+    result is broadcast to the scan and the index is not shuffled.
+    """
     index = ensure_rep(index)
     rest = [c for c in index.columns if c not in (*KEY, "embedding")]
-    return found.join(index.select(*KEY, *rest), KEY, "left") if rest else found
+    if not rest:
+        return found
+    if is_small(queries, max(1, SMALL_ROWS // k)):
+        found = F.broadcast(found)
+    return index.select(*KEY, *rest).join(found, KEY)
 
 
 # --- lexical --------------------------------------------------------------------
@@ -268,7 +303,11 @@ def rank_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame, k:
     """BM25 top ``k`` per query. Only postings of query terms get past the first
     join; a common term's postings are summed in part before they are shuffled."""
     asked = query_terms(queries)
-    matched = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    small = is_small(asked, SMALL_ROWS)
+    terms = asked.select("term").distinct()
+    matched = postings.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+    # Read twice below (document frequencies, scores): the texts are scanned once.
+    matched = durable(matched)
     n = stats.select("n").scalar()
     avgdl = stats.select("avgdl").scalar()
     df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -280,7 +319,7 @@ def rank_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame, k:
         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     )
     scored = (
-        matched.join(weighted, "term")
+        matched.join(F.broadcast(weighted) if small else weighted, "term")
         .groupBy("query_id", *KEY)
         .agg(F.round(F.sum(part), 9).alias("score"))
     )
@@ -290,7 +329,7 @@ def rank_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame, k:
 def search_lexical(index: DataFrame, queries: DataFrame, k: int = 5, payload: bool = True) -> DataFrame:
     """BM25 over ``text``."""
     found = rank_postings(lexical_postings(index), corpus_stats(index), queries, k)
-    found = with_payload(found, index) if payload else found
+    found = with_payload(found, index, queries, k) if payload else found
     return found.withColumn("search_type", F.lit("lexical"))
 
 
@@ -303,11 +342,12 @@ def search_lexical_written(spark, path: str, queries: DataFrame, k: int = 5, buc
     return rank_postings(pruned.drop("bucket"), stats, queries, k).withColumn("search_type", F.lit("lexical"))
 
 
-def search_substring(index: DataFrame, queries: DataFrame, k: int = 5, block: int = 512) -> DataFrame:
-    """Case-insensitive substring match, first ``k`` chunks in key order.
+def substring_hits(index: DataFrame, queries: DataFrame, block: int = 512) -> DataFrame:
+    """``query_id`` and chunk key of every case-insensitive substring match.
 
-    Queries travel as one array per block of them and are tested inside the
-    scan, so no pair of chunk and query exists before it matches.
+    Queries travel as one array per block of at most about ``block`` of them and
+    are tested inside the scan: no pair of chunk and query exists before it
+    matches, and the array has a known bound.
     """
     index = ensure_rep(index)
     n_blocks = max(1, -(-queries.count() // block))
@@ -327,7 +367,12 @@ def search_substring(index: DataFrame, queries: DataFrame, k: int = 5, block: in
             .select("_q.query_id", *KEY)
         )
         found = hits if found is None else found.unionByName(hits)
-    ranked = best_k(found, k, [F.col(c) for c in KEY])
+    return found
+
+
+def search_substring(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Substring matches, first ``k`` chunks in key order."""
+    ranked = best_k(substring_hits(index, queries), k, [F.col(c) for c in KEY])
     return ranked.withColumn("score", 1.0 / F.col("rank")).withColumn("search_type", F.lit("substring"))
 
 
@@ -372,7 +417,7 @@ def search_hybrid(index: DataFrame, queries: DataFrame, k: int = 5, dim: int = 1
     semantic = nearest(index, queries, 3 * k, dim, metric).drop("distance")
     lexical = search_lexical(index, queries, 3 * k, payload=False).drop("score", "search_type")
     fused = fuse_rrf([(semantic, semantic_weight), (lexical, lexical_weight)], k, rrf_k, key)
-    return with_payload(fused, index)
+    return with_payload(fused, index, queries, k)
 
 
 SEARCHES: dict[str, Callable[..., DataFrame]] = {
@@ -519,4 +564,4 @@ def search_ann(celled: DataFrame, queries: DataFrame, centres: np.ndarray, k: in
     mask = np.zeros((len(head), len(centres)), dtype=bool)
     np.put_along_axis(mask, near, True, axis=1)
     opened = celled.filter(F.col("cell").isin(sorted({int(c) for c in near.ravel()})))
-    return nearest(opened, sized, k, dim, metric, cells=(centres, mask))
+    return nearest(opened, sized, k, dim, metric, cells=mask)
