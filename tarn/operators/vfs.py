@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.arrays import explode_rows, indexes
+from tarn.functions.sizes import broadcast_if_small
 from tarn.functions.text import fnmatch_regex, split_lines
 from tarn.schema import TEXT_REPS, VIRTUAL_NAMES
 
@@ -78,7 +79,7 @@ def vfs_read(tree: DataFrame, reps: DataFrame, paths: DataFrame) -> DataFrame:
     """Path, entity, rep and content of the given file paths; directories give none."""
     wanted = vfs_stat(tree, paths).filter(F.col("type") == "file").select(*SCOPE, "path", "entity_id", "rep_type")
     return reps.select(*SCOPE, "entity_id", "rep_type", "content").join(
-        wanted, [*SCOPE, "entity_id", "rep_type"]
+        broadcast_if_small(wanted, 500_000), [*SCOPE, "entity_id", "rep_type"]
     )
 
 
@@ -92,7 +93,8 @@ def vfs_grep(tree: DataFrame, reps: DataFrame, pattern: str, prefix: str = "/",
     """Lines of text reps that match a case-insensitive regex, with line numbers and
     neighbouring lines; the first ``limit`` in path order.
 
-    Lines of a rep stay an array, so its context needs no window over lines.
+    Lines of a rep stay an array, so its context needs no window over lines, and
+    contents are searched where they lie: only matches meet the tree.
     """
     prefix = prefix.rstrip("/") or "/"
     try:
@@ -107,29 +109,27 @@ def vfs_grep(tree: DataFrame, reps: DataFrame, pattern: str, prefix: str = "/",
         texts, pattern = texts.filter(F.lit(False)), ""
     wanted = texts.select(*SCOPE, "path", "entity_id", "rep_type", "entity_type", "name")
     regex = F.lit("(?iu)" + pattern)
-    lined = (
-        reps.select(*SCOPE, "entity_id", "rep_type", "content")
-        .join(wanted, [*SCOPE, "entity_id", "rep_type"])
-        .withColumn("_lines", split_lines(F.col("content")))
-        .withColumn(
-            "_hits",
-            F.transform(
-                F.filter(
-                    F.arrays_zip(F.col("_lines").alias("line"), indexes(F.col("_lines")).alias("i")),
-                    lambda z: F.regexp_like(z["line"], regex),
-                ),
-                lambda z: z["i"],
+    key = [*SCOPE, "entity_id", "rep_type"]
+    candidates = reps.select(*key, "content").filter(F.col("rep_type").isin(*TEXT_REPS))
+    if prefix != "/":
+        candidates = candidates.join(broadcast_if_small(wanted.select(*key), 500_000), key, "left_semi")
+    lined = candidates.withColumn("_lines", split_lines(F.col("content"))).withColumn(
+        "_hits",
+        F.transform(
+            F.filter(
+                F.arrays_zip(F.col("_lines").alias("line"), indexes(F.col("_lines")).alias("i")),
+                lambda z: F.regexp_like(z["line"], regex),
             ),
-        )
+            lambda z: z["i"],
+        ),
     )
-    keep = [*SCOPE, "path", "entity_id", "rep_type", "entity_type", "name", "_lines"]
-    hits = explode_rows(lined, keep, "_hits", "_n", "_at")
+    hits = explode_rows(lined, [*key, "_lines"], "_hits", "_n", "_at")
     start = F.greatest(F.col("_at") - context, F.lit(0))
-    found = hits.select(
-        *SCOPE, F.col("path").alias("file_path"), (F.col("_at") + 1).cast("long").alias("line_number"),
+    matches = hits.select(
+        *key, (F.col("_at") + 1).cast("long").alias("line_number"),
         F.col("_lines")[F.col("_at")].alias("line_text"),
         F.slice("_lines", start + 1, F.col("_at") - start).alias("context_before"),
         F.slice("_lines", F.col("_at") + 2, F.lit(context)).alias("context_after"),
-        "entity_id", "rep_type", "entity_type", "name",
     )
+    found = matches.join(wanted, key).withColumnRenamed("path", "file_path")
     return found.orderBy(*SCOPE, "file_path", "line_number").limit(limit)
