@@ -582,14 +582,15 @@ def window_texts(texts: Column, centre: Column, limit: int) -> Column:
     return F.when(total > limit, truncate_window(texts, centre, limit)).otherwise(texts)
 
 
-def _with_window(pieces: Column, cfg: ChunkConfig) -> Column:
+def with_window(pieces: Column, cfg: ChunkConfig, field: str = "text") -> Column:
+    """Per piece the window around it, joined over ``field``."""
     half = cfg.half_window
 
     def one(p: Column, i: Column) -> Column:
         lo = F.greatest(i - half, F.lit(0))
         around = F.slice(pieces, lo + 1, F.least(i + half + 1, F.size(pieces)) - lo)
         kept = let(
-            F.transform(around, lambda c: c["text"]),
+            F.transform(around, lambda c: c[field]),
             lambda texts: window_texts(texts, i - lo, cfg.max_window_length),
         )
         return let(
@@ -679,7 +680,7 @@ def chunk_documents(df: DataFrame, cfg: ChunkConfig | None = None, text: str = "
         *keep, header_sections(F.col(text)).alias("_sections")
     )
     pieces = _with_pieces(sections, cfg, whole=True)
-    windows = pieces.withColumn("_windows", _with_window(F.col("_pieces"), cfg))
+    windows = pieces.withColumn("_windows", with_window(F.col("_pieces"), cfg))
     return with_anchor(
         explode_rows(windows, keep, F.arrays_zip("_pieces", "_windows"), "chunk_index", "_z")
         .select(
