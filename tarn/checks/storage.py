@@ -12,6 +12,42 @@ from tarn.session import scratch_path
 from tarn.sources import corpus as R
 from tarn.sources import index_table as X
 
+
+@query(
+    "scan_corpus",
+    """SELECT lang AS workspace_id, source AS collection_id, 'doc_' || doc_id AS entity_id, 'source/original' AS relpath, 'source_original' AS rep_type,
+       octet_length(encode(text)) AS size, substr(sha256(text), 1, 16) AS content_hash FROM documents WHERE lang <> 'en'""",
+)
+def scan_corpus(spark, sf):
+    """Documents other than English written as a corpus and read back."""
+    root = scratch_path(spark, "corpus")
+    where = ["workspace", "collection", "entity", "stage", "file"]
+    table(spark, sf, "documents").filter("lang <> 'en'").select(
+        F.col("lang").alias("workspace"), F.col("source").alias("collection"),
+        F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity"), F.lit("source").alias("stage"),
+        F.lit("original").alias("file"), F.col("text").alias("value"),
+    ).repartition("entity").write.partitionBy(*where).option("lineSep", "\x00").text(root)
+    files = R.scan_corpus(spark, root)
+    # The text writer ends every record with its separator.
+    body = F.expr("substring(content, 1, length(content) - 1)")
+    return files.select(
+        *R.ENTITY_KEY, "relpath", "rep_type", (F.col("size") - 1).alias("size"), F.sha2(body, 256).substr(1, 16).alias("content_hash")
+    )
+
+
+@query(
+    "migrate",
+    """SELECT page_id, 'canonical_md' AS rep_name, 2::bigint AS version, 1::bigint AS first_run, 0::bigint AS second_run FROM pages""",
+)
+def migrate(spark, sf):
+    once, version, first = X.migrate(table(spark, sf, "pages").select("page_id"), 1)
+    twice, version, second = X.migrate(once, version)
+    return twice.select(
+        "page_id", "rep_name", F.lit(version).cast("long").alias("version"),
+        F.lit(first).cast("long").alias("first_run"), F.lit(second).cast("long").alias("second_run"),
+    )
+
+
 KINDS = "CASE event_type WHEN 'click' THEN 'canonical_md' WHEN 'error' THEN 'ocr_text' WHEN 'purchase' THEN 'table_json' WHEN 'signup' THEN 'page_image' ELSE 'rep_pdf' END"
 
 
