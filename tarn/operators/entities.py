@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.functions.sizes import is_small
 from tarn.functions.text import decode_text, file_extension, hash16
 from tarn.schema import REP_DIMS
 
@@ -18,6 +19,9 @@ MODALITY_FORMATS = {
     "table": "csv tsv xlsx xls parquet",
 }
 
+# Watch rules that are looked up in the row.
+MAP_RULES = 200
+
 ENTITY_KEY = ["workspace_id", "collection_id", "entity_id"]
 
 
@@ -151,10 +155,24 @@ def parse_chunk_id(col: Column) -> Column:
 def match_rules(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """Each file with the rule of the longest ``prefix`` of its path (or none).
 
-    Only prefixes of a length some rule has are looked up, so this is an
-    equi-join on the prefix text, not a comparison of every file with every rule.
+    Only prefixes of a length some rule has are looked up. A rule set of up to
+    ``MAP_RULES`` rules travels as a map and is looked up in the row; a larger one
+    is joined on the prefix text. Files are never paired with rules that differ.
     """
-    lengths = rules.agg(F.array_sort(F.collect_set(F.length("prefix")))).scalar()
+    lengths = rules.agg(F.reverse(F.array_sort(F.collect_set(F.length("prefix"))))).scalar()
+    if is_small(rules, MAP_RULES):
+        table = rules.groupBy("prefix").agg(F.max("rule").alias("rule")).agg(
+            F.map_from_entries(F.collect_list(F.struct("prefix", "rule")))
+        ).scalar()
+        held = files.withColumn("_lengths", lengths).withColumn("_rules", table)
+        hits = F.filter(
+            F.transform(
+                F.filter("_lengths", lambda n: n <= F.length(path)),
+                lambda n: F.try_element_at("_rules", F.substring(F.col(path), F.lit(1), n)),
+            ),
+            lambda r: r.isNotNull(),
+        )
+        return held.withColumn("rule", F.get(hits, F.lit(0))).drop("_lengths", "_rules")
     probes = (
         files.select(path).distinct()
         .select(path, F.explode(lengths).alias("_n"))
@@ -328,35 +346,38 @@ def chunk_counts(entities: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_status(entities: DataFrame, reps: DataFrame, index: DataFrame) -> DataFrame:
-    """Per entity: which of the known reps exist, the stage reached and index state.
+def reps_by_type(reps: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """One row per entity with a struct column ``_{rep_type}`` per known rep type.
 
-    Known rep types are a fixed list, so the matrix is an array built in place
-    from one aggregate over the reps.
+    The types are a fixed list, so this is a plain aggregate with partial results
+    and no collected list, however many files an entity has.
     """
-    present = reps.groupBy("entity_id").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("rep_type", F.struct("content_hash", "transform", "status")))
-        ).alias("_reps")
-    )
-    joined = entities.join(present, "entity_id", "left").join(chunk_counts(entities, index), "entity_id", "left")
-    have = F.coalesce(
-        F.col("_reps"), F.create_map().cast("map<string,struct<content_hash:string,transform:string,status:string>>")
-    )
-    matrix = F.array(
+    return reps.groupBy(*keys).agg(
         *[
-            F.struct(
-                F.lit(rep).alias("rep_type"),
-                F.map_contains_key(have, F.lit(rep)).alias("exists"),
-                F.coalesce(F.try_element_at(have, F.lit(rep))["content_hash"], F.lit("")).alias("content_hash"),
-                (F.coalesce(F.try_element_at(have, F.lit(rep))["status"], F.lit("")) == "active").alias("indexed"),
-                F.coalesce(F.try_element_at(have, F.lit(rep))["transform"], F.lit("")).alias("source_step"),
-            )
+            F.max(F.when(F.col("rep_type") == rep, F.struct(*fields))).alias(f"_{rep}")
             for rep, *_ in REP_DIMS
         ]
     )
-    source = F.map_contains_key(have, F.lit("source_original"))
-    canonical = F.map_contains_key(have, F.lit("canonical_md"))
+
+
+def pipeline_status(entities: DataFrame, reps: DataFrame, index: DataFrame) -> DataFrame:
+    """Per entity: which of the known reps exist, the stage reached and index state."""
+    present = reps_by_type(reps, ["entity_id"], ["content_hash", "transform", "status"])
+    joined = entities.join(present, "entity_id", "left").join(chunk_counts(entities, index), "entity_id", "left")
+
+    def rep(name: str) -> Column:
+        found = F.col(f"_{name}")
+        return F.struct(
+            F.lit(name).alias("rep_type"),
+            found.isNotNull().alias("exists"),
+            F.coalesce(found["content_hash"], F.lit("")).alias("content_hash"),
+            (F.coalesce(found["status"], F.lit("")) == "active").alias("indexed"),
+            F.coalesce(found["transform"], F.lit("")).alias("source_step"),
+        )
+
+    matrix = F.array(*[rep(name) for name, *_ in REP_DIMS])
+    source = F.col("_source_original").isNotNull()
+    canonical = F.col("_canonical_md").isNotNull()
     stage = (
         F.when(source & canonical, F.lit("completed"))
         .when(source, F.lit("processing"))

@@ -118,9 +118,6 @@ def detect_drift(dirs: DataFrame, meta: DataFrame, reps: DataFrame, index: DataF
     seen = reps.groupBy(*ENTITY_KEY).agg(
         *[F.coalesce(F.bool_or(F.col("rep_type") == r), F.lit(False)).alias(f"has_{r}") for r in REQUIRED_REPS],
         F.max(F.when(F.col("rep_type") == "source_original", F.col("content_hash"))).alias("actual"),
-        F.array_sort(
-            F.collect_set(F.when(~F.col("rep_type").isin(*known), F.col("rep_type")))
-        ).alias("extra"),
     )
     indexed = _fingerprint(index, "i")
     entities = (
@@ -151,17 +148,19 @@ def detect_drift(dirs: DataFrame, meta: DataFrame, reps: DataFrame, index: DataF
             F.concat(F.lit("recorded="), "recorded", F.lit(", actual="), "actual"),
         ),
         drift(have["canonical_md"] & ~is_indexed, "missing_index", F.lit("canonical_md is not indexed")),
-        drift(F.size(F.coalesce("extra", F.array().cast("array<string>"))) > 0, "extra_file",
-              F.array_join("extra", ",")),
     ]
     if chunks is not None:
         differs = (F.coalesce("c_count", F.lit(0)) != F.col("i_count")) | (
             F.coalesce("c_sum", F.lit(0)) != F.col("i_sum")
         )
         found.append(drift(is_indexed & differs, "stale_index", F.lit("index differs from the chunks")))
-    return entities.select(
+    drifts = entities.select(
         *ENTITY_KEY, F.explode(F.filter(F.array(*found), lambda d: d.isNotNull())).alias("_d")
     ).select(*ENTITY_KEY, "_d.*")
+    extra = reps.filter(~F.col("rep_type").isin(*known)).select(
+        *ENTITY_KEY, F.lit("extra_file").alias("drift_type"), F.col("rep_type").alias("detail")
+    )
+    return drifts.unionByName(extra.distinct())
 
 
 def _fingerprint(chunks: DataFrame, prefix: str) -> DataFrame:

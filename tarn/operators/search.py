@@ -414,6 +414,7 @@ def search_hybrid(index: DataFrame, queries: DataFrame, k: int = 5, dim: int = 1
                   semantic_weight: float = 0.7, lexical_weight: float = 0.3, metric: str = "l2",
                   key: Sequence[str] = ("entity_id", "chunk_index")) -> DataFrame:
     """Both channels with ``3k`` rows each, fused; texts join the final rows only."""
+    queries = durable(queries)  # read by both channels and counted
     semantic = nearest(index, queries, 3 * k, dim, metric).drop("distance")
     lexical = search_lexical(index, queries, 3 * k, payload=False).drop("score", "search_type")
     fused = fuse_rrf([(semantic, semantic_weight), (lexical, lexical_weight)], k, rrf_k, key)

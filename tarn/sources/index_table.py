@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.functions.sizes import broadcast_if_small
+from tarn.session import durable
+
 PARTITIONS = ["workspace_id", "collection_id", "rep_name", "shard"]
 REP_KEY = ["workspace_id", "collection_id", "entity_id", "rep_name"]
 SHARDS = 64
+# Partitions that are named in a filter; more are found by a join.
+MAX_PRUNED = 10_000
 
 
 def with_shard(df: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -45,26 +50,39 @@ def read_chunk_index(spark: SparkSession, path: str, workspace: str | None = Non
     return index.drop("shard")
 
 
-def replace_reps(target: DataFrame, staged: DataFrame) -> DataFrame:
-    """``target`` with every (entity, rep) found in ``staged`` replaced by it."""
+def replace_reps(target: DataFrame, staged: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """``target`` with every (entity, rep) found in ``staged`` replaced by it.
+
+    ``touched`` are the keys of ``staged`` where the caller has them at hand.
+    """
     keys = [k for k in REP_KEY if k in staged.columns and k in target.columns]
-    touched = staged.select(*keys).distinct()
+    if touched is None:
+        touched = staged.select(*keys).distinct()
     return target.join(touched, keys, "left_anti").unionByName(staged, allowMissingColumns=True)
 
 
+def _partition_name() -> Column:
+    return F.concat_ws("/", *[F.col(c).cast("string") for c in PARTITIONS])
+
+
 def sync_index(spark: SparkSession, path: str, staged: DataFrame, shards: int = SHARDS) -> int:
     """Bring staged chunks into a written index and return their number.
 
     Only the partitions (collection, rep, shard) that staged rows fall into are
     read and rewritten. Running it again with the same rows changes nothing.
     """
-    from tarn.session import durable
-
     fresh = durable(with_shard(staged, shards))
-    touched = fresh.select(*PARTITIONS).distinct()
-    current = spark.read.parquet(path).join(touched, PARTITIONS, "left_semi")
+    index = spark.read.parquet(path)
+    names = fresh.select(_partition_name().alias("name")).distinct()
+    head = names.limit(MAX_PRUNED + 1).collect()
+    if len(head) <= MAX_PRUNED:
+        # A filter on partition columns alone: the other directories are not listed.
+        current = index.filter(_partition_name().isin([r["name"] for r in head]))
+    else:
+        current = index.join(fresh.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+    touched = broadcast_if_small(fresh.select(*REP_KEY).distinct(), 500_000)
     # The result is stored before it overwrites the files it was read from.
-    merged = durable(replace_reps(current, fresh))
+    merged = durable(replace_reps(current, fresh, touched))
     write_chunk_index(merged.drop("shard"), path, shards)
     return fresh.count()
 
