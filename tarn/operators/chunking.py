@@ -38,12 +38,14 @@ _GAP_COPY = "(?U)(\\n\\s*\\n)"
 class ChunkConfig:
     """Chunking limits. ``compat`` reproduces the offsets of the first
     implementation, where a paragraph position counts lines instead of
-    characters and a hard cut does not advance the position."""
+    characters and a hard cut does not advance the position. ``tokens`` counts
+    the tokens of a text by a column expression."""
 
     chunk_tokens: int = 256
     window_size: int = 9
     max_window_length: int = 12000
     compat: bool = False
+    tokens: Callable[[Column], Column] = count_tokens
 
     @property
     def half_window(self) -> int:
@@ -233,23 +235,20 @@ def split_paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
 # --- greedy packing --------------------------------------------------------
 
 
-def pack(sizes: Column, limit: int) -> Column:
-    """Greedy groups over ``array<bigint>`` of character counts.
+def pack(tokens: Column, limit: int) -> Column:
+    """Greedy groups over ``array<bigint>`` of token counts.
 
-    Returns ``array<struct<first, last, tokens, big>>``: item ranges whose token
-    estimates add up to at most ``limit``; an item above it stands alone.
+    Returns ``array<struct<first, last, tokens, big>>``: item ranges whose counts
+    add up to at most ``limit``; an item above it stands alone.
     """
 
-    def step(prev: Column, n: Column) -> Column:
+    def step(prev: Column, t: Column) -> Column:
         return let(
-            F.floor(n / 4).cast("long"),
-            lambda t: let(
-                ~prev["big"] & (t <= limit) & (prev["tokens"] + t <= limit),
-                lambda joins: F.struct(
-                    F.when(joins, prev["tokens"] + t).otherwise(t).alias("tokens"),
-                    (t > limit).alias("big"),
-                    (~joins).alias("opens"),
-                ),
+            ~prev["big"] & (t <= limit) & (prev["tokens"] + t <= limit),
+            lambda joins: F.struct(
+                F.when(joins, prev["tokens"] + t).otherwise(t).alias("tokens"),
+                (t > limit).alias("big"),
+                (~joins).alias("opens"),
             ),
         )
 
@@ -275,7 +274,7 @@ def pack(sizes: Column, limit: int) -> Column:
             ),
         )
 
-    return let(tail(prefix_states(sizes, zero, step)), ranges)
+    return let(tail(prefix_states(tokens, zero, step)), ranges)
 
 
 def _piece(text: Column, start: Column, tokens: Column, chars: Column, kind: str | Column,
@@ -319,8 +318,8 @@ def _forced_pieces(parts: Column, groups: Column, offsets: Column, start: Column
                 g["big"],
                 F.filter(
                     F.array(
-                        _cut(F.substring(b["t"], 1, cut), b["at"]),
-                        _cut(F.substring(b["t"], F.lit(cut + 1), F.length(b["t"])), b["at"] + cut),
+                        _cut(F.substring(b["t"], 1, cut), b["at"], cfg),
+                        _cut(F.substring(b["t"], F.lit(cut + 1), F.length(b["t"])), b["at"] + cut, cfg),
                     ),
                     lambda c: c["chunk_chars"] > 0,
                 ),
@@ -335,8 +334,8 @@ def _forced_pieces(parts: Column, groups: Column, offsets: Column, start: Column
     return F.flatten(F.transform(groups, one))
 
 
-def _cut(text: Column, start: Column) -> Column:
-    return _piece(text, start, count_tokens(text), F.length(text), "forced_split", F.lit(True))
+def _cut(text: Column, start: Column, cfg: ChunkConfig) -> Column:
+    return _piece(text, start, cfg.tokens(text), F.length(text), "forced_split", F.lit(True))
 
 
 def _section_pieces(paras: Column, groups: Column, cuts: Column, start: Column,
@@ -381,11 +380,11 @@ def _with_pieces(df: DataFrame, cfg: ChunkConfig, whole: bool) -> DataFrame:
     """
 
     def small(sec: Column) -> Column:
-        return count_tokens(sec["text"]) <= cfg.chunk_tokens if whole else F.lit(False)
+        return cfg.tokens(sec["text"]) <= cfg.chunk_tokens if whole else F.lit(False)
 
     def advance(s: Column) -> Column:
         if cfg.compat:
-            return F.when(F.floor(F.length(s) / 4) > cfg.chunk_tokens, 0).otherwise(F.length(s))
+            return F.when(cfg.tokens(s) > cfg.chunk_tokens, 0).otherwise(F.length(s))
         return F.length(s)
 
     no_parts = F.array().cast("array<string>")
@@ -400,7 +399,8 @@ def _with_pieces(df: DataFrame, cfg: ChunkConfig, whole: bool) -> DataFrame:
         .withColumn(
             "_groups",
             F.transform(
-                "_paras", lambda ps: pack(F.transform(ps, lambda p: p["n"]), cfg.chunk_tokens)
+                "_paras",
+                lambda ps: pack(F.transform(ps, lambda p: cfg.tokens(p["text"])), cfg.chunk_tokens),
             ),
         )
         .withColumn(
@@ -410,7 +410,7 @@ def _with_pieces(df: DataFrame, cfg: ChunkConfig, whole: bool) -> DataFrame:
                 lambda ps: F.transform(
                     ps,
                     lambda p: F.when(
-                        F.floor(p["n"] / 4) > cfg.chunk_tokens, sentences(p["text"], cfg.compat)
+                        cfg.tokens(p["text"]) > cfg.chunk_tokens, sentences(p["text"], cfg.compat)
                     ).otherwise(no_parts),
                 ),
             ),
@@ -424,8 +424,7 @@ def _with_pieces(df: DataFrame, cfg: ChunkConfig, whole: bool) -> DataFrame:
                     lambda parts: F.struct(
                         parts.alias("parts"),
                         pack(
-                            F.transform(parts, lambda s: F.length(s).cast("long")),
-                            cfg.chunk_tokens,
+                            F.transform(parts, lambda s: cfg.tokens(s)), cfg.chunk_tokens
                         ).alias("groups"),
                         running_offsets(F.transform(parts, advance)).alias("offsets"),
                     ),
@@ -440,7 +439,7 @@ def _with_pieces(df: DataFrame, cfg: ChunkConfig, whole: bool) -> DataFrame:
             small(sec),
             F.array(
                 _piece(
-                    sec["text"], sec["start_pos"], count_tokens(sec["text"]),
+                    sec["text"], sec["start_pos"], cfg.tokens(sec["text"]),
                     F.length(sec["text"]), "header_chunk", F.lit(False),
                 )
             ),
@@ -725,19 +724,27 @@ def index_reps(reps: DataFrame, rules: DataFrame, cfg: ChunkConfig | None = None
 
 
 def chunk_fixed(df: DataFrame, size: int, overlap: int = 0, text: str = "text") -> DataFrame:
-    """Fixed-size character chunks; the last one ends with the text."""
+    """Fixed-size character chunks; the last one ends with the text.
+
+    The text is cut once into strides and a chunk is put together from
+    neighbouring ones: no substring is searched from the start of the text, and
+    the exploded rows do not carry the text along.
+    """
     stride = size - overlap
+    span = -(-size // stride)
     keep = [c for c in df.columns if c != text]
+    strides = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{stride}}}"), 0)
     last = F.greatest(F.ceil((F.length(text) - size) / stride), F.lit(0)).cast("int")
-    return (
-        df.filter(F.length(text) > 0)
-        .select(*keep, text, F.explode(F.sequence(F.lit(0), last)).alias("_i"))
-        .select(
-            *keep,
-            F.col("_i").cast("long").alias("chunk_index"),
-            (F.col("_i") * stride).cast("long").alias("start_pos"),
-            F.substring(F.col(text), F.col("_i") * stride + 1, F.lit(size)).alias("text"),
-        )
+    chunks = let(
+        strides,
+        lambda s: F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.substring(F.array_join(F.slice(s, i + 1, F.lit(span)), ""), F.lit(1), F.lit(size)),
+        ),
+    )
+    rows = explode_rows(df.filter(F.length(text) > 0), keep, chunks, "chunk_index", "_c")
+    return rows.select(
+        *keep, "chunk_index", (F.col("chunk_index") * stride).alias("start_pos"), F.col("_c").alias("text")
     )
 
 

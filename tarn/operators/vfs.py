@@ -113,23 +113,19 @@ def vfs_grep(tree: DataFrame, reps: DataFrame, pattern: str, prefix: str = "/",
     candidates = reps.select(*key, "content").filter(F.col("rep_type").isin(*TEXT_REPS))
     if prefix != "/":
         candidates = candidates.join(broadcast_if_small(wanted.select(*key), 500_000), key, "left_semi")
-    lined = candidates.withColumn("_lines", split_lines(F.col("content"))).withColumn(
-        "_hits",
-        F.transform(
-            F.filter(
-                F.arrays_zip(F.col("_lines").alias("line"), indexes(F.col("_lines")).alias("i")),
-                lambda z: F.regexp_like(z["line"], regex),
-            ),
-            lambda z: z["i"],
-        ),
-    )
-    hits = explode_rows(lined, [*key, "_lines"], "_hits", "_n", "_at")
-    start = F.greatest(F.col("_at") - context, F.lit(0))
-    matches = hits.select(
-        *key, (F.col("_at") + 1).cast("long").alias("line_number"),
-        F.col("_lines")[F.col("_at")].alias("line_text"),
-        F.slice("_lines", start + 1, F.col("_at") - start).alias("context_before"),
-        F.slice("_lines", F.col("_at") + 2, F.lit(context)).alias("context_after"),
-    )
+    lined = candidates.withColumn("_lines", split_lines(F.col("content")))
+
+    def with_context(z: Column) -> Column:
+        start = F.greatest(z["i"] - context, F.lit(0))
+        return F.struct(
+            (z["i"] + 1).cast("long").alias("line_number"),
+            z["line"].alias("line_text"),
+            F.slice("_lines", start + 1, z["i"] - start).alias("context_before"),
+            F.slice("_lines", z["i"] + 2, F.lit(context)).alias("context_after"),
+        )
+
+    numbered = F.arrays_zip(F.col("_lines").alias("line"), indexes(F.col("_lines")).alias("i"))
+    hits = F.transform(F.filter(numbered, lambda z: F.regexp_like(z["line"], regex)), with_context)
+    matches = explode_rows(lined, key, hits, "_n", "_m").select(*key, "_m.*")
     found = matches.join(wanted, key).withColumnRenamed("path", "file_path")
     return found.orderBy(*SCOPE, "file_path", "line_number").limit(limit)

@@ -70,6 +70,13 @@ def test_packing_with_first_offsets(docs):
     assert [r[0] for r in compat] == [0, 11, 43, 11]
 
 
+def test_own_token_count(docs):
+    words = lambda c: F.size(F.split(c, " ")).cast("long")
+    cfg = C.ChunkConfig(chunk_tokens=3, tokens=words)
+    got = rows(C.chunk_documents(docs("a b\n\nc\n\nd e. f g h i."), cfg), "text", "token_count")
+    assert got == [("a b\n\nc", 3), ("d e.", 2), (" f g h i.", 5)]
+
+
 def test_window_truncation(spark):
     texts = F.array(*[F.lit("x" * n) for n in (5, 3, 10, 4, 6)])
     kept = one(spark, C.truncate_window(texts, F.lit(2), 20))
