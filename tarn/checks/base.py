@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions.sizes import spread
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +30,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents", *columns: str) -> DataFrame:
+    """A table whose rows are costly to process, on all cores."""
+    return spread(table(spark, sf, name).select(*(columns or ("*",))))
+
+
 # --- inputs derived row by row from the given tables -------------------------
 
 MD_SQL = r"""md AS (
@@ -39,7 +46,7 @@ MD_SQL = r"""md AS (
 def markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as Markdown: a title, and a heading before every paragraph."""
     body = F.regexp_replace("text", "\\.\n([^ \n]+) ", ".\n\n## $1\n$1 ")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id",
         F.concat(F.lit("# doc "), F.col("doc_id").cast("string"), F.lit("\n"), body).alias("text"),
     )
@@ -51,7 +58,7 @@ PARA_SQL = r"""paras_in AS (
 
 def blank_separated(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a blank line after every line that ends a sentence."""
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.regexp_replace("text", "\\.\n", ".\n\n").alias("text")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.checks.base import MD_SQL, PARA_SQL, blank_separated, markdown, query, table
+from tarn.checks.base import MD_SQL, PARA_SQL, blank_separated, markdown, query, table, texts
 from tarn.functions.text import count_tokens, slugify, truncate_center
 from tarn.operators import chunking as C
 
@@ -175,7 +175,7 @@ def pack_paragraphs(spark, sf):
 SELECT doc_id, chunk_index AS piece_index, text, start_pos, end_pos, token_count, chunk_type, is_truncated FROM pieces""",
 )
 def split_sentences(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    docs = texts(spark, sf).select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     return C.split_long_paragraphs(docs, 32).drop("header", "level", "chunk_chars")
 
 
@@ -321,7 +321,7 @@ placed AS (
 
 @query("chunk_sentences", f"WITH {SENTENCES_SQL} SELECT doc_id, chunk_index, start_pos, text FROM placed")
 def chunk_sentences(spark, sf):
-    return C.chunk_sentences(table(spark, sf, "documents").select("doc_id", "text"))
+    return C.chunk_sentences(texts(spark, sf, "documents", "doc_id", "text"))
 
 
 @query(
@@ -331,7 +331,7 @@ SELECT doc_id, chunk_index, text FROM placed
 QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id, chunk_index) = 1""",
 )
 def dedup_chunks(spark, sf):
-    chunks = C.chunk_sentences(table(spark, sf, "documents").select("doc_id", "text"))
+    chunks = C.chunk_sentences(texts(spark, sf, "documents", "doc_id", "text"))
     return C.dedup_chunks(chunks, "doc_id").select("doc_id", "chunk_index", "text")
 
 
@@ -470,7 +470,7 @@ def index_reps(spark, sf):
     steps = F.expr(
         "CASE lang WHEN 'en' THEN 'md_passthru' WHEN 'fr' THEN 'png_to_md' WHEN 'es' THEN 'ocr_to_txt' ELSE 'pdf_to_png' END"
     )
-    reps = table(spark, sf, "documents").select(
+    reps = texts(spark, sf).select(
         "doc_id", steps.alias("transform"), F.col("text").alias("content")
     )
     chunks = C.index_reps(reps, rules, embed=lambda df: embed(df, hashed_embedder(32)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.checks.base import markdown, query, table
+from tarn.checks.base import markdown, query, table, texts
 from tarn.checks.chunking import LINES_SQL
 from tarn.functions.arrays import explode_rows
 from tarn.operators import library as B
@@ -20,7 +20,7 @@ DEEP_SQL = r"""deep AS (
 
 def deep(spark, sf):
     body = F.regexp_replace("text", "\\.\n([^ \n]+) ", ".\n### Page 7 $1\n$1 ")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", "lang",
         F.concat(F.lit("# Source "), "source", F.lit('<a id="s'), "source", F.lit('"></a>\n## '), "lang",
                  F.lit("\n---\n## Contents\n1. one\n"), body).alias("text"),

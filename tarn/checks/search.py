@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.checks.base import query, table
+from tarn.checks.base import query, table, texts
 from tarn.checks.entities import with_status
 from tarn.functions.vectors import cosine, l2_normalize, mrl_truncate
 from tarn.operators import search as S
@@ -107,7 +107,7 @@ def mrl_topk(spark, sf):
 
 
 def text_index(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text").select(
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity_id"),
         F.lit("canonical_md").alias("rep_name"),
         F.lit(0).cast("long").alias("chunk_index"),

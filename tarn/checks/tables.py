@@ -82,14 +82,24 @@ def profile_top_values(spark, sf):
     )
 
 
-@query("preview_small", "SELECT s_suppkey, s_name FROM supplier")
+PREVIEW_SQL = """WITH n AS (SELECT count(*) AS n FROM {t})
+SELECT {c} FROM {t}, n QUALIFY n < 1000 OR row_number() OVER (ORDER BY {k}) <= 50 OR row_number() OVER (ORDER BY {k} DESC) <= 50"""
+
+
+@query("preview_small", PREVIEW_SQL.format(t="supplier", k="s_suppkey", c="s_suppkey, s_name"))
 def preview_small(spark, sf):
     return Q.preview(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
 
 
-@query("preview_medium", "(SELECT o_orderkey, o_totalprice FROM orders ORDER BY 1 LIMIT 50) UNION ALL (SELECT o_orderkey, o_totalprice FROM orders ORDER BY 1 DESC LIMIT 50)")
+@query("preview_medium", PREVIEW_SQL.format(t="customer", k="c_custkey", c="c_custkey, c_name"))
 def preview_medium(spark, sf):
-    return Q.preview(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return Q.preview(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("preview_large")
+def preview_large(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return Q.preview(lines.select("line_id", "l_quantity"), "line_id")
 
 
 @query("preview_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100")
