@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,11 +232,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), 0)
 
 
-def lexical_postings(index: DataFrame) -> DataFrame:
-    """``term, tf, dl`` per chunk and distinct term.
+def lexical_terms(index: DataFrame) -> DataFrame:
+    """Chunk key, ``dl`` and ``terms``, an array of distinct ``term`` with its ``tf``.
 
-    Term counts come from the sorted token array of the row itself, so building
-    the postings needs no shuffle.
+    Counts come from the sorted token array of the row itself: no shuffle.
     """
 
     def counted(sorted_tokens: Column) -> Column:
@@ -255,12 +255,16 @@ def lexical_postings(index: DataFrame) -> DataFrame:
         )
 
     listed = ensure_rep(index).select(*KEY, F.array_sort(tokens(F.col("text"))).alias("_tokens"))
+    return listed.select(
+        *KEY, F.size("_tokens").cast("long").alias("dl"), let(F.col("_tokens"), counted).alias("terms")
+    )
+
+
+def lexical_postings(index: DataFrame) -> DataFrame:
+    """``term, tf, dl`` per chunk and distinct term."""
     return (
-        listed.select(
-            *KEY,
-            F.size("_tokens").cast("long").alias("dl"),
-            F.explode_outer(let(F.col("_tokens"), counted)).alias("_p"),
-        )
+        lexical_terms(index)
+        .select(*KEY, "dl", F.explode_outer("terms").alias("_p"))
         .filter(F.col("_p").isNotNull())
         .select(F.col("_p.term").alias("term"), *KEY, F.col("_p.tf").alias("tf"), "dl")
     )
@@ -300,8 +304,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def rank_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame, k: int,
                   k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 top ``k`` per query. Only postings of query terms get past the first
-    join; a common term's postings are summed in part before they are shuffled."""
+    """BM25 top ``k`` per query from a postings table, for query tables of any size.
+
+    Only postings of query terms get past the first join; a common term's postings
+    are summed in part before they are shuffled."""
     asked = query_terms(queries)
     small = is_small(asked, SMALL_ROWS)
     terms = asked.select("term").distinct()
@@ -326,9 +332,115 @@ def rank_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame, k:
     return best_k(scored, k, [F.desc("score"), *map(F.col, KEY)])
 
 
+def _bm25_state(ids: list, terms: list[list[str]], df: dict[str, int], n: int, total: int,
+                k1: float, b: float) -> dict:
+    """Query terms with their weights as plain arrays, fit for a broadcast."""
+    vocabulary = sorted({t for query in terms for t in query if df.get(t)})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    asked = sorted((place[t], q) for q, query in enumerate(terms) for t in query if t in place)
+    sizes = np.bincount(np.array([t for t, _ in asked], dtype=np.int64), minlength=len(place)).astype(np.int64)
+    freq = np.array([df[t] for t in vocabulary], dtype=np.float64)
+    return {
+        "ids": ids,
+        "k1": k1,
+        "b": b,
+        "avgdl": total / n if n else 1.0,
+        "vocabulary": vocabulary,
+        "queries": np.array([q for _, q in asked], dtype=np.int64),
+        "sizes": sizes,
+        "starts": np.cumsum(sizes) - sizes,
+        "idf": np.log(1 + (n - freq + 0.5) / (freq + 0.5)),
+    }
+
+
+class _Bm25:
+    """Scores batches of chunks for all queries."""
+
+    def __init__(self, state: dict):
+        self.__dict__.update(state)
+
+    def scan(self, top: _TopK, batch: pa.RecordBatch) -> None:
+        """Score the chunks of a batch for all queries and feed ``top``."""
+        keys = pa.Table.from_batches([batch]).select(KEY).to_pandas()
+        order = keys.sort_values(KEY).index.to_numpy()
+        lists = batch.column("terms")
+        flat = lists.flatten()
+        found = pc.index_in(flat.field("term"), value_set=pa.array(self.vocabulary, pa.string()))
+        hit = found.is_valid().to_numpy(zero_copy_only=False)
+        term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        tf = flat.field("tf").to_numpy(zero_copy_only=False)[hit].astype(np.float64)
+        rows = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy(zero_copy_only=False))[hit]
+        dl = batch.column("dl").to_numpy(zero_copy_only=False)[rows].astype(np.float64)
+        weight = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / self.avgdl))
+        # Rows numbered in key order, so that ties break by key.
+        position = np.empty(len(order), dtype=np.int64)
+        position[order] = np.arange(len(order))
+        rows = position[rows]
+        by_row = np.argsort(rows, kind="stable")
+        rows, term, weight = rows[by_row], term[by_row], weight[by_row]
+        pairs = self.sizes[term].sum() / max(1, len(order))
+        width = int(max(32, min(_MATRIX_CELLS // max(1, len(self.ids)), 2 * _MATRIX_CELLS // max(1.0, pairs))))
+        for at in range(0, len(order), width):
+            part = order[at:at + width]
+            lo, hi = np.searchsorted(rows, [at, at + width])
+            times = self.sizes[term[lo:hi]]
+            total = int(times.sum())
+            if total == 0:
+                continue
+            ahead = np.cumsum(times) - times
+            which = np.repeat(self.starts[term[lo:hi]] - ahead, times) + np.arange(total)
+            cell = self.queries[which] * len(part) + np.repeat(rows[lo:hi] - at, times)
+            score = np.bincount(cell, np.repeat(weight[lo:hi], times), len(self.ids) * len(part))
+            score = np.round(score.reshape(len(self.ids), len(part)), 9)
+            top.add(keys.iloc[part], np.where(score > 0, -score, np.inf))
+
+
+def rank_chunks(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 top ``k`` per query, scored where the chunks lie.
+
+    All terms of a chunk are in its row, so a task knows the full score of its
+    chunks for every query and only ``k`` rows per query leave it. That needs the
+    queries in every task: a larger batch is ranked by :func:`rank_postings`.
+    """
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("t")).first()
+    if size["n"] > BROADCAST_QUERIES or (size["t"] or 0) > SMALL_ROWS:
+        return rank_postings(lexical_postings(index), corpus_stats(index), queries, k, k1, b)
+    head = asked.orderBy("query_id").collect()
+    spark = index.sparkSession
+    chunks = lexical_terms(index)
+    # One pass counts chunks and tokens (under the empty term) and query terms.
+    words = sorted({t for r in head for t in r["terms"]} | {""})
+    wanted = F.broadcast(spark.createDataFrame([(w,) for w in words], "term string"))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.col("dl").alias("tf")))
+    counted = (
+        chunks.select(F.explode(F.concat("terms", whole)).alias("_p")).select("_p.*")
+        .join(wanted, "term", "left_semi")
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).collect()
+    )
+    frequency = {r["term"]: r["df"] for r in counted}
+    n, total = next(((r["df"], r["total"]) for r in counted if r["term"] == ""), (0, 0))
+    state = _bm25_state([r["query_id"] for r in head], [r["terms"] for r in head], frequency, n, total, k1, b)
+    shared = spark.sparkContext.broadcast(state)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = _Bm25(shared.value)
+        top = _TopK(len(mine.ids), k)
+        for batch in batches:
+            if batch.num_rows and mine.vocabulary:
+                mine.scan(top, batch)
+        found = top.result(mine.ids)
+        if len(found):
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    partial = chunks.mapInArrow(scan, _result_schema(ensure_rep(index), queries))
+    ranked = best_k(partial, k, [F.col("distance"), *map(F.col, KEY)])
+    return ranked.select("query_id", *KEY, (-F.col("distance")).alias("score"), "rank")
+
+
 def search_lexical(index: DataFrame, queries: DataFrame, k: int = 5, payload: bool = True) -> DataFrame:
     """BM25 over ``text``."""
-    found = rank_postings(lexical_postings(index), corpus_stats(index), queries, k)
+    found = rank_chunks(index, queries, k)
     found = with_payload(found, index, queries, k) if payload else found
     return found.withColumn("search_type", F.lit("lexical"))
 
