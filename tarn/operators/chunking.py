@@ -776,15 +776,16 @@ def dedup_chunks(chunks: DataFrame, doc: str, within_document: bool = False,
                  text: str = "text") -> DataFrame:
     """Keep the first chunk of every distinct text.
 
-    The winner is found by a partial aggregate on the hash, so copies collapse
-    before the shuffle; texts join back by their unique key.
+    One aggregate on the hash: copies collapse in the map tasks, so a text that
+    makes up much of the corpus does not travel.
     """
     keyed = chunks.withColumn("chunk_hash", F.sha2(text, 256))
     group = [doc, "chunk_hash"] if within_document else ["chunk_hash"]
-    first = keyed.groupBy(*group).agg(
-        F.min(F.struct(F.col(doc).alias("d"), F.col("chunk_index").alias("i"))).alias("_first")
-    ).select(F.col("_first.d").alias(doc), F.col("_first.i").alias("chunk_index"))
-    return keyed.join(first, [doc, "chunk_index"], "left_semi")
+    return (
+        keyed.groupBy(*group)
+        .agg(F.min_by(F.struct(*chunks.columns), F.struct(doc, "chunk_index")).alias("_first"))
+        .select("_first.*", "chunk_hash")
+    )
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, bucket: int) -> DataFrame:

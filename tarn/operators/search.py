@@ -15,9 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarn.functions.arrays import let
-from tarn.functions.sizes import is_small
+from tarn.functions.sizes import broadcast_if_small, is_small
 from tarn.session import durable
 
 KEY = ["entity_id", "rep_name", "chunk_index"]
@@ -129,11 +131,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _result_schema(index: DataFrame, queries: DataFrame) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in index.schema.fields}
-    qid = queries.schema["query_id"].dataType.simpleString()
-    keys = ", ".join(f"{c} {kinds[c]}" for c in KEY)
-    return f"query_id {qid}, {keys}, distance double"
+def _result_schema(index: DataFrame, queries: DataFrame) -> T.StructType:
+    """``query_id``, chunk key and distance with the types of the inputs."""
+    fields = [queries.schema["query_id"], *[index.schema[c] for c in KEY]]
+    return T.StructType([T.StructField(f.name, f.dataType) for f in fields]).add("distance", "double")
+
+
+def _result_batch(found: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(found, schema=schema, preserve_index=False)
 
 
 def conforming_vectors(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
@@ -159,6 +164,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, dim: int, metric: str
         ids = [r["query_id"] for r in head]
         matrix = np.array([r["embedding"] for r in head], dtype=np.float64).reshape(-1, dim)
         shared = index.sparkSession.sparkContext.broadcast((ids, matrix, cells))
+        arrow = to_arrow_schema(schema)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q, probe = shared.value
@@ -172,13 +178,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, dim: int, metric: str
                 _scan_block(top, q, keys, _matrix(batch.column("embedding"), q.shape[1]), metric, probe, cell)
             found = top.result(qids)
             if len(found):
-                yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+                yield _result_batch(found, arrow)
 
         partial = index.mapInArrow(scan, schema)
     return best_k(partial, k, [F.col("distance"), *map(F.col, KEY)])
 
 
-def _grid(index: DataFrame, queries: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
+def _grid(index: DataFrame, queries: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
     """Exact search for a query table of any size: vectors and queries are cut
     into blocks by a hash of their key and every pair of blocks meets once, with
     both sides of a pair bounded in size whatever the data looks like."""
@@ -279,21 +285,16 @@ def corpus_stats(index: DataFrame) -> DataFrame:
 
 def write_postings(index: DataFrame, path: str, buckets: int = 256) -> None:
     """Postings on disk, partitioned by a hash of the term and sorted by it, so
-    that a search reads the files and row groups of its own terms only."""
+    that a search reads the files and row groups of its own terms only. The
+    rebalance lets Spark split the bucket of a very common term into several files."""
     postings = lexical_postings(index).withColumn("bucket", term_bucket(F.col("term"), buckets))
     (
-        postings.repartitionByRange(*_range_columns(postings))
-        .sortWithinPartitions("bucket", "term")
+        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     )
     corpus_stats(index).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def _range_columns(postings: DataFrame) -> list[str]:
-    # Keys follow the term, so that the postings of one very common term are cut too.
-    return ["bucket", "term", *KEY]
-
-
 def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -422,6 +423,8 @@ def rank_chunks(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b
     n, total = next(((r["df"], r["total"]) for r in counted if r["term"] == ""), (0, 0))
     state = _bm25_state([r["query_id"] for r in head], [r["terms"] for r in head], frequency, n, total, k1, b)
     shared = spark.sparkContext.broadcast(state)
+    schema = _result_schema(chunks, queries)
+    arrow = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = _Bm25(shared.value)
@@ -431,9 +434,9 @@ def rank_chunks(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b
                 mine.scan(top, batch)
         found = top.result(mine.ids)
         if len(found):
-            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+            yield _result_batch(found, arrow)
 
-    partial = chunks.mapInArrow(scan, _result_schema(ensure_rep(index), queries))
+    partial = chunks.mapInArrow(scan, schema)
     ranked = best_k(partial, k, [F.col("distance"), *map(F.col, KEY)])
     return ranked.select("query_id", *KEY, (-F.col("distance")).alias("score"), "rank")
 
@@ -563,13 +566,14 @@ def visible_chunks(index: DataFrame, entities: DataFrame, where: Column | None =
     if include_hidden:
         return chosen
     enabled = entities.filter(F.col("status").isin("enabled", "active")).select("entity_id")
-    return chosen.join(enabled, "entity_id", "left_semi")
+    return chosen.join(broadcast_if_small(enabled, SMALL_ROWS), "entity_id", "left_semi")
 
 
 def search_within(index: DataFrame, queries: DataFrame, entity_ids: DataFrame, k: int = 5,
                   dim: int = 1024, metric: str = "l2") -> DataFrame:
     """Semantic search inside the entities a query over tables selected."""
-    inside = index.join(entity_ids.select("entity_id").distinct(), "entity_id", "left_semi")
+    wanted = broadcast_if_small(entity_ids.select("entity_id").distinct(), SMALL_ROWS)
+    inside = index.join(wanted, "entity_id", "left_semi")
     return search_semantic(inside, queries, k, dim, metric)
 
 

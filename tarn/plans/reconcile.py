@@ -35,4 +35,8 @@ def reconcile(dirs: DataFrame, meta: DataFrame, reps: DataFrame, index: DataFram
     staged = chunk_documents(todo, cfg).withColumn("rep_name", F.lit("canonical_md")).select(
         *ENTITY_KEY, "rep_name", "chunk_index", "text"
     )
-    return Reconciled(plan, reconcile_report(dirs, plan), staged, replace_reps(index, staged))
+    touched = affected.join(sources.select(*ENTITY_KEY).distinct(), ENTITY_KEY, "left_semi").withColumn(
+        "rep_name", F.lit("canonical_md")
+    )
+    repaired = replace_reps(index, staged, touched)
+    return Reconciled(plan, reconcile_report(dirs, plan), staged, repaired)

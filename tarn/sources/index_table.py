@@ -25,11 +25,12 @@ def with_shard(df: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_chunk_index(df: DataFrame, path: str, shards: int = SHARDS, mode: str = "overwrite") -> None:
-    """Write (or replace) an index. Rows are range-partitioned by the table layout,
-    so a large collection or entity is spread over several files."""
+    """Write (or replace) an index. Rows are rebalanced by the table layout: Spark
+    splits a large partition over several files and merges small ones, and the
+    rows, with vectors that are costly to make, are computed once."""
     placed = with_shard(df, shards)
     (
-        placed.repartitionByRange(*PARTITIONS, "entity_id", "chunk_index")
+        placed.hint("rebalance", *PARTITIONS)
         .sortWithinPartitions(*PARTITIONS, "entity_id", "chunk_index")
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS).parquet(path)
