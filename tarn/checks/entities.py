@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.checks.base import ENT_SQL, files, query, table
+from tarn.checks.base import ENT_SQL, files, query, table, texts
 from tarn.operators import entities as E
 from tarn.schema import FORMAT_ENTITY_TYPE, FORMAT_EXTENSIONS, UNFORMATTED_DOCUMENTS, ext_routes
 
@@ -183,9 +183,11 @@ STATUS_SQL = """stat AS (
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
-def with_status(spark, sf):
-    """Documents as entities whose status comes from the labels."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+def with_status(spark, sf, heavy=False):
+    """Documents as entities whose status comes from the labels; ``heavy`` where the
+    texts are costly to process."""
+    source = texts(spark, sf) if heavy else table(spark, sf, "documents")
+    docs = source.join(table(spark, sf, "labels"), "doc_id", "left")
     return docs.select(
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity_id"),
         F.expr("CASE WHEN toxic = 1 THEN 'hidden' WHEN quality = 0 THEN 'deleted' ELSE 'enabled' END").alias("status"),
@@ -366,10 +368,10 @@ def chunk_counts(spark, sf):
     return E.chunk_counts(base, index)
 
 
-def reps_of(spark, sf):
+def reps_of(spark, sf, heavy=False):
     """Every document has a source; its canonical text is missing where quality is 0."""
     labels = table(spark, sf, "labels")
-    base = with_status(spark, sf).join(labels, "doc_id", "left")
+    base = with_status(spark, sf, heavy).join(labels, "doc_id", "left")
     source = base.select(
         "entity_id", F.lit("source_original").alias("rep_type"), "content_hash", F.lit("").alias("transform"),
         F.lit("active").alias("status"), "doc_id", "text",
@@ -382,7 +384,7 @@ def reps_of(spark, sf):
 
 
 @query(
-    "pipeline_status",
+    "stage_status",
     """WITH base AS (SELECT d.doc_id, substr(sha256(text), 1, 16) AS h, length(text) AS n, coalesce(quality, 1) = 1 AS canon,
                      coalesce(toxic, 0) AS toxic, quality FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT 'doc_' || doc_id AS entity_id, CASE WHEN toxic = 1 THEN 'hidden' WHEN quality = 0 THEN 'deleted' ELSE 'enabled' END AS entity_status,
@@ -392,7 +394,7 @@ SELECT 'doc_' || doc_id AS entity_id, CASE WHEN toxic = 1 THEN 'hidden' WHEN qua
        CASE WHEN canon AND toxic = 0 THEN 2 ELSE 1 END::bigint AS active_reps,
        CASE WHEN canon THEN greatest(ceil((n - 500) / 500.0), 0) + 1 ELSE 0 END::bigint AS chunk_count, canon AS indexed FROM base""",
 )
-def pipeline_status(spark, sf):
+def stage_status(spark, sf):
     from tarn.operators.chunking import chunk_fixed
 
     reps = reps_of(spark, sf)

@@ -150,15 +150,11 @@ def lexical_postings(spark, sf):
 @query(
     "search_substring",
     """SELECT query_id, entity_id, rank FROM (
-  SELECT n.n_nationkey::bigint AS query_id, 'doc_' || d.doc_id AS entity_id,
-         row_number() OVER (PARTITION BY n.n_nationkey ORDER BY 'doc_' || d.doc_id) AS rank
-  FROM documents d JOIN nation n ON contains(lower(d.text), lower(substr(n.n_name, 1, 3)))) WHERE rank <= 10""",
+  SELECT b.item_id AS query_id, 'doc_' || d.doc_id AS entity_id, row_number() OVER (PARTITION BY b.item_id ORDER BY 'doc_' || d.doc_id) AS rank
+  FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))) WHERE rank <= 10""",
 )
 def search_substring(spark, sf):
-    asked = table(spark, sf, "nation").select(
-        F.col("n_nationkey").cast("long").alias("query_id"), F.substring("n_name", 1, 3).alias("text")
-    )
-    found = S.search_substring(text_index(spark, sf), asked, 10)
+    found = S.search_substring(text_index(spark, sf), text_queries(spark, sf), 10)
     return found.select("query_id", "entity_id", F.col("rank").cast("long").alias("rank"))
 
 

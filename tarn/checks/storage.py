@@ -16,13 +16,13 @@ from tarn.sources import index_table as X
 @query(
     "scan_corpus",
     """SELECT lang AS workspace_id, source AS collection_id, 'doc_' || doc_id AS entity_id, 'source/original' AS relpath, 'source_original' AS rep_type,
-       octet_length(encode(text)) AS size, substr(sha256(text), 1, 16) AS content_hash FROM documents WHERE lang <> 'en'""",
+       octet_length(encode(text)) AS size, substr(sha256(text), 1, 16) AS content_hash FROM documents""",
 )
 def scan_corpus(spark, sf):
-    """Documents other than English written as a corpus and read back."""
+    """Documents written as a corpus, one file each, and read back."""
     root = scratch_path(spark, "corpus")
     where = ["workspace", "collection", "entity", "stage", "file"]
-    table(spark, sf, "documents").filter("lang <> 'en'").select(
+    table(spark, sf, "documents").select(
         F.col("lang").alias("workspace"), F.col("source").alias("collection"),
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity"), F.lit("source").alias("stage"),
         F.lit("original").alias("file"), F.col("text").alias("value"),
@@ -311,13 +311,13 @@ def align_schema(spark, sf):
 
 @query(
     "conforming_vectors",
-    "SELECT vec_id, label FROM embeddings WHERE label % 2 = 0",
+    "SELECT vec_id, label FROM embeddings WHERE label >= 5",
 )
 def conforming_vectors(spark, sf):
     from tarn.operators.search import conforming_vectors as conforming
 
     mixed = table(spark, sf, "embeddings").withColumn(
-        "embedding", F.when(F.col("label") % 2 == 0, F.col("embedding")).otherwise(F.array().cast("array<float>"))
+        "embedding", F.when(F.col("label") >= 5, F.col("embedding")).otherwise(F.array().cast("array<float>"))
     )
     return conforming(mixed, 64).select("vec_id", "label")
 
@@ -325,7 +325,7 @@ def conforming_vectors(spark, sf):
 # --- virtual files -------------------------------------------------------------------
 
 
-def tree_parts(spark, sf):
+def tree_parts(spark, sf, heavy=False):
     """Entities named ``{source}-{quality}.md`` within their language: names repeat."""
     base = with_status(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     entities = base.select(
@@ -334,7 +334,7 @@ def tree_parts(spark, sf):
         .otherwise(F.concat(F.col("doc_id"), F.lit(".md"))).alias("name"),
         "status", "content_hash", "version", "labels",
     )
-    reps = reps_of(spark, sf).join(base.select("entity_id", F.col("workspace_id").alias("collection_id")), "entity_id").select(
+    reps = reps_of(spark, sf, heavy).join(base.select("entity_id", F.col("workspace_id").alias("collection_id")), "entity_id").select(
         F.lit("all").alias("workspace_id"), "collection_id", "entity_id", "rep_type", F.length("text").cast("long").alias("size"),
         F.col("text").alias("content"),
     )
@@ -402,7 +402,7 @@ SELECT collection_id, path AS file_path, line_number, line_text, before, after,
 WHERE regexp_matches(line_text, 'th[ei]s? (in|on)', 'i') ORDER BY collection_id, path, line_number LIMIT 500""",
 )
 def vfs_grep(spark, sf):
-    entities, reps = tree_parts(spark, sf)
+    entities, reps = tree_parts(spark, sf, heavy=True)
     found = V.vfs_grep(V.vfs_tree(entities, reps), reps, "th[ei]s? (in|on)", limit=500)
     return found.select(
         "collection_id", "file_path", "line_number", "line_text", "entity_id", "rep_type",

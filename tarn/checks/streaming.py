@@ -311,11 +311,11 @@ def stream_index(spark, sf):
     return read_chunk_index(spark, index, shards=2).select("entity_id", "chunk_index", "text")
 
 
-@query("watch_created", "SELECT doc_id, length(text) AS n FROM documents WHERE lang = 'es' AND octet_length(encode(text)) <= 0.004 * 1024 * 1024")
+@query("watch_created", "SELECT doc_id, length(text) AS n FROM documents WHERE octet_length(encode(text)) <= 0.004 * 1024 * 1024")
 def watch_created(spark, sf):
-    """Spanish documents are dropped as files into a folder and picked up by a stream."""
+    """Documents are dropped as files into a folder and picked up by a stream."""
     folder, out = scratch_path(spark, "drop"), scratch_path(spark, "picked")
-    table(spark, sf, "documents").filter("lang = 'es'").select(
+    table(spark, sf, "documents").select(
         F.col("doc_id").alias("name"), F.col("text").alias("value")
     ).repartition("name").write.partitionBy("name").option("lineSep", "\x00").text(folder)
 
