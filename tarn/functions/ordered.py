@@ -22,8 +22,8 @@ def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     """Sort by ``keys`` and ``order`` (which together must be unique) and number
     the rows: ``_block`` is the sort partition, ``_pos`` the global position id.
 
-    The result is written to the shared checkpoint folder: block numbers must
-    not change when a lost task is recomputed.
+    The result is written to the shared scratch folder: block numbers must not
+    change when a lost task is recomputed.
     """
     placed = df.orderBy(*keys, *order).withColumn("_pos", F.monotonically_increasing_id())
     return durable(placed.withColumn("_block", F.shiftright("_pos", _ROWS_BITS).cast("int")))

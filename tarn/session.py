@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +27,6 @@ def get_session(app: str = "tarn", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -32,6 +34,10 @@ def get_session(app: str = "tarn", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+# Scratch folders of sessions on a local master, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -41,25 +47,50 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        path = configured
-    else:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
+        return configured
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        path = tempfile.mkdtemp(prefix="tarn-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that later plans read it back."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tarn-scratch-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/tarn-{name}-{uuid.uuid4().hex}"
+
+
+# Tables written inside the open ``scratch`` blocks of this thread: the batches of
+# several streams run in threads of their own.
+_OPEN = threading.local()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder and read back.
+
+    It is computed once, survives the loss of executors, cuts the lineage, and
+    later plans read only the columns they need, with known sizes.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    blocks = getattr(_OPEN, "blocks", None)
+    if blocks:
+        blocks[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables ``durable`` writes inside the block when it ends. For jobs
+    that have stored their result by then, such as a batch of a stream."""
+    blocks = _OPEN.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in blocks.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)

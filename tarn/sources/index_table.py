@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.sizes import broadcast_if_small
-from tarn.session import durable
+from tarn.session import durable, scratch
 
 PARTITIONS = ["workspace_id", "collection_id", "rep_name", "shard"]
 REP_KEY = ["workspace_id", "collection_id", "entity_id", "rep_name"]
@@ -72,20 +72,21 @@ def sync_index(spark: SparkSession, path: str, staged: DataFrame, shards: int =
     Only the partitions (collection, rep, shard) that staged rows fall into are
     read and rewritten. Running it again with the same rows changes nothing.
     """
-    fresh = durable(with_shard(staged, shards))
-    index = spark.read.parquet(path)
-    names = fresh.select(_partition_name().alias("name")).distinct()
-    head = names.limit(MAX_PRUNED + 1).collect()
-    if len(head) <= MAX_PRUNED:
-        # A filter on partition columns alone: the other directories are not listed.
-        current = index.filter(_partition_name().isin([r["name"] for r in head]))
-    else:
-        current = index.join(fresh.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
-    touched = broadcast_if_small(fresh.select(*REP_KEY).distinct(), 500_000)
-    # The result is stored before it overwrites the files it was read from.
-    merged = durable(replace_reps(current, fresh, touched))
-    write_chunk_index(merged.drop("shard"), path, shards)
-    return fresh.count()
+    with scratch(spark):
+        fresh = durable(with_shard(staged, shards))
+        index = spark.read.parquet(path)
+        names = fresh.select(_partition_name().alias("name")).distinct()
+        head = names.limit(MAX_PRUNED + 1).collect()
+        if len(head) <= MAX_PRUNED:
+            # A filter on partition columns alone: other directories are not read.
+            current = index.filter(_partition_name().isin([r["name"] for r in head]))
+        else:
+            current = index.join(fresh.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+        touched = broadcast_if_small(fresh.select(*REP_KEY).distinct(), 500_000)
+        # The result is stored before it overwrites the files it was read from.
+        merged = durable(replace_reps(current, fresh, touched))
+        write_chunk_index(merged.drop("shard"), path, shards)
+        return fresh.count()
 
 
 def rebuild_index(spark: SparkSession, staging: str) -> DataFrame:

@@ -74,3 +74,20 @@ def test_only_reading_sql(spark):
     with pytest.raises(ValueError):
         query_table(spark.range(1), "DROP TABLE t")
     assert query_table(spark.range(3), "WITH x AS (SELECT * FROM t) SELECT count(*) AS n FROM x").first()["n"] == 3
+
+
+def test_scratch_tables_are_removed(spark):
+    from pathlib import Path
+
+    from tarn.session import checkpoint_dir, durable, scratch
+
+    def steps():
+        return {p.name for p in Path(checkpoint_dir(spark)).glob("tarn-step-*")}
+
+    before = steps()
+    with scratch(spark):
+        assert durable(spark.range(5)).count() == 5
+        assert len(steps() - before) == 1
+    assert steps() == before
+    kept = durable(spark.range(3).filter("id > 9"))
+    assert kept.count() == 0 and kept.columns == ["id"] and len(steps() - before) == 1
