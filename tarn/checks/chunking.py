@@ -40,8 +40,17 @@ def pack_sql(name: str, items: str, limit: int) -> str:
   FROM {name} p JOIN {items} i ON i.k = p.k AND i.idx = p.idx + 1)"""
 
 
-def pieces_sql(limit: int, keep_small: bool) -> str:
-    """Pieces of ``sections(doc_id, section_index, header, level, start_pos, text)``."""
+def pieces_sql(limit: int, keep_small: bool, compat: bool = False) -> str:
+    """Pieces of ``sections(doc_id, section_index, header, level, start_pos, text)``.
+
+    With ``compat`` paragraphs are placed by line, a hard cut does not advance the
+    position, and a final sentence mark leaves an empty sentence.
+    """
+    place = "start_line" if compat else "start_pos"
+    moved = "CASE WHEN big THEN 0 ELSE length(text) END" if compat else "length(text)"
+    split = "regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]+|[^。！？.!?]+')"
+    if compat:
+        split = f"CASE WHEN regexp_matches(text, '[。！？.!?]$') THEN list_append({split}, '') ELSE {split} END"
     small = f"length(text) // 4 <= {limit}" if keep_small else "false"
     return rf"""slines AS (
   SELECT doc_id, section_index, unnest(generate_series(0, len(ls) - 1)) AS line, unnest(ls) AS txt
@@ -63,12 +72,12 @@ pjoin AS (
   SELECT para.*, ppack.tok, ppack.big, ppack.grp FROM para JOIN ppack USING (k, idx)),
 pgroups AS (
   SELECT doc_id, section_index, k, grp, big, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS text,
-         min(start_pos) AS rel, max(tok) AS tok, sum(n)::bigint AS n, min(idx) AS idx,
+         min({place}) AS rel, max(tok) AS tok, sum(n)::bigint AS n, min(idx) AS idx,
          coalesce(lead(big) OVER (PARTITION BY k ORDER BY grp), false) AS before_big
   FROM pjoin GROUP BY doc_id, section_index, k, grp, big),
 sent AS (
   SELECT k, idx, sk AS pk, unnest(generate_series(0, len(ss) - 1)) AS sidx, unnest(ss) AS text
-  FROM (SELECT k, idx, k || '/' || idx AS sk, regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]+|[^。！？.!?]+') AS ss
+  FROM (SELECT k, idx, k || '/' || idx AS sk, {split} AS ss
         FROM pgroups WHERE big)),
 sitems AS (SELECT pk AS k, sidx AS idx, length(text) AS n FROM sent),
 {pack_sql("spack", "sitems", limit)},
@@ -76,7 +85,7 @@ sgroups AS (
   SELECT s.k, s.idx, p.grp AS sgrp, p.big, string_agg(s.text, '' ORDER BY s.sidx) AS text, max(p.tok) AS tok
   FROM sent s JOIN spack p ON p.k = s.pk AND p.idx = s.sidx GROUP BY ALL),
 splaced AS (
-  SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY k, idx ORDER BY sgrp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS off,
+  SELECT *, coalesce(sum({moved}) OVER (PARTITION BY k, idx ORDER BY sgrp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS off,
          sgrp < max(sgrp) OVER (PARTITION BY k, idx) AS more
   FROM sgroups),
 forced AS (
@@ -168,6 +177,16 @@ def pack_paragraphs(spark, sf):
     return C.pack_paragraphs(blank_separated(spark, sf), 64).drop("header", "level")
 
 
+@query(
+    "pack_paragraphs_compat",
+    f"""WITH RECURSIVE {PARA_SQL}, {WHOLE_SQL.format(src="paras_in")}, {pieces_sql(16, False, True)}
+SELECT doc_id, chunk_index AS piece_index, text, start_pos, end_pos, token_count, chunk_chars, chunk_type, is_truncated
+FROM pieces""",
+)
+def pack_paragraphs_compat(spark, sf):
+    return C.pack_paragraphs(blank_separated(spark, sf), 16, compat=True).drop("header", "level")
+
+
 @query(
     "split_sentences",
     f"""WITH RECURSIVE src AS (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents WHERE length(text) // 4 > 32),

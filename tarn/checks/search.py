@@ -219,8 +219,10 @@ def search_dispatch(spark, sf):
 )
 def search_filtered(spark, sf):
     status = with_status(spark, sf).select(F.concat(F.lit("v"), F.col("doc_id")).alias("entity_id"), "status")
-    shown = S.visible_chunks(vector_index(spark, sf), status, F.col("label") >= 5)
-    return ranked(S.search_semantic(shown, centroids(spark, sf), 5, DIM))
+    found = S.search(
+        vector_index(spark, sf), centroids(spark, sf), "semantic", 5, entities=status, where=F.col("label") >= 5, dim=DIM
+    )
+    return ranked(found)
 
 
 @query(

@@ -544,16 +544,27 @@ SEARCHES: dict[str, Callable[..., DataFrame]] = {
 
 
 def search(index: DataFrame, queries: DataFrame, search_type: str = "hybrid", k: int = 5,
+           entities: DataFrame | None = None, where: Column | None = None, include_hidden: bool = False,
            **options) -> DataFrame:
-    """Dispatch by type; queries without a vector are searched lexically."""
+    """Dispatch by type; queries without a vector are searched lexically.
+
+    With ``entities`` only chunks of enabled ones are searched, unless hidden ones
+    are asked for; ``where`` restricts the chunks further.
+    """
+    if entities is not None:
+        index = visible_chunks(index, entities, where, include_hidden)
+    elif where is not None:
+        index = index.filter(where)
     if search_type not in SEARCHES:
         raise ValueError(f"unknown search type {search_type!r}")
     if search_type == "lexical" or "embedding" not in queries.columns:
         return search_lexical(index, queries, k)
     has_vector = F.size(F.coalesce("embedding", F.array().cast("array<float>"))) > 0
     found = SEARCHES[search_type](index, queries.filter(has_vector), k, **options)
-    rest = search_lexical(index, queries.filter(~has_vector), k)
-    return found.unionByName(rest, allowMissingColumns=True)
+    bare = queries.filter(~has_vector)
+    if "text" not in queries.columns or is_small(bare, 0):
+        return found
+    return found.unionByName(search_lexical(index, bare, k), allowMissingColumns=True)
 
 
 # --- restricted search -------------------------------------------------------------
