@@ -559,6 +559,7 @@ def search(index: DataFrame, queries: DataFrame, search_type: str = "hybrid", k:
         raise ValueError(f"unknown search type {search_type!r}")
     if search_type == "lexical" or "embedding" not in queries.columns:
         return search_lexical(index, queries, k)
+    queries = durable(queries)  # counted, split and ranked below
     has_vector = F.size(F.coalesce("embedding", F.array().cast("array<float>"))) > 0
     found = SEARCHES[search_type](index, queries.filter(has_vector), k, **options)
     bare = queries.filter(~has_vector)
