@@ -9,6 +9,7 @@ from tarn.checks.entities import with_status
 from tarn.functions.vectors import cosine, l2_normalize, mrl_truncate
 from tarn.operators import search as S
 from tarn.operators.embedding import embedding_input, hashed_embedder, embed, mock_embed
+from tarn.session import scratch_path
 
 DIM = 64
 
@@ -137,6 +138,14 @@ def lexical_bm25(spark, sf):
     return ranked(S.search_lexical(text_index(spark, sf), text_queries(spark, sf), 10))
 
 
+@query("lexical_written", f"WITH {BM25_SQL} SELECT query_id, entity_id, 0::bigint AS chunk_index, round(score, 6) AS score, rank FROM lex WHERE rank <= 10")
+def lexical_written(spark, sf):
+    """The same ranking over postings written by term bucket."""
+    path = scratch_path(spark, "postings")
+    S.write_postings(text_index(spark, sf), path, 16)
+    return ranked(S.search_lexical_written(spark, path, text_queries(spark, sf), 10, 16))
+
+
 @query(
     "lexical_postings",
     r"""SELECT term, 'doc_' || doc_id AS entity_id, count(*) AS tf, any_value(dl)::bigint AS dl
