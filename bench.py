@@ -24,7 +24,7 @@ def main() -> None:
 
     from tarn import get_session
     from tarn.checks import QUERIES
-    from tarn.checks.base import markdown, table
+    from tarn.checks.base import markdown
     from tarn.checks.search import DIM, text_index, text_queries, vector_index
     from tarn.operators import search as S
     from tarn.operators.chunking import ChunkConfig, chunk_documents

@@ -8,7 +8,6 @@ from tarn.checks.base import query, table
 from tarn.checks.entities import now, with_status
 from tarn.checks.storage import CHUNKS_SQL
 from tarn.operators.chunking import chunk_fixed
-from tarn.operators.entities import ENTITY_KEY
 from tarn.session import scratch_path
 from tarn.sources.index_table import read_chunk_index
 from tarn.streaming import changes as W
