@@ -182,7 +182,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    files = placed.repartition("part").select("tokens_file", "docs_file", "before")
+    # By number: the few bytes of a manifest would otherwise be one task's work.
+    n_files = max(1, manifest.count())
+    files = placed.repartition(n_files, "part").select("tokens_file", "docs_file", "before")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
