@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tarn.llm.batches import lists, slices
 
@@ -281,7 +281,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
             column = lists(ids, np.diff(offsets), pa.int32())
             yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, "ids"])
 
-    return docs.mapInArrow(encode, StructType(list(docs.schema.fields)).add("ids", "array<int>"))
+    return docs.mapInArrow(encode, StructType(list(docs.schema.fields)).add("ids", ArrayType(IntegerType())))
 
 
 def decode_pieces(rows: DataFrame, model: str | None = None) -> DataFrame:
