@@ -21,7 +21,7 @@ SIGNATURE = BANDS * ROWS
 #: A pair linked at 0.75 agrees in fewer than 88 of 160 coordinates once in ten million.
 SCREEN = 88
 #: Members of a bucket that meet in one task, in the second pass.
-BLOCK = 256
+BLOCK = 512
 #: Ids that are sent to every task; above it the texts are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -118,10 +118,48 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= SCREEN))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links between different components inside sorted (bucket, block) groups."""
+def _links_across(group: pa.Table, similarity: int) -> list[tuple[int, int]]:
+    """Links between different components of a block, one for each two components at most.
 
-    def held() -> Iterator[list[pa.RecordBatch]]:
+    Signatures choose whom to compare, full shingle sets decide.
+    """
+    doc, part, side = (group.column(c).to_numpy() for c in ("rep", "component", "side"))
+    sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+    flat = group.column("shingles").combine_chunks()
+    values = flat.flatten().to_numpy().view(np.uint64)
+    ends = np.cumsum(flat.value_lengths().to_numpy())
+    sizes = np.diff(np.append(0, ends))
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    right = np.flatnonzero(side >= 1)
+    found = []
+    for x in np.flatnonzero(side <= 1).tolist():
+        others = right[right > x] if side[x] == 1 else right
+        near = others[(part[others] != part[x]) & ((sig[others] == sig[x]).sum(axis=1) >= SCREEN)]
+        near = near[[top(c) != top(int(part[x])) for c in part[near].tolist()]] if len(near) else near
+        if not len(near):
+            continue
+        own = values[ends[x] - sizes[x] : ends[x]]
+        theirs = np.concatenate([values[ends[y] - sizes[y] : ends[y]] for y in near.tolist()])
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+        for y in near[100 * common >= similarity * (sizes[x] + sizes[near] - common)].tolist():
+            a, b = top(int(part[x])), top(int(part[y]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                found.append((int(doc[x]), int(doc[y])))
+    return found
+
+
+def _block_links(similarity: int):
+    """The links found in each of the sorted (bucket, i, j) groups."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         parts: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
@@ -132,42 +170,36 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
                 now = tuple(keys[:, start])
                 if key is not None and now != key:
-                    yield parts
+                    yield pa.Table.from_batches(parts)
                     parts = []
                 key = now
                 parts.append(batch.slice(start, end - start))
         if parts:
-            yield parts
-
-    for parts in held():
-        group = pa.Table.from_batches(parts)
-        doc, part, side = (group.column(c).to_numpy() for c in ("rep", "component", "side"))
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
-        found_a, found_b = [], []
-        for x in left.tolist():
-            near = right[((sig[right] == sig[x]).sum(axis=1) >= SCREEN) & (part[right] != part[x])]
-            found_a.append(np.full(len(near), doc[x]))
-            found_b.append(doc[near])
-        if found_a:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found_a), pa.int64()), pa.array(np.concatenate(found_b), pa.int64())],
-                names=["a", "b"],
-            )
+            yield pa.Table.from_batches(parts)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches):
+            if found := _links_across(group, similarity):
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return link
+
+
+def _shingle_sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the representatives in ``wanted`` (doc_id)."""
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, BROADCAST_ROWS), "doc_id")
+    # The set hash keeps rows apart that share an id.
+    sets = texts.mapInArrow(_full_sets, "doc_id long, set_hash binary, shingles array<long>")
+    sets = sets.join(reps.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi")
+    return durable(sets.dropDuplicates(["doc_id", "set_hash"]).select("doc_id", "shingles"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the similarity in percent."""
     pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted, BROADCAST_ROWS), "doc_id")
-    # The set hash keeps rows apart that share an id.
-    sets = texts.mapInArrow(_full_sets, "doc_id long, set_hash binary, shingles array<long>")
-    sets = durable(
-        sets.join(reps.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi")
-        .dropDuplicates(["doc_id", "set_hash"])
-        .select("doc_id", "shingles")
-    )
+    sets = _shingle_sets(wanted, docs, reps)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"
     )
@@ -186,8 +218,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
     Texts with equal shingle sets are one class; classes that share a band key are
     candidates. In each bucket every class is compared with the smallest one first. Then
     only buckets that still hold two components are opened: their members meet in blocks
-    inside tasks, by signature, and pairs of different components that agree are emitted.
-    Every link is confirmed on the full sets, so components are right up to the chance
+    inside tasks, which compare all members of different components and emit one link for
+    two of them at most. Every link is confirmed on the full sets, so components are right up to the chance
     that no band matches: (1 - 0.75**4)**40, three in ten million at 0.75 exactly.
 
     Null or blank texts have no shingles and are linked with nothing: component_id is
@@ -224,20 +256,21 @@ def near_duplicates(docs: DataFrame, similarity: int = 75) -> DataFrame:
     open_buckets = open_buckets.where("lo < hi").select(
         "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
     )
-    rows = placed.join(open_buckets, "bucket").join(signature, "rep")
+    rows = durable(placed.join(open_buckets, "bucket"))
+    sets = _shingle_sets(rows.select(F.col("rep").alias("doc_id")).distinct(), docs, reps)
+    held = signature.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("bucket", "rep", "component", "signature", "block", other).select(
+    rows = rows.select("bucket", "rep", "component", "block", other).select(
         "bucket",
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2).alias("side"),
         "rep",
         "component",
-        "signature",
     )
-    met = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = _verified(met.mapInArrow(_block_pairs, "a long, b long"), docs, reps, similarity)
+    met = rows.join(held, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = durable(met.mapInArrow(_block_links(similarity), "a long, b long"))
     whole = components(links.union(more))
     named = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_hash", F.coalesce("component", "rep").alias("component_id")
