@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: int = MA
     hits = hits.select(doc_id.alias("_id"), F.col("doc_id").isNull().alias("_no_id"), h.alias("_h"), "_hits")
     rows = docs.withColumns(
         {"_id": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull(), "_h": F.xxhash64("text")}
-    ).join(broadcast_if_small(hits, BROADCAST_ROWS), ["_id", "_no_id", "_h"], "left")
+    ).join(hits, ["_id", "_no_id", "_h"], "left")
     hits_or_none = F.coalesce("_hits", F.array().cast("array<struct<pos:int,chars:int>>"))
     split = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(_lines(F.col("text")))
     lengths = F.transform(split, lambda x: F.length(F.btrim(x, F.lit(BLANK))))
