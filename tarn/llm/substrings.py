@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.sizes import broadcast_if_small
 from tarn.llm.batches import mix, prefix_hash, slices, substring_hash
 from tarn.session import durable
 
@@ -29,7 +28,6 @@ CROWD = 64
 FINER = (16, 1)
 #: Bytes that a task takes into one transform.
 TRANSFORM_BYTES = 1 << 20
-BROADCAST_ROWS = 100_000
 END = 0xFF  # no byte of UTF-8
 
 #: Bytes of text whose anchors are found at once; places in it take so many low bits.
@@ -153,8 +151,9 @@ def _finer(block: int, length: int):
     return cut
 
 
-def burrows_wheeler(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, transform) of ``data``, suffixes sorted by their first ``depth`` bytes.
+def burrows_wheeler(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, transform, common prefixes) of ``data``, suffixes sorted by their first
+    ``depth`` bytes; common prefixes of neighbours as far as eight bytes.
 
     Prefix doubling from eight bytes on; only suffixes that are still tied are sorted again.
     Equal strings up to ``depth`` are neighbours, which is all that intervals of strings up
@@ -165,8 +164,12 @@ def burrows_wheeler(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, key[order][1:] != key[order][:-1])
+    order = np.argsort(key)
+    differ = key[order][1:] ^ key[order][:-1]
+    common = np.zeros(n - 1, np.int8)
+    for k in range(8):
+        common += differ < np.uint64(1 << (56 - 8 * k))
+    new = np.append(True, differ != 0)
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     active = order[~(new & np.append(new[1:], True))]
@@ -174,17 +177,19 @@ def burrows_wheeler(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     while width < depth and len(active):
         follow = np.where(active + width < n, rank[np.minimum(active + width, n - 1)] + 1, 0)
         both = rank[active] * (n + 1) + follow
-        turn = np.argsort(both, kind="stable")
+        turn = np.argsort(both)
         active, both = active[turn], both[turn]
         group = both // (n + 1)
         at = np.arange(len(active))
+        # A group's suffixes keep its places in the array.
         opens = np.append(True, group[1:] != group[:-1])
+        slot = group + at - at[opens][np.cumsum(opens) - 1]
+        order[slot] = active
         new = np.append(True, both[1:] != both[:-1])
-        rank[active] = group + at[new][np.cumsum(new) - 1] - at[opens][np.cumsum(opens) - 1]
+        rank[active] = slot[new][np.cumsum(new) - 1]
         active = active[~(new & np.append(new[1:], True))]
         width *= 2
-    order = np.argsort(rank, kind="stable")
-    return order, data[order - 1]
+    return order, data[order - 1], common
 
 
 def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
@@ -193,10 +198,12 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     Common prefixes of neighbours in the suffix array are found by increasing value. An
     interval of suffixes with a common string is extended backwards by each byte that
     precedes it; the interval so found ends where the next common prefix is settled. At
-    ``length`` the expansion stops: what is not settled by then is at least as long.
+    ``length`` the expansion stops: what is not settled by then is at least as long. Common
+    prefixes under eight bytes, those of almost all neighbours, come with the sorting, and
+    the expansion starts from the intervals of eight bytes.
     """
     n = len(data)
-    order, bwt = burrows_wheeler(data, length)
+    order, bwt, common = burrows_wheeler(data, length)
     by_byte = np.argsort(bwt, kind="stable")
     back = np.empty(n, np.int64)  # where the suffix one byte longer lies
     back[by_byte] = np.arange(n)
@@ -205,10 +212,11 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     later[by_byte[:-1][same]] = by_byte[1:][same]
     earlier = np.full(n, -1)
     earlier[by_byte[1:][same]] = by_byte[:-1][same]
-    settled = np.zeros(n + 1, bool)
-    settled[0] = settled[n] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(length):
+    settled = np.concatenate([[True], common < 8, [True]])
+    edges = np.flatnonzero(settled)
+    at_eight = np.append(common, np.int8(0))[edges[1:] - 1] == 7  # the ends found last
+    low, high = edges[:-1][at_eight], edges[1:][at_eight]
+    for _ in range(8, length):
         if not len(low):
             break
         sizes = high - low
@@ -236,19 +244,21 @@ def _repeats(length: int):
     """For distinct pieces sorted by ``meet``: the repeated starts of each, as runs."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch | None:
-        # A piece with copies is laid down twice: its strings start elsewhere too.
-        texts = [r["bytes"] for r in rows for _ in range(min(r["copies"], 2))]
         end = bytes([END])
-        data = np.frombuffer(end.join(texts) + end, np.uint8)
-        repeated = repeated_starts(data, length)
+        # Pieces that meet no other need no transform: they are here for their copies.
+        met = [a["meet"] == b["meet"] for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        alone = [not (a or b) for a, b in zip([False, *met], [*met, False], strict=True)]
+        data = np.frombuffer(end.join(r["bytes"] for r, one in zip(rows, alone, strict=True) if not one) + end, np.uint8)
+        repeated = repeated_starts(data, length) if len(data) > 1 else np.zeros(1, bool)
         out, at = [], 0
-        for r in rows:
+        for r, one in zip(rows, alone, strict=True):
             n = len(r["bytes"])
-            a, b = _spans(repeated[at : at + n - length + 1])
+            # A piece that stands for copies counts twice: all its strings start elsewhere too.
+            a, b = _spans(repeated[at : at + n - length + 1] if r["copies"] < 2 else np.ones(n - length + 1, bool))
             if len(a):
                 runs = [{"first": x, "last": y - 1} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
                 out.append((r["meet"], r["piece"], runs))
-            at += (n + 1) * min(r["copies"], 2)
+            at += 0 if one else n + 1
         if not out:
             return None
         meet, piece, runs = zip(*out, strict=True)
@@ -273,7 +283,7 @@ def _repeats(length: int):
                                 yield out
                             held, size = [], 0
                     group.append(r)
-                    size += len(r["bytes"]) * min(r["copies"], 2)
+                    size += len(r["bytes"])
         if (held or group) and (out := solve(held + group)) is not None:
             yield out
 
@@ -349,7 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copies of each other and are removed like others. Null ids are answered. Columns of
     ``docs`` other than doc_id and text play no part.
     """
-    if length <= GRAM:
+    if length <= GRAM:  # also keeps the expansion above the eight bytes it starts from
         raise ValueError(f"strings must be longer than {GRAM} bytes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.withColumn("doc_name", F.xxhash64(F.col("doc_id").isNull(), "text"))
@@ -361,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     levels: list[tuple[DataFrame, DataFrame]] = []
     for block in (*FINER, 0):
         wanted = durable(_meeting(rows, parent).groupBy(*parent).agg(F.collect_list("w").alias("wanted")))
-        fetched = parents.join(broadcast_if_small(wanted, BROADCAST_ROWS), parent).select("bytes", "wanted")
+        fetched = parents.join(wanted, parent).select("bytes", "wanted")
         fetched = durable(fetched.mapInArrow(_fetch, PIECES))
         calm = fetched.where(F.col("crowd") <= CROWD) if block else fetched
         met = calm.repartition("meet").sortWithinPartitions("meet", "piece")
@@ -374,16 +384,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     runs = None  # from the finest level up, in places of the parent
     for rows, solved in reversed(levels):
-        own = solved.select("meet", "piece", F.explode("runs").alias("run"))
-        runs = own if runs is None else own.union(runs)
+        runs = solved if runs is None else solved.union(runs)
         if rows is levels[0][0]:
             break
         lifted = rows.select("meet", "piece", "up_meet", "up_piece", "start").join(runs, ["meet", "piece"])
-        runs = lifted.select(F.col("up_meet").alias("meet"), F.col("up_piece").alias("piece"), _moved().alias("run"))
-        runs = durable(runs.distinct())
+        lifted = lifted.groupBy(F.col("up_meet").alias("meet"), F.col("up_piece").alias("piece"))
+        runs = durable(lifted.agg(F.flatten(F.collect_list(_moved())).alias("runs")))
     hits = segments.select("meet", "piece", "key", "doc_name", "start").join(runs, ["meet", "piece"])
-    hits = hits.groupBy("key", "doc_name").agg(F.collect_set(_moved()).alias("runs"))
-    out = docs.join(broadcast_if_small(durable(hits), BROADCAST_ROWS), ["key", "doc_name"], "left")
+    hits = hits.groupBy("key", "doc_name").agg(F.flatten(F.collect_list(_moved())).alias("runs"))
+    out = docs.join(hits, ["key", "doc_name"], "left")
     schema = (
         "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, "
         "kept_sha256 string, kept_text string"
@@ -392,6 +401,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _moved():
-    """A run in the places of what the piece was cut from."""
-    first, last = F.col("start") + F.col("run.first"), F.col("start") + F.col("run.last")
-    return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
+    """Runs in the places of what the piece was cut from."""
+    start = F.col("start").cast("int")
+    return F.transform(
+        "runs", lambda r: F.struct((r["first"] + start).alias("first"), (r["last"] + start).alias("last"))
+    )
