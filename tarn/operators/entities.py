@@ -35,7 +35,8 @@ def with_content_id(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def dedup_by_content(df: DataFrame, order: str, keys: Sequence[str] = ENTITY_KEY) -> DataFrame:
-    """One row per entity; of identical contents the last write wins.
+    """One row per entity; of identical contents the last write wins. A null order is
+    earlier than any other.
 
     An aggregate rather than a ranked window: copies collapse in each map task,
     so a content that makes up much of the input does not travel.
@@ -43,7 +44,7 @@ def dedup_by_content(df: DataFrame, order: str, keys: Sequence[str] = ENTITY_KEY
     rest = [c for c in df.columns if c not in keys]
     return (
         df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
+        .agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), F.col(order))).alias("_last"))
         .select(*keys, "_last.*")
     )
 
