@@ -209,8 +209,9 @@ def list_entities(spark, sf):
 
 @query("get_entities", "SELECT 'doc_' || doc_id AS entity_id, lang AS workspace_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def get_entities(spark, sf):
-    ids = table(spark, sf, "labels").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity_id"))
-    return E.get_entities(with_status(spark, sf).select("entity_id", "workspace_id"), ids)
+    base = with_status(spark, sf).select(*E.ENTITY_KEY, "doc_id")
+    ids = base.join(table(spark, sf, "labels"), "doc_id", "left_semi")
+    return E.get_entities(base, ids).select("entity_id", "workspace_id")
 
 
 @query(
@@ -275,8 +276,8 @@ def event_history_by_type(spark, sf):
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
 )
 def patch_entities(spark, sf):
-    patches = table(spark, sf, "labels").select(
-        F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity_id"),
+    patches = with_status(spark, sf).join(table(spark, sf, "labels"), "doc_id").select(
+        *E.ENTITY_KEY,
         F.when(F.col("toxic") == 1, F.lit("hidden")).alias("status"),
         F.when(F.col("quality") == 1, F.array(F.lit("good"))).alias("labels"),
     )
@@ -300,7 +301,7 @@ FROM documents d LEFT JOIN labels l USING (doc_id)""",
 def update_content(spark, sf):
     base = with_status(spark, sf)
     new = base.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select(
-        "entity_id", F.when(F.col("quality") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content")
+        *E.ENTITY_KEY, F.when(F.col("quality") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content")
     )
     updated, log, reps = E.update_content(base.drop("text"), new, now())
     joined = updated.join(log.select("entity_id", "trigger"), "entity_id", "left").join(
@@ -328,6 +329,20 @@ def delete_entities(spark, sf):
     )
 
 
+@query(
+    "delete_one_scope",
+    """WITH e AS (SELECT DISTINCT lang, source, substr(sha256(text), 1, 16) AS h FROM documents),
+gone AS (SELECT DISTINCT lang, source, substr(sha256(text), 1, 16) AS h FROM documents JOIN labels USING (doc_id) WHERE quality = 0)
+SELECT lang AS workspace_id, source AS collection_id, h AS entity_id FROM e ANTI JOIN gone USING (lang, source, h)""",
+)
+def delete_one_scope(spark, sf):
+    """Ids are content hashes: a copy in another collection keeps its row."""
+    base = with_status(spark, sf).drop("entity_id").withColumnRenamed("content_hash", "entity_id")
+    poor = base.join(table(spark, sf, "labels").filter("quality = 0"), "doc_id", "left_semi")
+    entities = base.select(*E.ENTITY_KEY, "status", "updated_at").dropDuplicates(E.ENTITY_KEY)
+    return E.delete_entities(entities, poor, now(), hard=True).select(*E.ENTITY_KEY)
+
+
 @query(
     "drop_collections",
     """WITH doomed AS (SELECT DISTINCT lang, source FROM documents WHERE lang IN ('fr', 'de')),
@@ -364,8 +379,8 @@ def chunk_counts(spark, sf):
 
     base = with_status(spark, sf)
     poor = table(spark, sf, "labels").filter("quality = 0").select("doc_id")
-    index = chunk_fixed(base.join(poor, "doc_id", "left_anti").select("entity_id", "text"), 500)
-    return E.chunk_counts(base, index)
+    index = chunk_fixed(base.join(poor, "doc_id", "left_anti").select(*E.ENTITY_KEY, "text"), 500)
+    return E.chunk_counts(base, index).select("entity_id", "chunk_count")
 
 
 def reps_of(spark, sf, heavy=False):

@@ -91,6 +91,28 @@ def semantic_topk_cosine(spark, sf):
     return ranked(S.search_semantic(vector_index(spark, sf), centroids(spark, sf), 5, DIM, "cosine"))
 
 
+@query(
+    "search_across_collections",
+    f"""WITH {CENTRES_SQL}, scoped AS (
+  SELECT query_id, 'v' || (vec_id // 2) AS entity_id, 'w' || (vec_id % 2) AS workspace_id,
+         round(list_distance(e.embedding::double[], q.qv), 9) AS dist FROM embeddings e, centres q)
+SELECT query_id, entity_id, workspace_id, round(dist, 5) AS score,
+       row_number() OVER (PARTITION BY query_id ORDER BY dist, entity_id, workspace_id) AS rank
+FROM scoped QUALIFY rank <= 20""",
+)
+def search_across_collections(spark, sf):
+    """Every entity id is found in two workspaces, as ids of equal contents are."""
+    index = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("w"), F.col("vec_id") % 2).alias("workspace_id"), F.lit("c").alias("collection_id"),
+        F.concat(F.lit("v"), F.floor(F.col("vec_id") / 2)).alias("entity_id"), F.lit("canonical_md").alias("rep_name"),
+        F.lit(0).cast("long").alias("chunk_index"), "embedding",
+    )
+    found = S.search_semantic(index, centroids(spark, sf), 20, DIM)
+    return found.select(
+        "query_id", "entity_id", "workspace_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank")
+    )
+
+
 @query(
     "mrl_topk",
     f"""WITH {CENTRES_SQL},
@@ -168,16 +190,15 @@ def search_substring(spark, sf):
 
 
 def joint_index(spark, sf):
-    """Documents that have a vector, under one key."""
+    """All documents under one key, with their vector where they have one."""
     return text_index(spark, sf).join(
         table(spark, sf, "embeddings").select(F.concat(F.lit("doc_"), F.col("vec_id")).alias("entity_id"), "embedding", "label"),
         "entity_id",
+        "left",
     )
 
 
-JOINT_SQL = BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))", 1)
-
-HYBRID_SQL = f"""{CENTRES_SQL}, {JOINT_SQL},
+HYBRID_SQL = f"""{CENTRES_SQL}, {BM25_SQL},
 sem AS (
   SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, entity_id) AS rank FROM (
     SELECT b.item_id AS query_id, 'doc_' || e.vec_id AS entity_id, round(list_distance(e.embedding::double[], c.qv), 9) AS dist
@@ -207,7 +228,7 @@ def hybrid_rrf(spark, sf):
 
 @query(
     "search_dispatch",
-    f"""WITH {CENTRES_SQL}, {JOINT_SQL}, sem AS (
+    f"""WITH {CENTRES_SQL}, {BM25_SQL}, sem AS (
   SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, entity_id) AS rank FROM (
     SELECT b.item_id AS query_id, 'doc_' || e.vec_id AS entity_id, round(list_distance(e.embedding::double[], c.qv), 9) AS dist
     FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, benchmark b JOIN centres c ON c.query_id = b.item_id))

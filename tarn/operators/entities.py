@@ -25,6 +25,19 @@ MAP_RULES = 200
 ENTITY_KEY = ["workspace_id", "collection_id", "entity_id"]
 
 
+def entity_key(*tables: DataFrame) -> list[str]:
+    """The columns that name an entity in all of ``tables``.
+
+    Ids are hashes of contents, so two collections that hold one file share its id. Tables
+    of a single collection may leave the scope out, but then all have to: a join by the
+    bare id would reach into other collections.
+    """
+    named = [[c for c in ENTITY_KEY if c in t.columns] for t in tables]
+    if any(names != named[0] for names in named):
+        raise ValueError(f"tables name entities by different columns: {named}")
+    return named[0]
+
+
 # --- content addressing -----------------------------------------------------------
 
 
@@ -197,7 +210,8 @@ def list_entities(df: DataFrame, status: str | None = None) -> DataFrame:
 
 
 def get_entities(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return df.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+    keys = entity_key(df, ids)
+    return df.join(ids.select(*keys).distinct(), keys, "left_semi")
 
 
 def id_problem(col: Column) -> Column:
@@ -262,19 +276,20 @@ def event_history_by_type(df: DataFrame, n: int) -> DataFrame:
 def patch_entities(entities: DataFrame, patches: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Apply new ``status`` and ``labels`` where given; returns entities and log rows.
 
-    ``patches`` has one row per ``entity_id``; the version does not change.
+    ``patches`` has one row per entity; the version does not change.
     """
+    keys = entity_key(entities, patches)
     given = patches.select(
-        "entity_id", F.col("status").alias("_status"), F.col("labels").alias("_labels"), F.lit(True).alias("_hit")
+        *keys, F.col("status").alias("_status"), F.col("labels").alias("_labels"), F.lit(True).alias("_hit")
     )
-    joined = entities.join(given, "entity_id", "left")
+    joined = entities.join(given, keys, "left")
     updated = (
         joined.withColumn("status", F.coalesce("_status", "status"))
         .withColumn("labels", F.coalesce("_labels", "labels"))
         .withColumn("updated_at", F.when(F.col("_hit"), now).otherwise(F.col("updated_at")))
     )
     log = updated.filter(F.col("_hit")).select(
-        "entity_id", "version", "content_hash", now.alias("timestamp"), F.lit("update").alias("trigger")
+        *keys, "version", "content_hash", now.alias("timestamp"), F.lit("update").alias("trigger")
     )
     return updated.drop("_status", "_labels", "_hit"), log
 
@@ -284,8 +299,9 @@ def update_content(entities: DataFrame, contents: DataFrame, now: Column) -> tup
 
     Returns entities, log rows, and the changed reps that feed the stale cascade.
     """
-    hashed = contents.select("entity_id", hash16(F.col("content")).alias("_hash"))
-    joined = entities.join(hashed, "entity_id", "left")
+    keys = entity_key(entities, contents)
+    hashed = contents.select(*keys, hash16(F.col("content")).alias("_hash"))
+    joined = entities.join(hashed, keys, "left")
     changed = F.col("_hash").isNotNull() & (F.col("_hash") != F.col("content_hash"))
     updated = (
         joined.withColumn("_changed", F.coalesce(changed, F.lit(False)))
@@ -295,19 +311,20 @@ def update_content(entities: DataFrame, contents: DataFrame, now: Column) -> tup
     )
     touched = updated.filter("_changed")
     log = touched.select(
-        "entity_id", "version", "content_hash", now.alias("timestamp"),
+        *keys, "version", "content_hash", now.alias("timestamp"),
         F.lit("content_update").alias("trigger"),
     )
-    reps = touched.select("entity_id", F.lit("source_original").alias("rep_type"))
+    reps = touched.select(*keys, F.lit("source_original").alias("rep_type"))
     return updated.drop("_hash", "_changed"), log, reps
 
 
 def delete_entities(entities: DataFrame, ids: DataFrame, now: Column, hard: bool = False) -> DataFrame:
     """Soft delete sets the status, hard delete removes the rows."""
-    keys = ids.select("entity_id").distinct()
+    keys = entity_key(entities, ids)
+    doomed = ids.select(*keys).distinct()
     if hard:
-        return entities.join(keys, "entity_id", "left_anti")
-    marked = entities.join(keys.withColumn("_hit", F.lit(True)), "entity_id", "left")
+        return entities.join(doomed, keys, "left_anti")
+    marked = entities.join(doomed.withColumn("_hit", F.lit(True)), keys, "left")
     return (
         marked.withColumn("status", F.when(F.col("_hit"), F.lit("deleted")).otherwise(F.col("status")))
         .withColumn("updated_at", F.when(F.col("_hit"), now).otherwise(F.col("updated_at")))
@@ -341,8 +358,9 @@ def collection_counts(df: DataFrame) -> DataFrame:
 
 def chunk_counts(entities: DataFrame, index: DataFrame) -> DataFrame:
     """Chunks per entity, zero included."""
-    counted = index.groupBy("entity_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    return entities.select("entity_id").join(counted, "entity_id", "left").withColumn(
+    keys = entity_key(entities, index)
+    counted = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunk_count"))
+    return entities.select(*keys).join(counted, keys, "left").withColumn(
         "chunk_count", F.coalesce("chunk_count", F.lit(0).cast("long"))
     )
 
@@ -363,8 +381,9 @@ def reps_by_type(reps: DataFrame, keys: Sequence[str], fields: Sequence[str]) ->
 
 def pipeline_status(entities: DataFrame, reps: DataFrame, index: DataFrame) -> DataFrame:
     """Per entity: which of the known reps exist, the stage reached and index state."""
-    present = reps_by_type(reps, ["entity_id"], ["content_hash", "transform", "status"])
-    joined = entities.join(present, "entity_id", "left").join(chunk_counts(entities, index), "entity_id", "left")
+    keys = entity_key(entities, reps, index)
+    present = reps_by_type(reps, keys, ["content_hash", "transform", "status"])
+    joined = entities.join(present, keys, "left").join(chunk_counts(entities, index), keys, "left")
 
     def rep(name: str) -> Column:
         found = F.col(f"_{name}")

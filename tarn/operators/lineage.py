@@ -2,39 +2,63 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.sizes import broadcast_if_small
 from tarn.functions.text import hash16
-from tarn.operators.entities import ENTITY_KEY
+from tarn.operators.entities import ENTITY_KEY, entity_key
 from tarn.schema import REP_DIMS, REQUIRED_REPS
+from tarn.session import durable
 
-# Longest chain of derived reps that is followed.
-MAX_DEPTH = 32
+# Reps that an error about a cycle names.
+NAMED_REPS = 20
+# Pairs of reps that may be broadcast.
+SMALL_ROWS = 500_000
 
 
 # --- the rule graph ----------------------------------------------------------------
 
 
-def rule_closure(rules: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``input_rep, output_rep, depth`` for every path through the rules.
+def reachable(rules: DataFrame) -> DataFrame:
+    """``input_rep, output_rep`` for every two reps with a path of rules between them.
 
-    Rules are a table of rep types, not of data; ``depth`` is the longest path
-    up to ``max_depth``, which also ends cycles.
+    Each round extends the pairs found last; it ends when no new pair appears, so chains
+    of any length and cycles are followed, and parallel paths count once.
     """
-    edges = rules.select("input_rep", "output_rep").distinct()
-    return rules.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(input_rep, output_rep, depth) AS (
-          SELECT input_rep, output_rep, 1 FROM {{edges}}
-          UNION ALL
-          SELECT w.input_rep, e.output_rep, w.depth + 1
-          FROM walk w JOIN {{edges}} e ON e.input_rep = w.output_rep
-          WHERE w.depth < {int(max_depth)})
-        SELECT input_rep, output_rep, max(depth) AS depth FROM walk GROUP BY input_rep, output_rep
-        """,
-        edges=edges,
-    )
+    edges = durable(rules.select("input_rep", "output_rep").distinct())
+    found = fresh = edges
+    while not fresh.isEmpty():
+        fresh = durable(_one_step(fresh, edges).join(found, ["input_rep", "output_rep"], "left_anti"))
+        found = found.unionByName(fresh)
+    return found
+
+
+def _one_step(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    onward = edges.select(F.col("input_rep").alias("output_rep"), F.col("output_rep").alias("_to"))
+    return pairs.join(onward, "output_rep").select("input_rep", F.col("_to").alias("output_rep")).distinct()
+
+
+def rule_closure(rules: DataFrame) -> DataFrame:
+    """``input_rep, output_rep, depth`` for every two reps with a path of rules between
+    them; ``depth`` is the length of the longest one.
+
+    Round n holds the distinct pairs with a path of n rules. A cycle has no longest path:
+    it is refused, with the reps that lie on it.
+    """
+    edges = durable(rules.select("input_rep", "output_rep").distinct())
+    layers, layer = [], edges
+    while not layer.isEmpty():
+        layers.append(layer.withColumn("depth", F.lit(len(layers) + 1)))
+        circular = layer.filter("input_rep = output_rep").orderBy("input_rep").limit(NAMED_REPS).collect()
+        if circular:
+            raise ValueError(f"rules go round in a circle at {[r['input_rep'] for r in circular]}")
+        layer = durable(_one_step(layer, edges))
+    if not layers:
+        return edges.withColumn("depth", F.lit(0))
+    return reduce(DataFrame.unionByName, layers).groupBy("input_rep", "output_rep").agg(F.max("depth").alias("depth"))
 
 
 def cascade_stale(changes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -43,7 +67,8 @@ def cascade_stale(changes: DataFrame, rules: DataFrame) -> DataFrame:
     ``changes`` has the entity key and ``rep_type``.
     """
     keys = [c for c in changes.columns if c != "rep_type"]
-    reach = F.broadcast(rule_closure(rules).select(F.col("input_rep").alias("rep_type"), "output_rep"))
+    reach = reachable(rules).select(F.col("input_rep").alias("rep_type"), "output_rep")
+    reach = broadcast_if_small(reach, SMALL_ROWS)
     return (
         changes.distinct().join(reach, "rep_type")
         .select(*keys, F.col("output_rep").alias("rep_type")).distinct()
@@ -96,7 +121,7 @@ def lineage(rules: DataFrame, start: str, direction: str = "downstream") -> Data
 def rebuild_order(stale: DataFrame, rules: DataFrame) -> DataFrame:
     """``step_order`` for stale reps: a rep comes after everything it derives from."""
     depth = rule_closure(rules).groupBy(F.col("output_rep").alias("rep_type")).agg(F.max("depth").alias("step_order"))
-    return stale.join(F.broadcast(depth), "rep_type", "left").withColumn(
+    return stale.join(broadcast_if_small(depth, SMALL_ROWS), "rep_type", "left").withColumn(
         "step_order", F.coalesce("step_order", F.lit(0))
     )
 
@@ -310,8 +335,9 @@ def publish(index: DataFrame, published: DataFrame) -> DataFrame:
     ``published`` has one ``version`` per entity: the newest that was published,
     so the old rows stay active until the switch.
     """
-    latest = published.groupBy("entity_id").agg(F.max("version").alias("_live"))
-    return index.join(latest, "entity_id", "left").withColumn(
+    keys = entity_key(index, published)
+    latest = published.groupBy(*keys).agg(F.max("version").alias("_live"))
+    return index.join(latest, keys, "left").withColumn(
         "active", F.coalesce(F.col("version") == F.col("_live"), F.lit(False))
     ).drop("_live")
 
@@ -323,10 +349,11 @@ def as_of(log: DataFrame, when: Column | None = None, version: int | None = None
         chosen = chosen.filter(F.col("timestamp") <= when)
     if version is not None:
         chosen = chosen.filter(F.col("version") <= version)
-    rest = [c for c in log.columns if c != "entity_id"]
-    return chosen.groupBy("entity_id").agg(
+    keys = entity_key(log)
+    rest = [c for c in log.columns if c not in keys]
+    return chosen.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.struct("timestamp", "version")).alias("_s")
-    ).select("entity_id", "_s.*")
+    ).select(*keys, "_s.*")
 
 
 def classify_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -376,8 +403,6 @@ def edge_status(edges: DataFrame, entities: DataFrame) -> DataFrame:
 def neighbors(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Entities within ``hops`` of the seeds along edges in both directions, with the
     shortest distance. Every hop is stored before the next one is planned."""
-    from tarn.session import durable
-
     both = edges.select("src", "dst").unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ).distinct()

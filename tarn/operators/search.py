@@ -20,12 +20,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarn.functions.arrays import let
 from tarn.functions.sizes import broadcast_if_small, is_small
+from tarn.operators.entities import entity_key
 from tarn.session import durable
 
 KEY = ["entity_id", "rep_name", "chunk_index"]
+SCOPE = ["workspace_id", "collection_id"]
 
 # Largest query batch sent to every task as one matrix (rows of the matrix).
 BROADCAST_QUERIES = 2048
+# Mean size of the query batches of an approximate search.
+ANN_BATCH = 1536
 # Block sides of the grid used beyond that.
 GRID_QUERIES = 1024
 GRID_VECTORS = 16384
@@ -42,6 +46,12 @@ def ensure_rep(index: DataFrame) -> DataFrame:
     return index.withColumn("rep_name", F.lit("canonical_md"))
 
 
+def chunk_key(index: DataFrame) -> list[str]:
+    """What names a chunk in ``index``: with workspace and collection where it has them,
+    because equal contents have equal ids in every collection. Ties break in this order."""
+    return [*KEY, *[c for c in SCOPE if c in index.columns]]
+
+
 def best_k(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
     """Top ``k`` per query with a 1-based ``rank``; cut in each map task first."""
     ranked = Window.partitionBy("query_id").orderBy(*order)
@@ -61,15 +71,23 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
         qn = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         vn = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
         return np.round(1.0 - qn @ vn.T, 9)
-    squares = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (q @ v.T)
+    norms = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :]
+    squares = norms - 2.0 * (q @ v.T)
+    # Close pairs lose their digits in this difference and are computed directly.
+    rows, cols = np.nonzero(squares < 1e-6 * norms)
+    step = max(1, _MATRIX_CELLS // max(1, q.shape[1]))
+    for at in range(0, len(rows), step):
+        r, c = rows[at:at + step], cols[at:at + step]
+        squares[r, c] = np.square(q[r] - v[c]).sum(1)
     return np.round(np.sqrt(np.maximum(squares, 0.0)), 9)
 
 
 class _TopK:
     """The best ``k`` keys per query seen so far, as flat arrays."""
 
-    def __init__(self, n_queries: int, k: int):
+    def __init__(self, n_queries: int, k: int, key: Sequence[str]):
         self.k = k
+        self.key = list(key)
         self.limit = np.full(n_queries, np.inf)
         self.pool: list[pd.DataFrame] = []
         self.pooled = 0
@@ -95,7 +113,7 @@ class _TopK:
             self.shrink()
 
     def shrink(self) -> pd.DataFrame:
-        merged = pd.concat(self.pool, ignore_index=True).sort_values(["_q", "distance", *KEY])
+        merged = pd.concat(self.pool, ignore_index=True).sort_values(["_q", "distance", *self.key])
         merged = merged[merged.groupby("_q").cumcount() < self.k]
         sizes = merged.groupby("_q")["distance"].agg(["size", "max"])
         full = sizes[sizes["size"] == self.k]
@@ -104,7 +122,7 @@ class _TopK:
         return merged
 
     def result(self, query_ids: Sequence) -> pd.DataFrame:
-        columns = ["query_id", *KEY, "distance"]
+        columns = ["query_id", *self.key, "distance"]
         if not self.pool:
             return pd.DataFrame(columns=columns)
         merged = self.shrink()
@@ -115,7 +133,7 @@ class _TopK:
 def _scan_block(top: _TopK, q: np.ndarray, keys: pd.DataFrame, v: np.ndarray, metric: str,
                 probed: np.ndarray | None = None, cell: np.ndarray | None = None) -> None:
     """Feed vectors to ``top`` in slices that bound the distance matrix."""
-    order = keys.reset_index(drop=True).sort_values(KEY).index.to_numpy()
+    order = keys.reset_index(drop=True).sort_values(top.key).index.to_numpy()
     width = max(256, _MATRIX_CELLS // max(1, len(q)))
     for at in range(0, len(order), width):
         part = order[at:at + width]
@@ -133,7 +151,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 def _result_schema(index: DataFrame, queries: DataFrame) -> T.StructType:
     """``query_id``, chunk key and distance with the types of the inputs."""
-    fields = [queries.schema["query_id"], *[index.schema[c] for c in KEY]]
+    fields = [queries.schema["query_id"], *[index.schema[c] for c in chunk_key(index)]]
     return T.StructType([T.StructField(f.name, f.dataType) for f in fields]).add("distance", "double")
 
 
@@ -146,51 +164,62 @@ def conforming_vectors(df: DataFrame, dim: int, column: str = "embedding") -> Da
     return df.filter(F.size(column) == dim)
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "l2",
-            cells: np.ndarray | None = None) -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "l2") -> DataFrame:
     """``query_id``, chunk key and distance of the exact ``k`` nearest chunks.
 
     A query batch up to ``BROADCAST_QUERIES`` goes to every task as a matrix;
     the index is scanned once, each task keeps ``k`` rows per query, and only
     those are shuffled. Larger batches are cut into blocks, see ``_grid``.
     """
-    index = conforming_vectors(ensure_rep(index), dim).select(*KEY, "embedding", *(["cell"] if cells is not None else []))
+    index = _searchable(index, dim)
     queries = conforming_vectors(queries, dim).select("query_id", "embedding")
     head = queries.orderBy("query_id").limit(BROADCAST_QUERIES + 1).collect()
-    schema = _result_schema(index, queries)
     if len(head) > BROADCAST_QUERIES:
-        partial = _grid(index, queries, k, metric, schema)
+        partial = _grid(index, queries, k, metric, _result_schema(index, queries))
     else:
-        ids = [r["query_id"] for r in head]
-        matrix = np.array([r["embedding"] for r in head], dtype=np.float64).reshape(-1, dim)
-        shared = index.sparkSession.sparkContext.broadcast((ids, matrix, cells))
-        arrow = to_arrow_schema(schema)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, q, probe = shared.value
-            top = _TopK(len(qids), k)
-            for batch in batches:
-                if batch.num_rows == 0 or not qids:
-                    continue
-                keys = pa.Table.from_batches([batch]).select(KEY).to_pandas()
-                cell = batch.column("cell").to_numpy(zero_copy_only=False) if probe is not None else None
-                # probe[query, cell] says which cells a query looks into
-                _scan_block(top, q, keys, _matrix(batch.column("embedding"), q.shape[1]), metric, probe, cell)
-            found = top.result(qids)
-            if len(found):
-                yield _result_batch(found, arrow)
-
-        partial = index.mapInArrow(scan, schema)
-    return best_k(partial, k, [F.col("distance"), *map(F.col, KEY)])
+        partial = _scan(index, head, k, dim, metric, _result_schema(index, queries))
+    return best_k(partial, k, [F.col("distance"), *map(F.col, chunk_key(index))])
+
+
+def _searchable(index: DataFrame, dim: int, *more: str) -> DataFrame:
+    index = conforming_vectors(ensure_rep(index), dim)
+    return index.select(*chunk_key(index), "embedding", *more)
+
+
+def _scan(index: DataFrame, head: list, k: int, dim: int, metric: str, schema: T.StructType,
+          cells: np.ndarray | None = None) -> DataFrame:
+    """Each task's best ``k`` chunks for every query row of ``head``; ``cells[query, cell]``
+    says which cells a query looks into."""
+    ids = [r["query_id"] for r in head]
+    matrix = np.array([r["embedding"] for r in head], dtype=np.float64).reshape(-1, dim)
+    shared = index.sparkSession.sparkContext.broadcast((ids, matrix, cells))
+    arrow = to_arrow_schema(schema)
+    key = chunk_key(index)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q, probe = shared.value
+        top = _TopK(len(qids), k, key)
+        for batch in batches:
+            if batch.num_rows == 0 or not qids:
+                continue
+            keys = pa.Table.from_batches([batch]).select(key).to_pandas()
+            cell = batch.column("cell").to_numpy(zero_copy_only=False) if probe is not None else None
+            _scan_block(top, q, keys, _matrix(batch.column("embedding"), q.shape[1]), metric, probe, cell)
+        found = top.result(qids)
+        if len(found):
+            yield _result_batch(found, arrow)
+
+    return index.mapInArrow(scan, schema)
 
 
 def _grid(index: DataFrame, queries: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
     """Exact search for a query table of any size: vectors and queries are cut
     into blocks by a hash of their key and every pair of blocks meets once, with
     both sides of a pair bounded in size whatever the data looks like."""
+    key = chunk_key(index)
     n_query_blocks = -(-queries.count() // GRID_QUERIES)
     n_vector_blocks = max(1, -(-index.count() // GRID_VECTORS))
-    left = index.withColumn("vb", F.pmod(F.xxhash64(*KEY), F.lit(n_vector_blocks))).withColumn(
+    left = index.withColumn("vb", F.pmod(F.xxhash64(*key), F.lit(n_vector_blocks))).withColumn(
         "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long")))
     )
     right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks))).withColumn(
@@ -198,11 +227,11 @@ def _grid(index: DataFrame, queries: DataFrame, k: int, metric: str, schema: T.S
     )
 
     def meet(vectors: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        top = _TopK(len(batch), k)
+        top = _TopK(len(batch), k, key)
         if len(vectors) and len(batch):
             q = np.stack(batch["embedding"].to_list()).astype(np.float64)
             v = np.stack(vectors["embedding"].to_list()).astype(np.float64)
-            _scan_block(top, q, vectors[KEY], v, metric)
+            _scan_block(top, q, vectors[key], v, metric)
         return top.result(batch["query_id"].to_list())
 
     return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(meet, schema)
@@ -222,12 +251,13 @@ def with_payload(found: DataFrame, index: DataFrame, queries: DataFrame, k: int)
     result is broadcast to the scan and the index is not shuffled.
     """
     index = ensure_rep(index)
-    rest = [c for c in index.columns if c not in (*KEY, "embedding")]
+    key = chunk_key(index)
+    rest = [c for c in index.columns if c not in (*key, "embedding")]
     if not rest:
         return found
     if is_small(queries, max(1, SMALL_ROWS // k)):
         found = F.broadcast(found)
-    return index.select(*KEY, *rest).join(found, KEY)
+    return index.select(*key, *rest).join(found, key)
 
 
 # --- lexical --------------------------------------------------------------------
@@ -260,26 +290,28 @@ def lexical_terms(index: DataFrame) -> DataFrame:
             ),
         )
 
-    listed = ensure_rep(index).select(*KEY, F.array_sort(tokens(F.col("text"))).alias("_tokens"))
+    index = ensure_rep(index)
+    # A null text is a chunk without terms.
+    words = F.array_sort(tokens(F.coalesce("text", F.lit(""))))
+    listed = index.select(*chunk_key(index), words.alias("_tokens"))
     return listed.select(
-        *KEY, F.size("_tokens").cast("long").alias("dl"), let(F.col("_tokens"), counted).alias("terms")
+        *chunk_key(index), F.size("_tokens").cast("long").alias("dl"), let(F.col("_tokens"), counted).alias("terms")
     )
 
 
 def lexical_postings(index: DataFrame) -> DataFrame:
     """``term, tf, dl`` per chunk and distinct term."""
-    return (
-        lexical_terms(index)
-        .select(*KEY, "dl", F.explode_outer("terms").alias("_p"))
-        .filter(F.col("_p").isNotNull())
-        .select(F.col("_p.term").alias("term"), *KEY, F.col("_p.tf").alias("tf"), "dl")
+    chunks = lexical_terms(index)
+    key = chunk_key(chunks)
+    return chunks.select(*key, "dl", F.explode("terms").alias("_p")).select(
+        F.col("_p.term").alias("term"), *key, F.col("_p.tf").alias("tf"), "dl"
     )
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length in tokens."""
     return index.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl")
+        F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.coalesce("text", F.lit(""))))).alias("avgdl")
     )
 
 
@@ -327,10 +359,10 @@ def rank_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame, k:
     )
     scored = (
         matched.join(F.broadcast(weighted) if small else weighted, "term")
-        .groupBy("query_id", *KEY)
+        .groupBy("query_id", *chunk_key(postings))
         .agg(F.round(F.sum(part), 9).alias("score"))
     )
-    return best_k(scored, k, [F.desc("score"), *map(F.col, KEY)])
+    return best_k(scored, k, [F.desc("score"), *map(F.col, chunk_key(postings))])
 
 
 def _bm25_state(ids: list, terms: list[list[str]], df: dict[str, int], n: int, total: int,
@@ -362,8 +394,8 @@ class _Bm25:
 
     def scan(self, top: _TopK, batch: pa.RecordBatch) -> None:
         """Score the chunks of a batch for all queries and feed ``top``."""
-        keys = pa.Table.from_batches([batch]).select(KEY).to_pandas()
-        order = keys.sort_values(KEY).index.to_numpy()
+        keys = pa.Table.from_batches([batch]).select(top.key).to_pandas()
+        order = keys.sort_values(top.key).index.to_numpy()
         lists = batch.column("terms")
         flat = lists.flatten()
         found = pc.index_in(flat.field("term"), value_set=pa.array(self.vocabulary, pa.string()))
@@ -425,10 +457,11 @@ def rank_chunks(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b
     shared = spark.sparkContext.broadcast(state)
     schema = _result_schema(chunks, queries)
     arrow = to_arrow_schema(schema)
+    key = chunk_key(chunks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = _Bm25(shared.value)
-        top = _TopK(len(mine.ids), k)
+        top = _TopK(len(mine.ids), k, key)
         for batch in batches:
             if batch.num_rows and mine.vocabulary:
                 mine.scan(top, batch)
@@ -437,8 +470,8 @@ def rank_chunks(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b
             yield _result_batch(found, arrow)
 
     partial = chunks.mapInArrow(scan, schema)
-    ranked = best_k(partial, k, [F.col("distance"), *map(F.col, KEY)])
-    return ranked.select("query_id", *KEY, (-F.col("distance")).alias("score"), "rank")
+    ranked = best_k(partial, k, [F.col("distance"), *map(F.col, key)])
+    return ranked.select("query_id", *key, (-F.col("distance")).alias("score"), "rank")
 
 
 def search_lexical(index: DataFrame, queries: DataFrame, k: int = 5, payload: bool = True) -> DataFrame:
@@ -465,6 +498,7 @@ def substring_hits(index: DataFrame, queries: DataFrame, block: int = 512) -> Da
     matches, and the array has a known bound.
     """
     index = ensure_rep(index)
+    key = chunk_key(index)
     n_blocks = max(1, -(-queries.count() // block))
     found = None
     for i in range(n_blocks):
@@ -476,10 +510,10 @@ def substring_hits(index: DataFrame, queries: DataFrame, block: int = 512) -> Da
             index.withColumn("_hay", F.lower("text"))
             .withColumn("_asked", asked)
             .select(
-                *KEY,
+                *key,
                 F.explode(F.filter("_asked", lambda q: F.contains(F.col("_hay"), q["needle"]))).alias("_q"),
             )
-            .select("_q.query_id", *KEY)
+            .select("_q.query_id", *key)
         )
         found = hits if found is None else found.unionByName(hits)
     return found
@@ -487,7 +521,8 @@ def substring_hits(index: DataFrame, queries: DataFrame, block: int = 512) -> Da
 
 def search_substring(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Substring matches, first ``k`` chunks in key order."""
-    ranked = best_k(substring_hits(index, queries), k, [F.col(c) for c in KEY])
+    hits = substring_hits(index, queries)
+    ranked = best_k(hits, k, [F.col(c) for c in chunk_key(hits)])
     return ranked.withColumn("score", 1.0 / F.col("rank")).withColumn("search_type", F.lit("substring"))
 
 
@@ -497,10 +532,12 @@ def search_substring(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFr
 def fuse_rrf(channels: Sequence[tuple[DataFrame, float]], k: int, rrf_k: int = 60,
              key: Sequence[str] = ("entity_id", "chunk_index")) -> DataFrame:
     """Reciprocal rank fusion of ranked channels (``query_id``, key, 1-based ``rank``).
+    Workspace and collection belong to the key where the channels have them.
 
     The row that represents a key is its last one in the first channel that has
     it. Ties keep channel order, then rank.
     """
+    key = [*key, *[c for c in SCOPE if c in channels[0][0].columns and c not in key]]
     parts = None
     for order, (df, weight) in enumerate(channels):
         rest = [c for c in df.columns if c not in ("query_id", *key, "rank", "score", "search_type")]
@@ -577,15 +614,17 @@ def visible_chunks(index: DataFrame, entities: DataFrame, where: Column | None =
     chosen = index if where is None else index.filter(where)
     if include_hidden:
         return chosen
-    enabled = entities.filter(F.col("status").isin("enabled", "active")).select("entity_id")
-    return chosen.join(broadcast_if_small(enabled, SMALL_ROWS), "entity_id", "left_semi")
+    keys = entity_key(index, entities)
+    enabled = entities.filter(F.col("status").isin("enabled", "active")).select(*keys)
+    return chosen.join(broadcast_if_small(enabled, SMALL_ROWS), keys, "left_semi")
 
 
 def search_within(index: DataFrame, queries: DataFrame, entity_ids: DataFrame, k: int = 5,
                   dim: int = 1024, metric: str = "l2") -> DataFrame:
     """Semantic search inside the entities a query over tables selected."""
-    wanted = broadcast_if_small(entity_ids.select("entity_id").distinct(), SMALL_ROWS)
-    inside = index.join(wanted, "entity_id", "left_semi")
+    keys = entity_key(index, entity_ids)
+    wanted = broadcast_if_small(entity_ids.select(*keys).distinct(), SMALL_ROWS)
+    inside = index.join(wanted, keys, "left_semi")
     return search_semantic(inside, queries, k, dim, metric)
 
 
@@ -596,11 +635,12 @@ def search_dual(first: DataFrame, second: DataFrame, queries: DataFrame, k: int,
     both = nearest(first, queries, k, dim, metric).withColumn("channel", F.lit("first")).unionByName(
         nearest(second, queries, k, dim, metric).withColumn("channel", F.lit("second"))
     )
-    merged = both.groupBy("query_id", *KEY).agg(
+    key = chunk_key(both)
+    merged = both.groupBy("query_id", *key).agg(
         F.min("distance").alias("distance"),
         F.min_by("channel", F.struct("distance", "channel")).alias("channel"),
     )
-    return best_k(merged, k, [F.col("distance"), *map(F.col, KEY)])
+    return best_k(merged, k, [F.col("distance"), *map(F.col, key)])
 
 
 def evidence_pack(chunks: DataFrame, table_rows: DataFrame, grep_hits: DataFrame, k: int,
@@ -681,16 +721,25 @@ def search_ann(celled: DataFrame, queries: DataFrame, centres: np.ndarray, k: in
     """Approximate nearest chunks: each query looks into its ``probe`` nearest cells.
 
     Vectors of one cell stay in as many partitions as the scan gives them, so a
-    large cell is not a large task. More queries than one broadcast holds are
-    searched exactly.
+    large cell is not a large task. Queries are searched in batches of one broadcast;
+    where there are several, the results of each are stored before the next begins.
     """
-    sized = conforming_vectors(queries, dim)
-    head = sized.orderBy("query_id").limit(BROADCAST_QUERIES + 1).collect()
-    if len(head) > BROADCAST_QUERIES:
-        return nearest(celled, queries, k, dim, metric)
-    q = np.array([r["embedding"] for r in head], dtype=np.float64).reshape(-1, dim)
-    near = np.argsort(_distances(q, centres, "l2"), axis=1)[:, :probe]
-    mask = np.zeros((len(head), len(centres)), dtype=bool)
-    np.put_along_axis(mask, near, True, axis=1)
-    opened = celled.filter(F.col("cell").isin(sorted({int(c) for c in near.ravel()})))
-    return nearest(opened, sized, k, dim, metric, cells=mask)
+    index = _searchable(celled, dim, "cell")
+    queries = conforming_vectors(queries, dim).select("query_id", "embedding")
+    n_batches = max(1, -(-queries.count() // ANN_BATCH))
+    placed = queries if n_batches == 1 else durable(
+        queries.withColumn("_batch", F.pmod(F.xxhash64("query_id"), F.lit(n_batches)))
+    )
+    schema = _result_schema(index, queries)
+    partial = None
+    for i in range(n_batches):
+        head = (placed if n_batches == 1 else placed.filter(F.col("_batch") == i)).collect()
+        q = np.array([r["embedding"] for r in head], dtype=np.float64).reshape(-1, dim)
+        near = np.argsort(_distances(q, centres, "l2"), axis=1)[:, :probe]
+        mask = np.zeros((len(head), len(centres)), dtype=bool)
+        np.put_along_axis(mask, near, True, axis=1)
+        opened = index.filter(F.col("cell").isin(sorted({int(c) for c in near.ravel()})))
+        found = _scan(opened, head, k, dim, metric, schema, mask)
+        found = found if n_batches == 1 else durable(found)
+        partial = found if partial is None else partial.unionByName(found)
+    return best_k(partial, k, [F.col("distance"), *map(F.col, chunk_key(index))])
