@@ -64,7 +64,10 @@ CHUNK_SCHEMA = (
     "entity_id string, rep_name string, chunk_index bigint, text string, "
     "embedding array<float>, metadata string, embedding_text string"
 )
-VERSION_LOG_SCHEMA = "entity_id string, version int, content_hash string, timestamp string, trigger string"
+VERSION_LOG_SCHEMA = (
+    "workspace_id string, collection_id string, entity_id string, version int, content_hash string, "
+    "timestamp string, trigger string"
+)
 MANIFEST_SCHEMA = (
     "entity_id string, workspace_id string, collection_id string, entity_type string, name string, "
     "source_type string, source_uri string, content_hash string, version int, status string, "

@@ -208,13 +208,13 @@ def test_versions(spark):
     assert entity.first()["entity_id"] == "ent_ba7816bf8f01cfea"
     seen, triggers = [entity.first()["version"]], []
     for text in ("b", "c", "d"):
-        new = entity.select("entity_id", F.lit(text).alias("content"))
+        new = entity.select(*E.ENTITY_KEY, F.lit(text).alias("content"))
         entity, log, reps = E.update_content(entity, new, clock)
         seen.append(entity.first()["version"])
         triggers.append(log.first()["trigger"])
         assert reps.first()["rep_type"] == "source_original"
     assert seen == [1, 2, 3, 4] and triggers == ["content_update"] * 3
-    _, log, reps = E.update_content(entity, entity.select("entity_id", F.lit("d").alias("content")), clock)
+    _, log, reps = E.update_content(entity, entity.select(*E.ENTITY_KEY, F.lit("d").alias("content")), clock)
     assert log.count() == 0 and reps.count() == 0
 
 
