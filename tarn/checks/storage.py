@@ -223,7 +223,7 @@ CHUNKS_SQL = """chunks AS (
 def index_round_trip(spark, sf):
     path = scratch_path(spark, "index")
     X.write_chunk_index(chunk_rows(spark, sf).drop("doc_id"), path, shards=4)
-    return X.read_chunk_index(spark, path, workspace="en", rep="canonical_md", shards=4).select(
+    return X.read_chunk_index(spark, path, workspace="en", rep="canonical_md").select(
         *R.ENTITY_KEY, "chunk_index", "text"
     )
 
@@ -256,8 +256,11 @@ def sync_index(spark, sf):
 def sync_written_index(spark, sf):
     path = scratch_path(spark, "index")
     X.write_chunk_index(chunk_rows(spark, sf).drop("doc_id"), path, shards=4)
-    X.sync_index(spark, path, staged_rows(spark, sf), shards=4)
-    return X.read_chunk_index(spark, path, shards=4).select("entity_id", "rep_name", "chunk_index", "text")
+    # The batch also holds an older version of every document, which must not win.
+    staged = staged_rows(spark, sf).withColumn("version", F.lit(2))
+    older = staged.withColumn("version", F.lit(1)).withColumn("text", F.lit("version 1"))
+    X.sync_index(spark, path, older.union(staged), order="version")
+    return X.read_chunk_index(spark, path).select("entity_id", "rep_name", "chunk_index", "text")
 
 
 @query(

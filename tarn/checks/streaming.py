@@ -307,7 +307,7 @@ def stream_index(spark, sf):
     V.maintain_index(docs, index, scratch_path(spark, "live-checkpoint"), shards=2, chunk=chunk)
     # A second subscriber that replays everything leaves the index as it is.
     V.maintain_index(docs, index, scratch_path(spark, "live-checkpoint"), shards=2, chunk=chunk)
-    return read_chunk_index(spark, index, shards=2).select("entity_id", "chunk_index", "text")
+    return read_chunk_index(spark, index).select("entity_id", "chunk_index", "text")
 
 
 @query("watch_created", "SELECT doc_id, length(text) AS n FROM documents WHERE octet_length(encode(text)) <= 0.004 * 1024 * 1024")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,24 +12,44 @@ from pyspark.sql import types as T
 from tarn.functions.sizes import broadcast_if_small
 from tarn.session import durable, scratch
 
-PARTITIONS = ["workspace_id", "collection_id", "rep_name", "shard"]
+# Shards differ in number from table to table, so the number is part of the path.
+PARTITIONS = ["workspace_id", "collection_id", "rep_name", "shards", "shard"]
 REP_KEY = ["workspace_id", "collection_id", "entity_id", "rep_name"]
 SHARDS = 64
 # Partitions that are named in a filter; more are found by a join.
 MAX_PRUNED = 10_000
 
 
+def _shard(entity: Column, shards: Column) -> Column:
+    return F.pmod(F.xxhash64(entity), shards).cast("int")
+
+
 def with_shard(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     """A hash shard of the entity: partitions stay few and of even size, where one
     directory per entity would mean millions of small files."""
-    return df.withColumn("shard", F.pmod(F.xxhash64("entity_id"), F.lit(shards)).cast("int"))
+    number = F.lit(shards).cast("int")
+    return df.withColumn("shards", number).withColumn("shard", _shard(F.col("entity_id"), number))
 
 
-def write_chunk_index(df: DataFrame, path: str, shards: int = SHARDS, mode: str = "overwrite") -> None:
-    """Write (or replace) an index. Rows are rebalanced by the table layout: Spark
-    splits a large partition over several files and merges small ones, and the
-    rows, with vectors that are costly to make, are computed once."""
-    placed = with_shard(df, shards)
+def stored_shards(spark: SparkSession, path: str) -> int | None:
+    """The number of shards a written index has; none where nothing is written."""
+    try:
+        row = spark.read.parquet(path).select("shards").head()
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return row["shards"] if row else None
+
+
+def _agreed_shards(spark: SparkSession, path: str, asked: int | None) -> int:
+    stored = stored_shards(spark, path)
+    if stored and asked and stored != asked:
+        raise ValueError(f"{path} is written in {stored} shards, not {asked}")
+    return stored or asked or SHARDS
+
+
+def _write(placed: DataFrame, path: str, mode: str = "overwrite") -> None:
     (
         placed.hint("rebalance", *PARTITIONS)
         .sortWithinPartitions(*PARTITIONS, "entity_id", "chunk_index")
@@ -37,18 +58,42 @@ def write_chunk_index(df: DataFrame, path: str, shards: int = SHARDS, mode: str
     )
 
 
+def write_chunk_index(df: DataFrame, path: str, shards: int | None = None, mode: str = "overwrite") -> None:
+    """Write (or replace) an index. Rows are rebalanced by the table layout: Spark
+    splits a large partition over several files and merges small ones, and the
+    rows, with vectors that are costly to make, are computed once.
+
+    A table keeps the number of shards it was first written with."""
+    _write(with_shard(df, _agreed_shards(df.sparkSession, path, shards)), path, mode)
+
+
 def read_chunk_index(spark: SparkSession, path: str, workspace: str | None = None,
                      collection: str | None = None, rep: str | None = None,
-                     entity: str | None = None, shards: int = SHARDS) -> DataFrame:
+                     entity: str | None = None) -> DataFrame:
     """The index, cut to the asked partitions; an entity opens one shard."""
     index = spark.read.parquet(path)
     for column, value in (("workspace_id", workspace), ("collection_id", collection), ("rep_name", rep)):
         if value is not None:
             index = index.filter(F.col(column) == value)
     if entity is not None:
-        shard = F.pmod(F.xxhash64(F.lit(entity)), F.lit(shards)).cast("int")
+        shard = _shard(F.lit(entity), F.col("shards"))
         index = index.filter((F.col("shard") == shard) & (F.col("entity_id") == entity))
-    return index.drop("shard")
+    return index.drop("shards", "shard")
+
+
+def latest_reps(rows: DataFrame, order: str) -> DataFrame:
+    """The rows of the latest version of every (entity, rep), by the column ``order``.
+
+    A version without an order is older than the others. A version that arrived twice
+    counts once: one row for each chunk.
+    """
+    newest = rows.groupBy(*REP_KEY).agg(F.max(order).alias("_newest"))
+    named = newest.select(*[F.col(k).alias(f"_{k}") for k in REP_KEY], "_newest")
+    same = F.col(order).eqNullSafe(F.col("_newest"))
+    for k in REP_KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    once = [*REP_KEY, "chunk_index"] if "chunk_index" in rows.columns else REP_KEY
+    return rows.join(named, same, "left_semi").dropDuplicates(once)
 
 
 def replace_reps(target: DataFrame, staged: DataFrame, touched: DataFrame | None = None) -> DataFrame:
@@ -66,26 +111,54 @@ def _partition_name() -> Column:
     return F.concat_ws("/", *[F.col(c).cast("string") for c in PARTITIONS])
 
 
-def sync_index(spark: SparkSession, path: str, staged: DataFrame, shards: int = SHARDS) -> int:
+def _delete_files(spark: SparkSession, files: list[str]) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for file in files:
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        where.getFileSystem(hadoop).delete(where, False)
+
+
+def sync_index(spark: SparkSession, path: str, staged: DataFrame, order: str | None = None,
+               touched: DataFrame | None = None) -> int:
     """Bring staged chunks into a written index and return their number.
 
-    Only the partitions (collection, rep, shard) that staged rows fall into are
+    Where the rows may hold several versions of a rep, ``order`` names the column
+    that tells the latest. ``touched`` are the (entity, rep) keys that were chunked:
+    those among them without a row in ``staged`` are emptied. The rows of ``staged``
+    count as touched in any case.
+
+    Only the partitions (collection, rep, shard) that touched keys fall into are
     read and rewritten. Running it again with the same rows changes nothing.
     """
+    shards = _agreed_shards(spark, path, None)
     with scratch(spark):
-        fresh = durable(with_shard(staged, shards))
         index = spark.read.parquet(path)
-        names = fresh.select(_partition_name().alias("name")).distinct()
+        rows = latest_reps(staged, order) if order else staged
+        if order and order not in index.columns:
+            rows = rows.drop(order)
+        fresh = durable(with_shard(rows, shards))
+        keys = fresh.select(*REP_KEY)
+        if touched is not None:
+            keys = keys.union(touched.select(*REP_KEY))
+        keys = durable(with_shard(keys.distinct(), shards))
+        names = keys.select(_partition_name().alias("name")).distinct()
         head = names.limit(MAX_PRUNED + 1).collect()
         if len(head) <= MAX_PRUNED:
             # A filter on partition columns alone: other directories are not read.
             current = index.filter(_partition_name().isin([r["name"] for r in head]))
         else:
-            current = index.join(fresh.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
-        touched = broadcast_if_small(fresh.select(*REP_KEY).distinct(), 500_000)
+            current = index.join(keys.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
         # The result is stored before it overwrites the files it was read from.
-        merged = durable(replace_reps(current, fresh, touched))
-        write_chunk_index(merged.drop("shard"), path, shards)
+        merged = durable(replace_reps(current, fresh, broadcast_if_small(keys.select(*REP_KEY), 500_000)))
+        emptied: list[str] = []
+        if touched is not None:
+            # Partitions left without a row are not overwritten; their files go.
+            files = index.select(*PARTITIONS, F.col("_metadata.file_path").alias("_file"))
+            files = files.join(keys.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+            gone = files.join(merged.select(*PARTITIONS).distinct(), PARTITIONS, "left_anti")
+            emptied = [r["_file"] for r in gone.select("_file").distinct().collect()]
+        _write(merged, path)
+        _delete_files(spark, emptied)
         return fresh.count()
 
 

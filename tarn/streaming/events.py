@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,21 +27,25 @@ def subscribe(spark: SparkSession, path: str, *event_types: str, schema: str = E
     return stream.filter(F.col("event_type").isin(*event_types)) if event_types else stream
 
 
-def maintain_index(stream: DataFrame, index_path: str, checkpoint: str, shards: int = 64,
-                   chunk: Callable[[DataFrame], DataFrame] | None = None, interval: str | None = None) -> StreamingQuery:
+def maintain_index(stream: DataFrame, index_path: str, checkpoint: str, shards: int | None = None,
+                   chunk: Callable[[DataFrame], DataFrame] | None = None, interval: str | None = None,
+                   order: str | None = None) -> StreamingQuery:
     """Keep a written index current from a stream of staged chunks, or of documents
-    with ``chunk``. A batch that is replayed replaces the same rows again."""
-    from tarn.sources.index_table import sync_index, write_chunk_index
+    with ``chunk``. A batch that is replayed replaces the same rows again.
+
+    ``order`` names the column that tells the latest of several versions of a rep in a
+    batch. A document that gives no chunk any more leaves the index.
+    """
+    from tarn.sources.index_table import REP_KEY, latest_reps, stored_shards, sync_index, write_chunk_index
 
     def each(batch: DataFrame, _: int) -> None:
-        staged = chunk(batch) if chunk else batch
         spark = batch.sparkSession
-        try:
-            spark.read.parquet(index_path)
-        except AnalysisException:  # nothing written yet
+        latest = latest_reps(batch, order) if order else batch
+        staged = chunk(latest) if chunk else latest
+        if stored_shards(spark, index_path) is None:
             write_chunk_index(staged, index_path, shards)
-            return
-        sync_index(spark, index_path, staged, shards)
+        else:
+            sync_index(spark, index_path, staged, touched=latest.select(*REP_KEY) if chunk else None)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if interval:

@@ -51,15 +51,49 @@ def test_index_partition_pruning(spark, tmp_path):
     )
     path = str(tmp_path / "ix")
     X.write_chunk_index(rows, path, shards=4)
-    one = X.read_chunk_index(spark, path, workspace="w", collection="c1", entity="e5", shards=4)
+    one = X.read_chunk_index(spark, path, workspace="w", collection="c1", entity="e5")
     assert one.count() == 1
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(workspace_id" in plan and "shard" in plan.split("PartitionFilters")[1][:300]
     again = rows.filter("collection_id = 'c2'").withColumn("text", F.lit("new"))
-    assert X.sync_index(spark, path, again, 4) == 25
-    assert X.sync_index(spark, path, again, 4) == 25
+    assert X.sync_index(spark, path, again) == 25
+    assert X.sync_index(spark, path, again) == 25
     counts = {r["text"]: r["count"] for r in X.read_chunk_index(spark, path).groupBy("text").count().collect()}
     assert counts == {"t": 75, "new": 25}
+    with pytest.raises(ValueError, match="4 shards, not 8"):
+        X.write_chunk_index(rows, path, shards=8)
+
+
+def chunk_frame(spark, *rows):
+    names = "workspace_id string, collection_id string, entity_id string, rep_name string, chunk_index long, text string, version int"
+    return spark.createDataFrame([("w", "c d", e, "canonical_md", i, t, v) for e, i, t, v in rows], names)
+
+
+def test_sync_takes_the_latest_version_and_empties(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    X.write_chunk_index(chunk_frame(spark, ("a", 0, "old", 1), ("b", 0, "b", 1)).drop("version"), path, shards=8)
+    batch = chunk_frame(spark, ("a", 0, "v1", 1), ("a", 1, "v1", 1), ("a", 0, "v2", 2), ("a", 0, "v2", 2), ("a", 3, "?", None))
+    for _ in range(2):
+        assert X.sync_index(spark, path, batch, order="version") == 1
+        got = {(r["entity_id"], r["text"]) for r in X.read_chunk_index(spark, path).collect()}
+        assert got == {("a", "v2"), ("b", "b")}
+    # b has no chunk any more: its partition goes, although nothing is written into it.
+    touched = chunk_frame(spark, ("b", 0, "", 2))
+    assert X.sync_index(spark, path, batch.limit(0).drop("version"), touched=touched) == 0
+    assert [r["entity_id"] for r in X.read_chunk_index(spark, path).collect()] == ["a"]
+
+
+def test_stream_with_two_versions_in_a_batch(spark, tmp_path):
+    from tarn.streaming.events import maintain_index
+
+    source, path = str(tmp_path / "in"), str(tmp_path / "ix")
+    chunk_frame(spark, ("a", 0, "v1", 1), ("a", 0, "v2", 2), ("b", 0, "b", 1)).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(chunk_frame(spark).schema).parquet(source)
+    keep = lambda docs: docs.filter("text != ''")
+    for _ in range(2):
+        chunk_frame(spark, ("b", 0, "", 3)).write.mode("append").parquet(source)
+        maintain_index(stream, path, str(tmp_path / "cp"), chunk=keep, order="version")
+        assert [r["text"] for r in X.read_chunk_index(spark, path).collect()] == ["v2"]
 
 
 def test_assemble_defaults(spark):
