@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,11 @@ def query_tables(tables: dict[str, DataFrame], sql: str, with_entity: bool = Tru
     for name, df in tables.items():
         shown = df.withColumn("_entity_id", F.lit(name)) if with_entity else df
         shown.createOrReplaceTempView(name)
+    try:
+        # What writes, such as WITH ... INSERT, is no subquery. Nothing runs here.
+        spark.sql(f"SELECT * FROM (\n{sql.rstrip().rstrip(';')}\n)")
+    except ParseException as error:
+        raise ValueError(f"not a query that only reads: {error}") from error
     return spark.sql(sql)
 
 

@@ -46,15 +46,19 @@ def file_changes(before: DataFrame | None, after: DataFrame) -> DataFrame:
     ).filter(F.col("event_type").isNotNull())
 
 
-def watch_once(spark: SparkSession, listing: DataFrame, state_path: str) -> DataFrame:
+def watch_once(spark: SparkSession, listing: DataFrame, state_path: str,
+               handle: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """One scan of a watched folder: changes against the snapshot kept at
-    ``state_path``, which is then replaced."""
+    ``state_path``, which is replaced once ``handle`` has taken them. If ``handle``
+    fails, the next scan finds the same changes again."""
     now = durable(listing.select("path", "content_hash", "size"))
     try:
         before = spark.read.schema(SNAPSHOT_SCHEMA).parquet(state_path)
     except AnalysisException:  # the path does not exist yet
         before = None
     changes = durable(file_changes(before, now))
+    if handle:
+        handle(changes)
     now.write.mode("overwrite").parquet(state_path)
     return changes
 

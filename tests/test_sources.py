@@ -107,6 +107,9 @@ def test_assemble_defaults(spark):
 def test_only_reading_sql(spark):
     with pytest.raises(ValueError):
         query_table(spark.range(1), "DROP TABLE t")
+    with pytest.raises(ValueError):
+        query_table(spark.range(1), "WITH a AS (SELECT 1 AS id) INSERT INTO t SELECT * FROM a")
+    assert query_table(spark.range(3), "SELECT id FROM t ORDER BY id DESC; ").first()["id"] == 2
     assert query_table(spark.range(3), "WITH x AS (SELECT * FROM t) SELECT count(*) AS n FROM x").first()["n"] == 3
 
 
@@ -125,3 +128,19 @@ def test_scratch_tables_are_removed(spark):
     assert steps() == before
     kept = durable(spark.range(3).filter("id > 9"))
     assert kept.count() == 0 and kept.columns == ["id"] and len(steps() - before) == 1
+
+
+def test_changes_are_kept_until_handled(spark, tmp_path):
+    from tarn.streaming.changes import watch_once
+
+    listing = spark.createDataFrame([("/a", "h", 1)], "path string, content_hash string, size long")
+    state = str(tmp_path / "snapshot")
+    watch_once(spark, listing.withColumn("content_hash", F.lit("g")), state)
+
+    def fail(_):
+        raise RuntimeError("not handled")
+
+    with pytest.raises(RuntimeError):
+        watch_once(spark, listing, state, fail)
+    assert watch_once(spark, listing, state, lambda changes: None).count() == 1
+    assert watch_once(spark, listing, state).count() == 0
