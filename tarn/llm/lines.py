@@ -63,16 +63,18 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return durable(sure.union(counted.where(F.col("n") >= min_sites).select("k1", "k2")))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: int = MAX_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text, source and others) with n_lines, n_boilerplate, n_removed and
     ``clean_text``, the text without its boilerplate lines.
 
     A line, without white space at its ends, is boilerplate if it is found on ``min_sites``
-    distinct sources. A document in which such lines make up more than ``max_share`` percent
-    of the characters is itself a copy that went round; it is left whole for the removal of
-    near duplicates. Blank lines are never counted or removed. A null source is a site of
-    its own; a null text stays null, with 0 lines. Repeated rows are treated alike. Columns
-    of ``docs`` named like the added ones are replaced.
+    distinct sources. Such lines are removed at any share of the text; only a document with
+    no line of its own is left whole, for the removal of near duplicates. Copies stay copies:
+    equal texts lose equal lines. ``max_share`` leaves also those documents whole in which
+    such lines make up more than this percentage of the characters, as ``SQL`` does. Blank
+    lines are never counted or removed. A null source is a site of its own; a null text stays
+    null, with 0 lines. Repeated rows are treated alike. Columns of ``docs`` named like the
+    added ones are replaced.
     """
     added = ("n_lines", "n_boilerplate", "n_removed", "clean_text")
     docs = docs.drop(*added)
@@ -96,7 +98,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: int = MA
             "n_boilerplate": F.size(hits_or_none).cast("long"),
         }
     )
-    cut = (F.col("n_boilerplate") > 0) & (F.col("_bad_chars") * 100 <= max_share * F.col("_chars"))
+    cut = (F.col("n_boilerplate") > 0) & (F.col("n_boilerplate") < F.col("n_lines"))
+    if max_share is not None:
+        cut &= F.col("_bad_chars") * 100 <= max_share * F.col("_chars")
     at = F.transform("_hits", lambda x: x["pos"])
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(at, i)), "\n")
     rows = rows.withColumns(
@@ -130,3 +134,6 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_boilerplate, 0) AS
        CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(clean, '')) END AS clean_md5
 FROM documents d LEFT JOIN totals t ON d.doc_id = t.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+_SHARE = f"100 * coalesce(sum(length(line)) FILTER (hit), 0) <= {MAX_SHARE} * sum(length(line)) AS cut"
+#: The same without the share: only documents with no line of their own stay whole.
+ANY_SHARE_SQL = SQL.replace(_SHARE, "count(*) FILTER (hit) < count(*) FILTER (real_line) AS cut")

@@ -282,6 +282,17 @@ def test_lines(spark):
     assert got[60]["n_boilerplate"] == 0
 
 
+def test_lines_at_any_share(spark):
+    """Boilerplate goes also where it is most of a text; a text without a line of its own stays."""
+    import corpus_pipeline as P
+
+    shared = "a licence line that is found on a dozen sites " * 4
+    rows = [(i, f"{shared}\nown {i}", "en", f"s{i}", 0) for i in range(12)]
+    rows += [(20, f"{shared}\n \n{shared}", "en", "s1", 0), (21, f"own 3\n{shared}", "en", "s3", 0)]
+    got = {r["doc_id"]: r["text"] for r in P.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == {i: f"own {i}" for i in range(12)} | {20: rows[12][1], 21: "own 3"}
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
