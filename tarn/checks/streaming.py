@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.checks.base import query, table
+from tarn.checks.base import ORACLES, query, table
 from tarn.checks.entities import now, with_status
 from tarn.checks.storage import CHUNKS_SQL
 from tarn.operators.chunking import chunk_fixed
@@ -170,8 +170,8 @@ def expire_dead_letters(spark, sf):
 OP = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'enqueue' END"
 
 
-def task_log(spark, sf):
-    return table(spark, sf, "events").select(
+def task_log(events):
+    return events.select(
         F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id")).alias("entity_id"),
         F.expr(OP).alias("op"), F.concat(F.lit("t"), F.col("event_id")).alias("task_id"),
     )
@@ -185,7 +185,7 @@ SELECT entity_id, 't' || min(seq) FILTER (WHERE op = 'enqueue') AS task_id, (cou
        coalesce(max(op) FILTER (WHERE op <> 'enqueue'), 'pending') AS status FROM n GROUP BY entity_id, task HAVING count_if(op = 'enqueue') > 0""",
 )
 def dedup_tasks(spark, sf):
-    return T.dedup_tasks(task_log(spark, sf), ["entity_id"])
+    return T.dedup_tasks(task_log(table(spark, sf, "events")), ["entity_id"])
 
 
 @query(
@@ -240,20 +240,32 @@ def event_stream(spark, sf):
     "SELECT user_id AS entity_id, 't' || min_by(event_id, (ts, 't' || event_id)) AS task_id, count(*) - 1 AS attempts FROM events WHERE event_type IN ('click', 'view') GROUP BY 1",
 )
 def stream_task_dedup(spark, sf):
-    out = scratch_path(spark, "dedup")
     tasks = event_stream(spark, sf).filter("event_type IN ('click', 'view')").select(
-        F.col("user_id").alias("entity_id"), "ts", F.concat(F.lit("t"), F.col("event_id")).alias("task_id")
+        F.col("user_id").alias("entity_id"), "ts", F.concat(F.lit("t"), F.col("event_id")).alias("task_id"), F.lit("enqueue").alias("op")
     )
+    return followed(spark, T.dedup_stream(tasks, ["entity_id"])).drop("status")
+
+
+@query("stream_task_ends", ORACLES["dedup_tasks"])
+def stream_task_ends(spark, sf):
+    """The whole log with its ends, as the batch form reads it."""
+    return followed(spark, T.dedup_stream(task_log(event_stream(spark, sf)), ["entity_id"], "seq"))
+
 
-    def each(batch, _):
-        batch.write.mode("overwrite").parquet(out)
+def followed(spark, changed):
+    """The last state of every task of a stream of changes."""
+    out = scratch_path(spark, "dedup")
+
+    def each(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     query_ = (
-        T.dedup_stream(tasks, ["entity_id"]).writeStream.outputMode("complete").foreachBatch(each)
+        changed.writeStream.outputMode("update").foreachBatch(each)
         .option("checkpointLocation", scratch_path(spark, "dedup-checkpoint")).trigger(availableNow=True).start()
     )
     query_.awaitTermination()
-    return spark.read.parquet(out)
+    last = F.max_by(F.struct("attempts", "status"), "epoch").alias("_r")
+    return spark.read.parquet(out).groupBy("entity_id", "task_id").agg(last).select("entity_id", "task_id", "_r.*")
 
 
 @query(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarn.functions.ordered import ordered_blocks, running_sum
 
@@ -38,15 +40,41 @@ def dedup_tasks(log: DataFrame, keys: Sequence[str] = TASK_KEY, order: Sequence[
 
 
 def dedup_stream(stream: DataFrame, keys: Sequence[str] = TASK_KEY, ts: str = "ts") -> DataFrame:
-    """Running form for a stream of enqueues: first task and repeats per key.
+    """Running form of :func:`dedup_tasks`: the tasks each batch of the log changed, with
+    their attempts and status so far.
 
-    A plain streaming aggregate, so a batch's repeats of a key are combined before
-    they reach its state. Use with output mode ``update`` or ``complete``.
+    The state of a key is its pending task; ``done`` or ``failed`` removes it, so what is
+    kept grows with the pending tasks only. Rows of a batch are taken by ``ts``, then
+    ``task_id``, batches as they arrive. The last row of a key and task holds. Use with
+    output mode ``update``.
     """
-    return stream.groupBy(*keys).agg(
-        F.min_by("task_id", F.struct(ts, "task_id")).alias("task_id"),
-        (F.count(F.lit(1)) - 1).alias("attempts"),
-    )
+    keys = list(keys)
+    columns = [*keys, "task_id", "attempts", "status"]
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values([ts, "task_id"])
+        pending = state.get if state.exists else None
+        enqueued, found = False, []
+        for op, task_id in zip(rows["op"], rows["task_id"], strict=True):
+            if op == "enqueue":
+                pending = (pending[0], pending[1] + 1) if pending else (task_id, 0)
+                enqueued = True
+            elif op in ("done", "failed") and pending:
+                found.append((*key, *pending, op))
+                pending = None
+        if pending and enqueued:
+            found.append((*key, *pending, "pending"))
+            state.update(pending)
+        elif not pending and state.exists:
+            state.remove()
+        yield pd.DataFrame(found, columns=columns)
+
+    names = [stream.schema[k] for k in keys]
+    task = stream.schema["task_id"].dataType
+    kept = StructType().add("task_id", task).add("attempts", "long")
+    changed = StructType(names).add("task_id", task).add("attempts", "long").add("status", "string")
+    needed = stream.select(*dict.fromkeys([*keys, "op", ts, "task_id"]))
+    return needed.groupBy(*keys).applyInPandasWithState(follow, changed, kept, "update", "NoTimeout")
 
 
 def next_attempts(tasks: DataFrame, max_attempts: int | Column = 5, cap: int = 60) -> DataFrame:
