@@ -318,13 +318,15 @@ def corpus_stats(index: DataFrame) -> DataFrame:
 def write_postings(index: DataFrame, path: str, buckets: int = 256) -> None:
     """Postings on disk, partitioned by a hash of the term and sorted by it, so
     that a search reads the files and row groups of its own terms only. The
-    rebalance lets Spark split the bucket of a very common term into several files."""
+    rebalance lets Spark split the bucket of a very common term into several files.
+    The number of buckets is stored with the corpus figures."""
     postings = lexical_postings(index).withColumn("bucket", term_bucket(F.col("term"), buckets))
     (
         postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        .write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .partitionBy("bucket").parquet(f"{path}/postings")
     )
-    corpus_stats(index).write.mode("overwrite").parquet(f"{path}/stats")
+    corpus_stats(index).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -481,12 +483,18 @@ def search_lexical(index: DataFrame, queries: DataFrame, k: int = 5, payload: bo
     return found.withColumn("search_type", F.lit("lexical"))
 
 
-def search_lexical_written(spark, path: str, queries: DataFrame, k: int = 5, buckets: int = 256) -> DataFrame:
-    """BM25 over written postings; the buckets of the query terms are read."""
+def search_lexical_written(spark, path: str, queries: DataFrame, k: int = 5, buckets: int | None = None) -> DataFrame:
+    """BM25 over written postings; the buckets of the query terms are read. Their number
+    is the stored one; another one is refused."""
+    stats = spark.read.parquet(f"{path}/stats")
+    stored = stats.select("buckets").head()[0] if "buckets" in stats.columns else buckets
+    if not stored:
+        raise ValueError(f"{path} does not store its number of buckets")
+    if buckets and stored != buckets:
+        raise ValueError(f"{path} is written in {stored} buckets, not {buckets}")
     postings = spark.read.parquet(f"{path}/postings")
-    wanted = query_terms(queries).select(term_bucket(F.col("term"), buckets).alias("bucket")).distinct()
+    wanted = query_terms(queries).select(term_bucket(F.col("term"), stored).alias("bucket")).distinct()
     pruned = postings.filter(F.col("bucket").isin([r["bucket"] for r in wanted.collect()]))
-    stats = spark.read.parquet(f"{path}/stats")
     return rank_postings(pruned.drop("bucket"), stats, queries, k).withColumn("search_type", F.lit("lexical"))
 
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.operators import search as S
 from tarn.operators.entities import ENTITY_KEY
 from tarn.operators.tables import query_table
 from tarn.sources import corpus as R
@@ -144,3 +145,19 @@ def test_changes_are_kept_until_handled(spark, tmp_path):
         watch_once(spark, listing, state, fail)
     assert watch_once(spark, listing, state, lambda changes: None).count() == 1
     assert watch_once(spark, listing, state).count() == 0
+
+
+def test_written_postings_know_their_buckets(spark, tmp_path):
+    def words(*texts):
+        rows = [("w", "c", f"e{i}", "canonical_md", 0, t) for i, t in enumerate(texts)]
+        return spark.createDataFrame(
+            rows, "workspace_id string, collection_id string, entity_id string, rep_name string, chunk_index long, text string")
+
+    path, asked = str(tmp_path / "postings"), spark.createDataFrame([(i, f"term{i}") for i in range(30)], "query_id long, text string")
+    for buckets in (64, 5):
+        S.write_postings(words(*(f"term{i} common" for i in range(30))), path, buckets)
+        assert S.search_lexical_written(spark, path, asked).select("query_id").distinct().count() == 30
+        with pytest.raises(ValueError, match=f"{buckets} buckets, not 7"):
+            S.search_lexical_written(spark, path, asked, buckets=7)
+    S.write_postings(words("term1"), path, 64)
+    assert [r["query_id"] for r in S.search_lexical_written(spark, path, asked).collect()] == [1]
