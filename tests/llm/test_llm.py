@@ -349,6 +349,22 @@ def test_queries_match_their_sql(spark, name):
     assert check(spark, duck(SF), SF, name, QUERIES[name], ORACLES[name]).startswith("OK")
 
 
+def test_near_dedup_of_rows_with_equal_or_no_ids(spark):
+    import corpus_pipeline as P
+
+    texts = [" ".join(f"{w}{i * i % 97}" for i in range(60)) for w in "abcdef"]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (3, texts[0] + " tail"), (9, texts[2]), (9, texts[3])]
+    rows += [(None, texts[4]), (None, texts[4]), (None, texts[4] + " tail"), (None, texts[2]), (None, texts[5]), (8, texts[5])]
+    rows += [(5, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, "").collect()]
+    one = [t for i, t in got if i is None and t and t.startswith("e")]
+    assert len(one) == 1 and one[0] in (texts[4], texts[4] + " tail")
+    rest = [x for x in got if x != (None, one[0])]
+    want = [(3, texts[0] + " tail"), (7, texts[1]), (8, texts[5]), (9, texts[2]), (9, texts[3]), (5, None), (None, None), (None, "")]
+    assert sorted(rest, key=str) == sorted(want, key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
