@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm import decontaminate as leaks
 from tarn.llm import lines, mtree, repetition
 from tarn.llm.lines import dedup_lines
 from tarn.llm.minhash import near_duplicates
@@ -93,6 +94,15 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES], "is_toxic")
 
 
+def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    rows = leaks.decontaminate(_texts(spark, sf), _table(spark, sf, "benchmark"))
+    n_hit = leaks.n_hit(F.col("hits"))
+    return rows.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_top_k,
         op9_personal_data,
         op10_toxicity,
+        op12_decontamination,
         pipeline,
     )
 }
@@ -121,4 +132,5 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup_any_share": lines.ANY_SHARE_SQL,
     "op5_repetition_rules": repetition.SQL,
     "op8_exact_top_k": mtree.SQL,
+    "op12_decontamination": leaks.SQL,
 }
