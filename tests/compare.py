@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -80,6 +81,7 @@ def session():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "12g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tarn-compare-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
@@ -89,14 +91,15 @@ def session():
 
 
 def main(argv: list[str]) -> int:
-    from tarn.checks import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
 
+    QUERIES, ORACLES = queries(), oracle_sql()
     sf = "/root/testdata/sf0.01"
     if "--sf" in argv:
         i = argv.index("--sf")
         sf = argv[i + 1]
         argv = argv[:i] + argv[i + 2:]
-    names = [n for n in QUERIES if not argv or any(n.startswith(a) or QUERIES[n].__module__.endswith("." + a) for a in argv)]
+    names = [n for n in QUERIES if not argv or any(n.startswith(a) for a in argv)]
     spark, con, bad = session(), duck(sf), 0
     for name in names:
         try:
