@@ -305,8 +305,8 @@ places AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM d),
 found AS (
   SELECT p.doc_id, p.pos, s.size, windows.item FROM places p JOIN sizes s ON p.pos + s.size - 1 <= len(p.ws)
   JOIN windows ON windows.w = p.ws[p.pos:p.pos + s.size - 1]),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n FROM (
-  SELECT doc_id, unnest(range(pos, pos + size)) AS at FROM found) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n FROM (
+  SELECT doc_id, unnest(range(pos, pos + size)) AS place FROM found) GROUP BY doc_id),
 names AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(names.n, 0) AS n_items,
