@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import decontaminate as leaks
-from tarn.llm import lines, mtree, repetition
+from tarn.llm import lines, mtree, repair, repetition
 from tarn.llm.lines import dedup_lines
 from tarn.llm.minhash import near_duplicates
 from tarn.llm.mtree import top_k
@@ -94,6 +94,10 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c in CATEGORIES], "is_toxic")
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair(_table(spark, sf, "conversations"))
+
+
 def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     rows = leaks.decontaminate(_texts(spark, sf), _table(spark, sf, "benchmark"))
     n_hit = leaks.n_hit(F.col("hits"))
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_top_k,
         op9_personal_data,
         op10_toxicity,
+        op11_conversation_repair,
         op12_decontamination,
         pipeline,
     )
@@ -132,5 +137,6 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup_any_share": lines.ANY_SHARE_SQL,
     "op5_repetition_rules": repetition.SQL,
     "op8_exact_top_k": mtree.SQL,
+    "op11_conversation_repair": repair.SQL,
     "op12_decontamination": leaks.SQL,
 }
