@@ -30,7 +30,7 @@ def duck(sf: str):
 
 
 def canon(value):
-    if value is None:
+    if value is None or type(value).__name__ in ("NAType", "NaTType"):
         return None
     if isinstance(value, float):
         if math.isnan(value):
