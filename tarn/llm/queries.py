@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import decontaminate as leaks
-from tarn.llm import lines, mtree, repair, repetition
+from tarn.llm import lines, mtree, repair, repetition, trie
 from tarn.llm.lines import dedup_lines
 from tarn.llm.minhash import near_duplicates
 from tarn.llm.mtree import top_k
@@ -19,6 +19,7 @@ from tarn.llm.sentencepieces import encoded_digest
 from tarn.llm.substrings import remove_repeats
 from tarn.llm.token_files import read_tokens, token_path, write_tokens
 from tarn.llm.toxicity import CATEGORIES, score_toxicity
+from tarn.llm.trie import prefix_trie
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -107,6 +108,10 @@ def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -129,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_conversation_repair,
         op12_decontamination,
+        op13_prefix_trie,
         pipeline,
     )
 }
@@ -139,4 +145,5 @@ ORACLES: dict[str, str] = {
     "op8_exact_top_k": mtree.SQL,
     "op11_conversation_repair": repair.SQL,
     "op12_decontamination": leaks.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
