@@ -275,7 +275,9 @@ def _chunks(conversations: DataFrame, long: int) -> DataFrame:
     """(conv_id, base, z, sizes, more, ph, pl): rebuilt conversations in rows of ``WIDTH`` turns
     from turn ``base`` on, with the key of all turns before."""
     turns = _turns(conversations)
-    sizes = durable(turns.groupBy("conv_id").count().where(F.col("count") > long).select("conv_id"))
+    # A long conversation has more turns than it may take from another one.
+    sizes = turns.groupBy("conv_id").count().where(F.col("count") > max(long, HEAD))
+    sizes = durable(sizes.select("conv_id"))
     item = F.struct("id", "size")
     if sizes.isEmpty():
         short, numbered = turns, None
