@@ -7,11 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.arrays import let
 from tarn.functions.sizes import broadcast_if_small
 from tarn.session import durable
 
 MIN_SITES = 10
-MAX_SHARE = 50
 SKETCH_LOG_SIZE = 12
 BROADCAST_ROWS = 100_000
 BLANK = " \t\n\x0b\f\r"
@@ -27,8 +27,8 @@ def _key(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each line that is not blank: _row, pos, site, a 128-bit name of the
-    trimmed line, and its length."""
+    """One row for each line that is not blank: _row, pos, site, and a 128-bit name of the
+    trimmed line."""
     site = F.coalesce(F.col("source").cast("string"), F.lit(""))
     lines = _key(docs).select("_row", site.alias("site"), F.posexplode(_lines(F.col("text"))).alias("pos", "raw"))
     line = F.btrim("raw", F.lit(BLANK))
@@ -39,7 +39,6 @@ def occurrences(docs: DataFrame) -> DataFrame:
         "site",
         F.xxhash64("line").alias("k1"),
         F.xxhash64(F.lit("line"), F.reverse("line")).alias("k2"),
-        F.length("line").alias("chars"),
     )
 
 
@@ -63,46 +62,50 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return durable(sure.union(counted.where(F.col("n") >= min_sites).select("k1", "k2")))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: int | None = None) -> DataFrame:
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines whose places are not in ``gone``, which ascends: the stretches between the
+    places, so the work grows with the lines and not with lines times places."""
+
+    def cut(both: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(both["gone"], lambda p: p + 1))
+        ends = F.concat(both["gone"], F.array(F.size(both["lines"])))
+        return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(both["lines"], a + 1, b - a)))
+
+    return let(F.struct(lines.alias("lines"), gone.alias("gone")), cut)
+
+
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` (doc_id, text, source and others) with n_lines, n_boilerplate, n_removed and
     ``clean_text``, the text without its boilerplate lines.
 
     A line, without white space at its ends, is boilerplate if it is found on ``min_sites``
     distinct sources. Such lines are removed at any share of the text; only a document with
     no line of its own is left whole, for the removal of near duplicates. Copies stay copies:
-    equal texts lose equal lines. ``max_share`` leaves also those documents whole in which
-    such lines make up more than this percentage of the characters, as ``SQL`` does. Blank
-    lines are never counted or removed. A null source is a site of its own; a null text stays
-    null, with 0 lines. Repeated rows are treated alike. Columns of ``docs`` named like the
-    added ones are replaced.
+    equal texts lose equal lines. Blank lines are never counted or removed. A null source is
+    a site of its own; a null text stays null, with 0 lines. Repeated rows are treated alike.
+    Columns of ``docs`` named like the added ones are replaced.
     """
     added = ("n_lines", "n_boilerplate", "n_removed", "clean_text")
     docs = docs.drop(*added)
     lines = occurrences(docs)
     bad = boilerplate(lines, min_sites)
     hits = lines.join(broadcast_if_small(bad, BROADCAST_ROWS), ["k1", "k2"])
-    hits = hits.groupBy("_row.doc_id", "_row.h").agg(F.collect_set(F.struct("pos", "chars")).alias("_hits"))
+    hits = hits.groupBy("_row.doc_id", "_row.h").agg(F.array_sort(F.collect_set("pos")).alias("_hits"))
     doc_id, h = F.coalesce("doc_id", F.lit(0)), F.col("h")
     hits = hits.select(doc_id.alias("_id"), F.col("doc_id").isNull().alias("_no_id"), h.alias("_h"), "_hits")
     rows = docs.withColumns(
         {"_id": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull(), "_h": F.xxhash64("text")}
     ).join(hits, ["_id", "_no_id", "_h"], "left")
-    hits_or_none = F.coalesce("_hits", F.array().cast("array<struct<pos:int,chars:int>>"))
     split = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(_lines(F.col("text")))
-    lengths = F.transform(split, lambda x: F.length(F.btrim(x, F.lit(BLANK))))
+    real = F.filter(split, lambda x: F.btrim(x, F.lit(BLANK)) != "")
     rows = rows.withColumns(
         {
-            "n_lines": F.size(F.filter(lengths, lambda n: n > 0)).cast("long"),
-            "_chars": F.aggregate(lengths, F.lit(0).cast("long"), lambda a, n: a + n),
-            "_bad_chars": F.aggregate(hits_or_none, F.lit(0).cast("long"), lambda a, x: a + x["chars"]),
-            "n_boilerplate": F.size(hits_or_none).cast("long"),
+            "n_lines": F.size(real).cast("long"),
+            "n_boilerplate": F.when(F.col("_hits").isNull(), 0).otherwise(F.size("_hits")).cast("long"),
         }
     )
     cut = (F.col("n_boilerplate") > 0) & (F.col("n_boilerplate") < F.col("n_lines"))
-    if max_share is not None:
-        cut &= F.col("_bad_chars") * 100 <= max_share * F.col("_chars")
-    at = F.transform("_hits", lambda x: x["pos"])
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(at, i)), "\n")
+    kept = F.array_join(_without(split, F.col("_hits")), "\n")
     rows = rows.withColumns(
         {
             "n_removed": F.when(cut, F.col("n_boilerplate")).otherwise(F.lit(0).cast("long")),
@@ -124,7 +127,7 @@ marked AS (
   SELECT n.*, n.line <> '' AS real_line, b.line IS NOT NULL AS hit FROM named n LEFT JOIN bad b ON n.line = b.line),
 totals AS (
   SELECT doc_id, count(*) FILTER (real_line) AS n_lines, count(*) FILTER (hit) AS n_boilerplate,
-         100 * coalesce(sum(length(line)) FILTER (hit), 0) <= {MAX_SHARE} * sum(length(line)) AS cut
+         count(*) FILTER (hit) < count(*) FILTER (real_line) AS cut
   FROM marked GROUP BY doc_id),
 kept AS (
   SELECT m.doc_id, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT (hit AND cut)) AS clean
@@ -134,6 +137,3 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_boilerplate, 0) AS
        CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(clean, '')) END AS clean_md5
 FROM documents d LEFT JOIN totals t ON d.doc_id = t.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
-_SHARE = f"100 * coalesce(sum(length(line)) FILTER (hit), 0) <= {MAX_SHARE} * sum(length(line)) AS cut"
-#: The same without the share: only documents with no line of their own stay whole.
-ANY_SHARE_SQL = SQL.replace(_SHARE, "count(*) FILTER (hit) < count(*) FILTER (real_line) AS cut")
