@@ -23,21 +23,29 @@ EXTRA_KINDS = ("secret", "telephone")
 
 # The fixed patterns. A start that is not at the beginning of a run of its characters
 # cannot match where the run's beginning did not, so it is not tried: long runs stay linear.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+# Java walks a repeated group by recursion unless it is possessive; no other one is unbounded.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 # On text in which only separators between two digits are left.
 CARD = r"[0-9][0-9 -]*[0-9]"
 LOOSE_SEPARATOR = r"(?<![0-9])[ -]|[ -](?![0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-SECRET = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,64}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+"
 TELEPHONE = r"(?<![0-9(+-])(?:\([0-9]{3}\) |[0-9]{3}[ -])[0-9]{3}[ -][0-9]{4}(?![0-9-])"
 
-#: Words before a span that speak for it, as fixed values.
-GAZETTEER = ("password", "passwd", "token", "secret", "key", "auth", "phone", "tel", "call", "mobile", "fax")
+#: Words before a span that speak for it, as fixed values: English, French, German, Spanish.
+GAZETTEER = (
+    "password", "passwd", "token", "secret", "key", "auth", "phone", "tel", "call", "mobile", "fax",
+    "mot de passe", "jeton", "clé", "téléphone", "portable", "appelez",
+    "passwort", "kennwort", "geheimnis", "schlüssel", "telefon", "handy", "anruf",
+    "contraseña", "clave", "secreto", "teléfono", "móvil", "llame",
+)
 CONTEXT = 24
 
 SPAN = "array<struct<start:int,stop:int,kind:int,found:string>>"
+#: What the classifier sees of a span besides the votes.
+TRAITS = ("long", "hexadecimal", "varied", "ends_in_digit", "telephone")
 VOTES = ("shape", "gazetteer", "assigned", "mixture", "surroundings")
 ROUNDS = 50
 
@@ -134,9 +142,9 @@ def candidate_spans(text: Column, base: Column) -> Column:
         changes = F.length(F.regexp_replace(F.regexp_replace(x, "[0-9]+", "0"), "[A-Za-z]+", "a"))
         is_phone = s["kind"] == 5
         shape = vote(
-            is_phone | F.rlike(x, F.lit("^(?:[0-9a-f]{16,64}|[A-Z0-9]{20})$")), F.rlike(x, F.lit("^[A-Za-z]+[0-9]+$"))
+            is_phone | F.rlike(x, F.lit("^(?:[0-9a-f]{16,}+|[A-Z0-9]{20})$")), F.rlike(x, F.lit("^[A-Za-z]+[0-9]+$"))
         )
-        known = vote(F.rlike(before, F.lit(rf"(?i)\b(?:{words})\b[^A-Za-z0-9]*$")), F.lit(False))
+        known = vote(F.rlike(before, F.lit(rf"(?iU)\b(?:{words})\b[^\pL\pN]*+$")), F.lit(False))
         assigned = vote(F.rlike(before, F.lit("[=:]\\s*[\"']?$")), F.rlike(before, F.lit("[/#@]$")))
         mixture = vote(changes >= 5, ~is_phone & (changes <= 2))
         after = F.substring(text, s["stop"] + 1, F.lit(1))
@@ -146,6 +154,18 @@ def candidate_spans(text: Column, base: Column) -> Column:
             s["stop"].alias("stop"),
             s["kind"].alias("kind"),
             F.array(shape, known, assigned, mixture, vote(alone, ~alone)).alias("votes"),
+            F.array(
+                *[
+                    F.when(trait, 1).otherwise(0).cast("tinyint")
+                    for trait in (
+                        F.length(x) >= 32,
+                        F.rlike(x, F.lit("^[0-9A-Fa-f]++$")),
+                        F.size(F.array_distinct(F.split(F.substring(x, 1, 256), ""))) >= 12,
+                        F.rlike(x, F.lit("[0-9]$")),
+                        is_phone,
+                    )
+                ]
+            ).alias("traits"),
         )
 
     return F.transform(spans, voted)
@@ -182,18 +202,19 @@ def posterior(votes: tuple[int, ...], prior: float, rates: list[tuple[float, flo
     return 1 / (1 + math.exp(-max(min(odds, 30), -30)))
 
 
-def train(counts: list[tuple[tuple[int, ...], int, int]], steps: int = 400) -> list[float]:
-    """Weights of a logistic classifier on the votes and the kind, fitted to the soft labels.
+def train(counts: list[tuple[tuple[int, ...], tuple[int, ...], int]], steps: int = 400) -> list[float]:
+    """Weights of a logistic classifier on votes and traits, fitted to the soft labels of the
+    votes. The traits let it tell apart spans on which the votes agree.
 
-    ``counts`` holds (votes, kind, count) of every pattern: at most 2 * 3**5 of them.
+    ``counts`` holds (votes, traits, count) of every pattern: at most 3**5 * 2**5 of them.
     """
     merged: dict[tuple[int, ...], int] = {}
     for v, _, n in counts:
         merged[v] = merged.get(v, 0) + n
     prior, rates = reliabilities(sorted(merged.items()))
     total = sum(merged.values())
-    rows = [((1.0, *map(float, v), float(kind == 5)), n / total, posterior(v, prior, rates)) for v, kind, n in counts]
-    weights = [0.0] * (len(VOTES) + 2)
+    rows = [((1.0, *map(float, v), *map(float, t)), n / total, posterior(v, prior, rates)) for v, t, n in counts]
+    weights = [0.0] * (1 + len(VOTES) + len(TRAITS))
     for _ in range(steps if rows else 0):
         slope = [0.001 * w for w in weights]
         for x, n, p in rows:
@@ -220,13 +241,14 @@ def find_private(docs: DataFrame) -> DataFrame:
     found = found.withColumn("_candidates", candidate_spans(text, F.col("base")))
     found = durable(found)
     patterns = found.where(F.size("_candidates") > 0).select(F.explode("_candidates").alias("c"))
-    counts = patterns.groupBy("c.votes", "c.kind").count().collect()
-    weights = train(sorted((tuple(r["votes"]), r["kind"], r["count"]) for r in counts))
+    counts = patterns.groupBy("c.votes", "c.traits").count().collect()
+    weights = train(sorted((tuple(r["votes"]), tuple(r["traits"]), r["count"]) for r in counts))
 
     def accepted(c: Column) -> Column:
-        score = F.lit(weights[0]) + F.when(c["kind"] == 5, F.lit(weights[-1])).otherwise(0.0)
-        for k, w in enumerate(weights[1:-1]):
-            score = score + c["votes"][k] * F.lit(w)
+        score = F.lit(weights[0])
+        for k, w in enumerate(weights[1:]):
+            seen = c["votes"][k] if k < len(VOTES) else c["traits"][k - len(VOTES)]
+            score = score + seen * F.lit(w)
         return score > 0
 
     added = F.transform(
