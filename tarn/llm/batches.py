@@ -6,7 +6,9 @@ megabytes of text, so memory does not depend on Spark's batch size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import importlib
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,18 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def held(module: str, key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in each Python worker and kept for its later tasks.
+
+    This package travels to the workers by value, anew for every task, so the object hangs on
+    ``module``, a library that the worker has imported.
+    """
+    shelf = importlib.import_module(module).__dict__.setdefault("_tarn_held", {})
+    if key not in shelf:
+        shelf[key] = make()
+    return shelf[key]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; null is the empty text."""
     column = column.fill_null("") if column.null_count else column

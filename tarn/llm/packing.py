@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.batches import slices
-from tarn.llm.tokens import Encoder, default_path
+from tarn.llm.tokens import default_path, encoder
 from tarn.session import durable
 
 WINDOW = 1024
@@ -170,10 +170,10 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, window: int = W
     model = tokenizer or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        coder = None
         for rows, _, _ in slices(batches):
-            encoder = encoder or Encoder(model)
-            ids, offsets = encoder.encode(rows.column("text").to_pylist())
+            coder = coder or encoder(model)
+            ids, offsets = coder.encode(rows.column("text").to_pylist())
             sizes = np.diff(offsets)
             n_pieces = -(-sizes // window)
             owner = np.repeat(np.arange(len(sizes)), n_pieces)
@@ -181,7 +181,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, window: int = W
             start = k * window
             length = np.minimum(sizes[owner] - start, window)
             wide = ids.astype("<u4")
-            small = ids.astype(encoder.id_type)
+            small = ids.astype(coder.id_type)
             crc, tail = [], []
             for a, n in zip((offsets[owner] + start).tolist(), length.tolist(), strict=True):
                 crc.append(zlib.crc32(wide[a : a + n].tobytes()))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from tarn.llm.batches import lists, slices
+from tarn.llm.batches import held, lists, slices
 
 SPACE = "▁"
 #: Distinct words a task remembers with their ids.
@@ -264,6 +264,16 @@ class Decoder:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def coders(path: str) -> tuple[Codec, Decoder]:
+    """The codec and decoder of this Python worker for the model at ``path``."""
+
+    def make() -> tuple[Codec, Decoder]:
+        pieces = Pieces(path)
+        return Codec(pieces), Decoder(pieces)
+
+    return held("sentencepiece", ("coders", path), make)
+
+
 def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
     """``docs`` (text and others) with ``ids``, as the model's library encodes the text.
 
@@ -276,7 +286,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for rows, _, _ in slices(batches):
-            codec = codec or Codec(Pieces(path))
+            codec = codec or coders(path)[0]
             ids, offsets = codec.encode(rows.column("text").to_pylist())
             column = lists(ids, np.diff(offsets), pa.int32())
             yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, "ids"])
@@ -292,7 +302,7 @@ def decode_pieces(rows: DataFrame, model: str | None = None) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = None
         for batch in batches:
-            decoder = decoder or Decoder(Pieces(path))
+            decoder = decoder or coders(path)[1]
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 lists_ = part.column("ids")
@@ -313,8 +323,7 @@ def encoded_digest(docs: DataFrame, model: str | None = None) -> DataFrame:
         codec = None
         for rows, _, _ in slices(batches):
             if codec is None:
-                pieces = Pieces(path)
-                codec, decoder = Codec(pieces), Decoder(pieces)
+                codec, decoder = coders(path)
             texts = rows.column("text").to_pylist()
             ids, offsets = codec.encode(texts)
             ids = ids.astype("<u4")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.batches import slices
-from tarn.llm.tokens import Encoder, default_path
+from tarn.llm.tokens import default_path, encoder
 from tarn.session import durable, scratch_path
 
 SEQUENCE = 1024
@@ -120,14 +120,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> Da
         n_docs = n_tokens = 0
         for rows, _, _ in slices(batches):
             if writer is None:
-                encoder = Encoder(model)
+                coder = encoder(model)
                 fs, root = pa.fs.FileSystem.from_uri(base)
                 fs.create_dir(root, recursive=True)
                 name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
                 sinks = [fs.open_output_stream(f"{root}/{name}.{kind}.arrow") for kind in ("tokens", "docs")]
-                writer = SequenceWriter(sinks[0], encoder.id_type)
+                writer = SequenceWriter(sinks[0], coder.id_type)
                 index = pa.ipc.new_file(sinks[1], DOCS)
-            ids, offsets = encoder.encode(rows.column("text").to_pylist())
+            ids, offsets = coder.encode(rows.column("text").to_pylist())
             writer.add(ids)
             starts = pa.array(offsets[:-1] + n_tokens, pa.int64())
             sizes = pa.array(np.diff(offsets), pa.int64())

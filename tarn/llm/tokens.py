@@ -8,6 +8,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from tarn.llm.batches import held
+
 #: A space between two characters that are not white space always begins a token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
@@ -37,6 +39,11 @@ def pieces_of(text: str) -> list[str]:
     return text.split(" ")
 
 
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker for the file at ``path``."""
+    return held("tokenizers", ("encoder", path), lambda: Encoder(path))
+
+
 class Encoder:
     """Ids of a byte-level BPE file of the ``tokenizers`` library, as its ``encode`` gives.
 
