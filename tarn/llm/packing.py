@@ -171,9 +171,9 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, window: int = W
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
-        for rows, _, _ in slices(batches):
+        for rows, data, at in slices(batches):
             coder = coder or encoder(model)
-            ids, offsets = coder.encode(rows.column("text").to_pylist())
+            ids, offsets = coder.encode_bytes(data, at)
             sizes = np.diff(offsets)
             n_pieces = -(-sizes // window)
             owner = np.repeat(np.arange(len(sizes)), n_pieces)

@@ -8,14 +8,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from tarn.llm.batches import held, lists, slices
+from tarn.llm.batches import held, lists, slices, utf8
+from tarn.llm.wordtable import WordTable
 
 SPACE = "▁"
-#: Distinct words a task remembers with their ids.
-REMEMBERED = 200_000
 #: Bytes from which a word is merged on its own.
 LONG_WORD = 256
 
@@ -164,15 +164,12 @@ class Codec:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.table: dict[str, int] = {}
-        self.flat = np.empty(0, np.int32)
-        self.start = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int64)
-        self.by_text = {t: i for i, t in enumerate(pieces.texts)}
-
-    def _learn(self, words: list[str]) -> None:
-        p = self.pieces
-        raw = [w.encode() for w in words]
+        self.table = WordTable()
+
+    def _learn(self, words: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new words; the first one of a text has a space of its own before it."""
+        p, mark = self.pieces, SPACE.encode()
+        raw = [mark * f + w.replace(b" ", mark) for w, f in zip(words, first.tolist(), strict=True)]
         depth = 8 * -(-max(map(len, p.texts)) // 8)
         # A word ends with a byte that no text holds, so no match crosses it.
         joined = b"\xff".join(raw) + b"\xff"
@@ -206,49 +203,38 @@ class Codec:
         ids = np.where(whole, name[symbol], p.byte_ids[data[keep]])[emit]
         owner = np.searchsorted(ends, keep[emit], "right")
         counts = np.bincount(owner, minlength=len(words))
-        base = len(self.size)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
-        self.size = np.concatenate([self.size, counts])
-        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-        self.table.update(zip(words, range(base, base + len(words)), strict=True))
+        return ids, np.cumsum(counts) - counts, counts
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """The text as the model sees it, cut where a run of spaces begins."""
-        marked = SPACE + text.replace(" ", SPACE)
-        parts = marked.split(SPACE)
-        if "" not in parts[1:]:
-            return [SPACE + x for x in parts[1:]]
-        out, run = [], ""
-        for x in parts[1:]:
-            run += SPACE
-            if x:
-                out.append(run + x)
-                run = ""
-        return out + [run] * bool(run)
+    def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, row) of the words: each text is cut where a run of spaces begins."""
+        space = data == 0x20
+        opens = space.copy()
+        opens[1:] &= ~space[:-1]
+        begin = np.zeros(len(data) + 1, bool)
+        begin[offsets[:-1]] = True
+        # A text's own beginning is one; so are spaces there, which follow the added one.
+        opens |= begin[:-1]
+        start = np.flatnonzero(opens)
+        row = np.searchsorted(offsets, start, "right") - 1
+        return start, np.append(start[1:], len(data)), row
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, offsets) of texts; empty ones have no ids."""
+        if (data == 0xE2).any() and SPACE.encode() in (raw := data.tobytes()):
+            # To the model this character is a space.
+            texts = [raw[a:b].replace(SPACE.encode(), b" ").decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            data, offsets = utf8(pa.array(texts, pa.string()))
+        start, end, row = self.words(data, offsets)
+        first = np.append(True, row[1:] != row[:-1]) if len(row) else np.empty(0, bool)
+        ids, sizes = self.table.ids(data, start, end, first, self._learn)
+        counts = np.zeros(len(offsets) - 1, np.int64)
+        np.add.at(counts, row, sizes)
+        return ids.astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, offsets); null and empty texts have no ids."""
-        keys: list[str] = []
-        ends = [0]
-        for text in texts:
-            if text:
-                keys += self.words(text)
-            ends.append(len(keys))
-        known = len(self.table)
-        new = [k for k in dict.fromkeys(keys) if k not in self.table]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.table.__getitem__, keys), np.int64, len(keys))
-        sizes = self.size[at]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.flat[np.repeat(self.start[at] - stops[:-1], sizes) + np.arange(stops[-1])]
-        if len(self.table) > REMEMBERED and new:
-            for k in new:
-                del self.table[k]
-            self.start, self.size = self.start[:known], self.size[:known]
-            self.flat = self.flat[: self.start[-1] + self.size[-1]] if known else self.flat[:0]
-        return flat, stops[np.array(ends)]
+        """The same for texts; null is empty."""
+        return self.encode_bytes(*utf8(pa.array(texts, pa.string())))
 
 
 class Decoder:
@@ -258,6 +244,22 @@ class Decoder:
             for i, x in enumerate(pieces.names)
         ]
 
+        sizes = np.array([len(x) for x in self.parts])
+        self.flat = np.frombuffer(b"".join(self.parts), np.uint8)
+        self.start, self.size = np.cumsum(sizes) - sizes, sizes
+
+    def same(self, ids: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether ids[at[i]:at[i + 1]] decode to the i-th text, for all texts at once."""
+        sizes = self.size[ids]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        out = self.flat[np.repeat(self.start[ids] - stops[:-1], sizes) + np.arange(stops[-1])]
+        ends = stops[at]
+        good = np.zeros(len(offsets) - 1, bool)
+        for i, (a, b, x, y) in enumerate(zip(ends[:-1], ends[1:], offsets[:-1], offsets[1:], strict=True)):
+            # The first word's own space is no part of the text.
+            good[i] = (a == b and x == y) or (b - a == y - x + 1 and np.array_equal(out[a + 1 : b], data[x:y]))
+        return good
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; byte pieces that are no UTF-8 become replacement marks."""
         raw = b"".join(map(self.parts.__getitem__, ids))
@@ -285,9 +287,9 @@ def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for rows, _, _ in slices(batches):
+        for rows, data, at in slices(batches):
             codec = codec or coders(path)[0]
-            ids, offsets = codec.encode(rows.column("text").to_pylist())
+            ids, offsets = codec.encode_bytes(data, at)
             column = lists(ids, np.diff(offsets), pa.int32())
             yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, "ids"])
 
@@ -321,11 +323,10 @@ def encoded_digest(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for rows, _, _ in slices(batches):
+        for rows, data, at in slices(batches):
             if codec is None:
                 codec, decoder = coders(path)
-            texts = rows.column("text").to_pylist()
-            ids, offsets = codec.encode(texts)
+            ids, offsets = codec.encode_bytes(data, at)
             ids = ids.astype("<u4")
             spans = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -333,8 +334,8 @@ def encoded_digest(docs: DataFrame, model: str | None = None) -> DataFrame:
                     rows.column("doc_id").cast(pa.int64()),
                     pa.array(np.diff(offsets), pa.int64()),
                     pa.array([zlib.crc32(x.tobytes()) for x in spans], pa.int64()),
-                    pa.array([len(t or "") for t in texts], pa.int64()),
-                    pa.array([decoder.decode(x.tolist()) == (t or "") for x, t in zip(spans, texts, strict=True)]),
+                    pc.fill_null(pc.utf8_length(rows.column("text")), 0).cast(pa.int64()),
+                    pa.array(decoder.same(ids, offsets, data, at)),
                 ],
                 names=["doc_id", "n_tokens", "ids_crc32", "n_chars", "round_trip"],
             )

@@ -118,7 +118,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> Da
         task = TaskContext.get()
         writer = None
         n_docs = n_tokens = 0
-        for rows, _, _ in slices(batches):
+        for rows, data, at in slices(batches):
             if writer is None:
                 coder = encoder(model)
                 fs, root = pa.fs.FileSystem.from_uri(base)
@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> Da
                 sinks = [fs.open_output_stream(f"{root}/{name}.{kind}.arrow") for kind in ("tokens", "docs")]
                 writer = SequenceWriter(sinks[0], coder.id_type)
                 index = pa.ipc.new_file(sinks[1], DOCS)
-            ids, offsets = coder.encode(rows.column("text").to_pylist())
+            ids, offsets = coder.encode_bytes(data, at)
             writer.add(ids)
             starts = pa.array(offsets[:-1] + n_tokens, pa.int64())
             sizes = pa.array(np.diff(offsets), pa.int64())

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
-from tarn.llm.batches import held
+from tarn.llm.batches import held, utf8
+from tarn.llm.wordtable import WordTable
 
-#: A space between two characters that are not white space always begins a token.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 _JOINED = 2_000
-#: Words a task remembers; the words of a slice beyond that are forgotten after it.
-REMEMBERED = 250_000
+#: White space of ASCII, and the first bytes of characters that may be other white space.
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def default_path() -> str:
@@ -24,19 +25,27 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces_of(text: str) -> list[str]:
-    """The text cut where tokens cannot reach across; all but the first piece have lost the
-    space they begin with."""
-    if (
-        "  " in text
-        or "\n " in text
-        or " \n" in text
-        or text[:1] == " "
-        or text[-1:] == " "
-        or _OTHER_SPACE.search(text)
-    ):
-        return _CUT.split(text)
-    return text.split(" ")
+def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, first in its row) of the texts' pieces, cut where tokens cannot reach
+    across: a space between two characters that are not white space always begins a token.
+    All but the first piece of a text have lost that space.
+
+    Where the neighbour may be white space outside ASCII nothing is cut, which is always right.
+    """
+    at = np.flatnonzero(data == 0x20)
+    row = np.searchsorted(offsets, at, "right") - 1
+    inside = (at > offsets[row]) & (at + 1 < offsets[row + 1])
+    at, row = at[inside], row[inside]
+    before, after = data[at - 1], data[at + 1]
+    wide = (before >= 0x80) & ((data[np.maximum(at - 2, 0)] == 0xC2) | _WIDE[data[np.maximum(at - 3, 0)]])
+    good = ~(_SPACES[before] | _SPACES[after] | _WIDE[after] | wide)
+    at, row = at[good], row[good]
+    whole = np.flatnonzero(np.diff(offsets))
+    start, end = np.concatenate([offsets[whole], at + 1]), np.concatenate([offsets[whole + 1], at])
+    first = np.concatenate([np.ones(len(whole), bool), np.zeros(len(at), bool)])
+    row = np.concatenate([whole, row])
+    order = np.argsort(start, kind="stable")
+    return start[order], np.sort(end), row[order], first[order]
 
 
 def encoder(path: str) -> Encoder:
@@ -60,65 +69,50 @@ class Encoder:
         self.id_type = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         names = (self.tokenizer.id_to_token(i) or "" for i in range(size))
         self.opens = np.array([x.startswith("Ġ") for x in names])
-        # Keys: a string stands for a piece after a space, bytes for a first piece, and the
-        # empty tuple for the end of a document.
-        self.table: dict[str | bytes | tuple, int] = {(): 0}
-        self.ids = np.zeros(1, np.uint32)
-        self.start = np.zeros(1, np.int64)
-        self.size = np.ones(1, np.int64)
+        self.table = WordTable()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str | bytes]) -> None:
-        plain = [k for k in new if isinstance(k, str) and k and " " not in k and not k[-1].isspace()]
-        seen = set(plain)
-        single = [k for k in new if k not in seen]
+    def _learn(self, words: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new pieces; plain ones are encoded as one text, in which each opens a token."""
+        texts = [w.decode() if f else " " + w.decode() for w, f in zip(words, first.tolist(), strict=True)]
+        plain = [k for k, t in enumerate(texts) if t[0] == " " and len(t) > 1 and " " not in t[1:] and not t[-1].isspace()]
+        single = sorted(set(range(len(texts))).difference(plain))
         groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
         parts, sizes, keys = [], [], []
-        for group, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups]), strict=True):
+        for group, ids in zip(groups, self._encode(["".join([texts[k] for k in g]) for g in groups]), strict=True):
             flat = np.array(ids, np.uint32)
-            first = np.flatnonzero(self.opens[flat])
-            if len(first) != len(group) or first[0] != 0:
+            opens = np.flatnonzero(self.opens[flat])
+            if len(opens) != len(group) or opens[0] != 0:
                 single += group
                 continue
             keys += group
             parts.append(flat)
-            sizes.append(np.diff(np.append(first, len(flat))))
-        whole = [k.decode() if isinstance(k, bytes) else " " + k for k in single]
-        for k, ids in zip(single, self._encode(whole), strict=True):
+            sizes.append(np.diff(np.append(opens, len(flat))))
+        for k, ids in zip(single, self._encode([texts[k] for k in single]), strict=True):
             keys.append(k)
             parts.append(np.array(ids, np.uint32))
             sizes.append(np.array([len(ids)]))
         added = np.concatenate(sizes)
-        base = len(self.size)
-        self.start = np.concatenate([self.start, len(self.ids) + np.concatenate([[0], np.cumsum(added)[:-1]])])
-        self.size = np.concatenate([self.size, added])
-        self.ids = np.concatenate([self.ids, *parts])
-        self.table.update(zip(keys, range(base, base + len(keys)), strict=True))
+        begin, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[keys], size[keys] = np.cumsum(added) - added, added
+        return np.concatenate(parts), begin, size
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, offsets): every text's ids with id 0 after them."""
+        start, end, row, first = piece_bounds(data, offsets)
+        ids, sizes = self.table.ids(data, start, end, first, self._learn)
+        n = len(offsets) - 1
+        counts = np.zeros(n, np.int64)
+        np.add.at(counts, row, sizes)
+        stops = np.concatenate([[0], np.cumsum(counts + 1)])
+        out = np.zeros(stops[-1], np.uint32)
+        keep = np.ones(stops[-1], bool)
+        keep[stops[1:] - 1] = False
+        out[keep] = ids
+        return out, stops
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, offsets): every text's ids with id 0 after them; null is empty."""
-        keys: list[str | bytes | tuple] = []
-        ends = [0]
-        for text in texts:
-            if text:
-                parts = pieces_of(text)
-                keys.append(parts[0].encode())
-                keys += parts[1:]
-            keys.append(())
-            ends.append(len(keys))
-        known = len(self.table)
-        new = [k for k in dict.fromkeys(keys) if k not in self.table]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.table.__getitem__, keys), np.int64, len(keys))
-        sizes = self.size[at]
-        stops = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.repeat(self.start[at] - stops[:-1], sizes) + np.arange(stops[-1])]
-        if len(self.table) > REMEMBERED and new:
-            for k in new:
-                del self.table[k]
-            self.start, self.size = self.start[:known], self.size[:known]
-            self.ids = self.ids[: self.start[-1] + self.size[-1]]
-        return flat, stops[np.array(ends)]
+        """The same for texts; null is empty."""
+        return self.encode_bytes(*utf8(pa.array(texts, pa.string())))
