@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tarn.checks.base import query, table, texts
 from tarn.checks.entities import with_status
+from tarn.functions.rowid import with_row_id
 from tarn.functions.vectors import cosine, l2_normalize, mrl_truncate
 from tarn.operators import search as S
+from tarn.operators import text_index as X
 from tarn.operators.embedding import embedding_input, hashed_embedder, embed, mock_embed
 from tarn.session import scratch_path
 
@@ -143,6 +145,13 @@ def text_queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def written_texts(spark, sf, grams=True):
+    """The text index of all documents, written for this run."""
+    path = scratch_path(spark, "text-index")
+    X.write_text_index(text_index(spark, sf), path, grams=grams)
+    return X.TextIndex(spark, path)
+
+
 BM25_SQL = r"""chunk AS (SELECT 'doc_' || doc_id AS entity_id, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS toks FROM documents),
 st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM chunk),
 post AS (SELECT term, entity_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT unnest(toks) AS term, entity_id, len(toks) AS dl FROM chunk) GROUP BY ALL),
@@ -155,12 +164,28 @@ bm AS (
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM bm)"""
 
 
-@query("lexical_bm25", f"WITH {BM25_SQL} SELECT query_id, entity_id, 0::bigint AS chunk_index, round(score, 6) AS score, rank FROM lex WHERE rank <= 10")
+LEXICAL_SQL = f"""WITH {BM25_SQL} SELECT query_id, entity_id, 0::bigint AS chunk_index, round(score, 6) AS score, rank
+FROM lex WHERE rank <= 10"""
+
+
+@query("lexical_bm25", LEXICAL_SQL)
 def lexical_bm25(spark, sf):
+    return ranked(X.search_lexical_written(written_texts(spark, sf, grams=False), text_queries(spark, sf), 10))
+
+
+@query("lexical_scan", LEXICAL_SQL)
+def lexical_scan(spark, sf):
+    """The same without an index: every text is read."""
     return ranked(S.search_lexical(text_index(spark, sf), text_queries(spark, sf), 10))
 
 
-@query("lexical_written", f"WITH {BM25_SQL} SELECT query_id, entity_id, 0::bigint AS chunk_index, round(score, 6) AS score, rank FROM lex WHERE rank <= 10")
+@query("lexical_joined", LEXICAL_SQL)
+def lexical_joined(spark, sf):
+    """The same over written blocks by joins, as batches of any size are ranked."""
+    return ranked(X._rank_joined(written_texts(spark, sf, grams=False), text_queries(spark, sf), 10))
+
+
+@query("lexical_written", LEXICAL_SQL)
 def lexical_written(spark, sf):
     """The same ranking over postings written by term bucket."""
     path = scratch_path(spark, "postings")
@@ -178,17 +203,39 @@ def lexical_postings(spark, sf):
     return S.lexical_postings(text_index(spark, sf)).select("term", "entity_id", "tf", "dl")
 
 
-@query(
-    "search_substring",
-    """SELECT query_id, entity_id, rank FROM (
+SUBSTRING_SQL = """SELECT query_id, entity_id, rank FROM (
   SELECT b.item_id AS query_id, 'doc_' || d.doc_id AS entity_id, row_number() OVER (PARTITION BY b.item_id ORDER BY 'doc_' || d.doc_id) AS rank
-  FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))) WHERE rank <= 10""",
-)
+  FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))) WHERE rank <= 10"""
+
+
+@query("search_substring", SUBSTRING_SQL)
 def search_substring(spark, sf):
+    found = X.search_substring_written(written_texts(spark, sf), text_queries(spark, sf), 10)
+    return found.select("query_id", "entity_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("substring_scan", SUBSTRING_SQL)
+def substring_scan(spark, sf):
+    """The same without an index: every text is tested."""
     found = S.search_substring(text_index(spark, sf), text_queries(spark, sf), 10)
     return found.select("query_id", "entity_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "substring_words",
+    """WITH words AS (
+  SELECT row_number() OVER (ORDER BY w) AS query_id, w FROM (
+    SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> '')
+SELECT query_id, count(*) AS n, min('doc_' || doc_id) AS first FROM words JOIN documents ON contains(lower(text), lower(w)) GROUP BY query_id""",
+)
+def substring_words(spark, sf):
+    """Every word of the benchmark as a needle, short ones too: how many documents hold it."""
+    words = text_queries(spark, sf).select(F.explode(F.split("text", " ", -1)).alias("text")).where("text <> ''").distinct()
+    asked = with_row_id(words, ["text"], "query_id").withColumn("query_id", F.col("query_id") + 1)
+    hits = X.substring_hits_written(written_texts(spark, sf), asked)
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first"))
+
+
 def joint_index(spark, sf):
     """All documents under one key, with their vector where they have one."""
     return text_index(spark, sf).join(
@@ -216,13 +263,20 @@ def joint_queries(spark, sf):
     ).drop("_c")
 
 
-@query(
-    "hybrid_rrf",
-    f"""WITH {HYBRID_SQL}
+HYBRID_TOP_SQL = f"""WITH {HYBRID_SQL}
 SELECT query_id, entity_id, 0::bigint AS chunk_index, round(score, 6) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, entity_id) AS rank FROM fused) WHERE rank <= 10""",
-)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, entity_id) AS rank FROM fused) WHERE rank <= 10"""
+
+
+@query("hybrid_rrf", HYBRID_TOP_SQL)
 def hybrid_rrf(spark, sf):
+    written = written_texts(spark, sf, grams=False)
+    return ranked(S.search_hybrid(joint_index(spark, sf), joint_queries(spark, sf), 10, DIM, text_index=written))
+
+
+@query("hybrid_scan", HYBRID_TOP_SQL)
+def hybrid_scan(spark, sf):
+    """The same without an index of the texts."""
     return ranked(S.search_hybrid(joint_index(spark, sf), joint_queries(spark, sf), 10, DIM))
 
 

@@ -8,6 +8,7 @@ from tarn.checks.base import query, table
 from tarn.checks.entities import reps_of, with_status
 from tarn.operators import vfs as V
 from tarn.operators.chunking import chunk_fixed
+from tarn.operators.text_index import TextIndex
 from tarn.session import scratch_path
 from tarn.sources import corpus as R
 from tarn.sources import index_table as X
@@ -391,9 +392,7 @@ def vfs_glob(spark, sf):
     return V.vfs_glob(V.vfs_tree(*tree_parts(spark, sf)), "/[1-3]*md").select(*ENTRY)
 
 
-@query(
-    "vfs_grep",
-    f"""WITH {TREE_SQL},
+GREP_SQL = f"""WITH {TREE_SQL},
 lines AS (
   SELECT collection_id, path, entity_id, rep_type, unnest(generate_series(1, len(ls))) AS line_number, unnest(ls) AS line_text
   FROM (SELECT *, string_split(rtrim(text, chr(10)), chr(10)) AS ls FROM tree WHERE type = 'file')),
@@ -402,12 +401,26 @@ ctx AS (
          coalesce(string_agg(line_text, '¦') OVER (PARTITION BY collection_id, path ORDER BY line_number ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after
   FROM lines)
 SELECT collection_id, path AS file_path, line_number, line_text, before, after, entity_id, rep_type FROM ctx
-WHERE regexp_matches(line_text, 'th[ei]s? (in|on)', 'i') ORDER BY collection_id, path, line_number LIMIT 500""",
-)
-def vfs_grep(spark, sf):
-    entities, reps = tree_parts(spark, sf, heavy=True)
-    found = V.vfs_grep(V.vfs_tree(entities, reps), reps, "th[ei]s? (in|on)", limit=500)
+WHERE regexp_matches(line_text, 'th[ei]s? (in|on)', 'i') ORDER BY collection_id, path, line_number LIMIT 500"""
+
+
+def _grep_lines(found):
     return found.select(
         "collection_id", "file_path", "line_number", "line_text", "entity_id", "rep_type",
         F.array_join("context_before", "¦").alias("before"), F.array_join("context_after", "¦").alias("after"),
     )
+
+
+@query("vfs_grep", GREP_SQL)
+def vfs_grep(spark, sf):
+    entities, reps = tree_parts(spark, sf, heavy=True)
+    path = scratch_path(spark, "grep")
+    V.write_grep_index(reps, path)
+    return _grep_lines(V.vfs_grep(V.vfs_tree(entities, reps), TextIndex(spark, path), "th[ei]s? (in|on)", limit=500))
+
+
+@query("grep_scan", GREP_SQL)
+def grep_scan(spark, sf):
+    """The same without an index: every line is tested."""
+    entities, reps = tree_parts(spark, sf, heavy=True)
+    return _grep_lines(V.vfs_grep(V.vfs_tree(entities, reps), reps, "th[ei]s? (in|on)", limit=500))

@@ -437,7 +437,8 @@ def rank_chunks(index: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b
     chunks for every query and only ``k`` rows per query leave it. That needs the
     queries in every task: a larger batch is ranked by :func:`rank_postings`.
     """
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    # A null query asks for nothing.
+    asked = queries.select("query_id", F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("terms"))
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("t")).first()
     if size["n"] > BROADCAST_QUERIES or (size["t"] or 0) > SMALL_ROWS:
         return rank_postings(lexical_postings(index), corpus_stats(index), queries, k, k1, b)
@@ -572,11 +573,19 @@ def fuse_rrf(channels: Sequence[tuple[DataFrame, float]], k: int, rrf_k: int = 6
 
 def search_hybrid(index: DataFrame, queries: DataFrame, k: int = 5, dim: int = 1024, rrf_k: int = 60,
                   semantic_weight: float = 0.7, lexical_weight: float = 0.3, metric: str = "l2",
-                  key: Sequence[str] = ("entity_id", "chunk_index")) -> DataFrame:
-    """Both channels with ``3k`` rows each, fused; texts join the final rows only."""
+                  key: Sequence[str] = ("entity_id", "chunk_index"), text_index=None) -> DataFrame:
+    """Both channels with ``3k`` rows each, fused; texts join the final rows only.
+
+    With ``text_index``, the written index (``text_index.TextIndex``) of the same chunks, the
+    lexical channel reads the postings of its terms instead of all texts."""
     queries = durable(queries)  # read by both channels and counted
     semantic = nearest(index, queries, 3 * k, dim, metric).drop("distance")
-    lexical = search_lexical(index, queries, 3 * k, payload=False).drop("score", "search_type")
+    if text_index is None:
+        lexical = search_lexical(index, queries, 3 * k, payload=False).drop("score", "search_type")
+    else:
+        from tarn.operators.text_index import rank_written
+
+        lexical = rank_written(text_index, queries, 3 * k).drop("score")
     fused = fuse_rrf([(semantic, semantic_weight), (lexical, lexical_weight)], k, rrf_k, key)
     return with_payload(fused, index, queries, k)
 

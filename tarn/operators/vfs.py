@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.arrays import explode_rows, indexes
+from tarn.functions.regex import literals, parse, to_java
 from tarn.functions.sizes import broadcast_if_small
 from tarn.functions.text import fnmatch_regex, split_lines
+from tarn.operators.text_index import TextIndex, texts_with, write_text_index
 from tarn.schema import TEXT_REPS, VIRTUAL_NAMES
 
 SCOPE = ["workspace_id", "collection_id"]
@@ -88,27 +88,37 @@ def vfs_glob(tree: DataFrame, pattern: str) -> DataFrame:
     return tree.filter(F.regexp_like("path", F.lit(fnmatch_regex(pattern))))
 
 
-def vfs_grep(tree: DataFrame, reps: DataFrame, pattern: str, prefix: str = "/", context: int = 2,
+def write_grep_index(reps: DataFrame, path: str) -> None:
+    """A text index of the text reps, for :func:`vfs_grep`."""
+    texts = reps.where(F.col("rep_type").isin(*TEXT_REPS)).withColumnRenamed("content", "text")
+    write_text_index(texts, path, [*SCOPE, "entity_id", "rep_type"])
+
+
+def vfs_grep(tree: DataFrame, reps: DataFrame | TextIndex, pattern: str, prefix: str = "/", context: int = 2,
              limit: int = 50) -> DataFrame:
     """Lines of text reps that match a case-insensitive regex, with line numbers and
     neighbouring lines; the first ``limit`` in path order.
 
     Lines of a rep stay an array, so its context needs no window over lines, and
-    contents are searched where they lie: only matches meet the tree.
+    contents are searched where they lie: only matches meet the tree. With a written
+    index for ``reps`` only the reps are read that hold the trigrams of a literal string
+    of the pattern.
+
+    The pattern is one of Python's. An invalid one matches nothing; one that Spark's regular
+    expressions cannot say is refused by name.
     """
     prefix = prefix.rstrip("/") or "/"
-    try:
-        re.compile(pattern)
-        usable = True
-    except re.error:
-        usable = False
+    parsed = parse(pattern)
     texts = tree.filter((F.col("type") == "file") & F.col("rep_type").isin(*TEXT_REPS))
     if prefix != "/":
         texts = texts.filter(F.startswith("path", F.lit(prefix)))
-    if not usable:
-        texts, pattern = texts.filter(F.lit(False)), ""
+    if parsed is None:
+        texts = texts.filter(F.lit(False))
+    regex = F.lit("" if parsed is None else to_java(parsed))
     wanted = texts.select(*SCOPE, "path", "entity_id", "rep_type", "entity_type", "name")
-    regex = F.lit("(?iu)" + pattern)
+    if isinstance(reps, TextIndex):
+        clauses = [] if parsed is None else literals(parsed)
+        reps = texts_with(reps, clauses).withColumnRenamed("text", "content")
     key = [*SCOPE, "entity_id", "rep_type"]
     candidates = reps.select(*key, "content").filter(F.col("rep_type").isin(*TEXT_REPS))
     if prefix != "/":
