@@ -356,14 +356,15 @@ def dedup_chunks(spark, sf):
 
 LAYOUT_SQL = f"""{LINES_SQL.format(src="documents")},
 boxed AS (
-  SELECT doc_id, line AS block_id, line // 10 AS page, pos AS start_pos, least(pos + length(txt) + 1, total) AS end_pos, txt
+  SELECT doc_id, line AS block_id, line // 10 AS page, pos AS start_pos, least(pos + length(txt) + 1, total) AS end_pos,
+         CASE WHEN contains(txt, '|') THEN 'table' ELSE 'text' END AS type
   FROM (SELECT *, coalesce(sum(length(txt) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS pos,
                sum(length(txt) + 1) OVER (PARTITION BY doc_id)::bigint - 1 AS total FROM lines)),
-blocks AS (SELECT * FROM boxed WHERE NOT contains(txt, '|'))"""
+blocks AS (SELECT * FROM boxed)"""
 
 
 def _layout_blocks(spark, sf):
-    """Layout blocks of a document: its lines outside tables, ten to a page."""
+    """Layout blocks of a document: its lines, ten to a page; lines with a bar are tables."""
     from tarn.functions.arrays import running_offsets
 
     return (
@@ -371,11 +372,12 @@ def _layout_blocks(spark, sf):
         .select("doc_id", F.split("text", "\n", -1).alias("ls"), F.length("text").cast("long").alias("total"))
         .withColumn("at", running_offsets(F.transform("ls", lambda x: F.length(x) + 1)))
         .select("doc_id", "total", F.posexplode(F.arrays_zip("ls", "at")).alias("i", "z"))
-        .filter(F.col("z.ls").isNotNull() & ~F.contains(F.col("z.ls"), F.lit("|")))
+        .filter(F.col("z.ls").isNotNull())
         .select(
             F.col("doc_id").alias("entity_id"),
             F.col("i").cast("long").alias("block_id"),
             F.floor(F.col("i") / 10).alias("page"),
+            F.when(F.contains(F.col("z.ls"), F.lit("|")), F.lit("table")).otherwise(F.lit("text")).alias("type"),
             F.col("z.at").alias("start_pos"),
             F.least(F.col("z.at") + F.length("z.ls") + 1, F.col("total")).alias("end_pos"),
         )
@@ -389,7 +391,8 @@ chunks AS (
   SELECT doc_id, i AS chunk_index, i * 200 AS start_pos, least(i * 200 + 200, length(text)) AS end_pos
   FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(ceil((length(text) - 200) / 200.0), 0)::bigint)) AS i FROM documents))
 SELECT c.doc_id AS entity_id, c.chunk_index, count(b.block_id) AS block_count,
-       coalesce(min_by(b.page, b.block_id), -1) AS primary_page, coalesce(max(b.block_id), -1) AS last_block
+       coalesce(min_by(b.page, b.block_id), -1) AS primary_page, coalesce(max(b.block_id), -1) AS last_block,
+       coalesce(string_agg(b.block_id || ' ' || b.type || ' ' || b.page, ',' ORDER BY b.start_pos, b.block_id), '') AS layout_blocks
 FROM chunks c LEFT JOIN blocks b ON b.doc_id = c.doc_id AND c.start_pos < b.end_pos AND b.start_pos < c.end_pos
 GROUP BY c.doc_id, c.chunk_index""",
 )
@@ -401,6 +404,9 @@ def align_layout(spark, sf):
         "entity_id", "chunk_index", "block_count",
         F.coalesce("primary_page", F.lit(-1).cast("long")).alias("primary_page"),
         F.coalesce("last_block", F.lit(-1).cast("long")).alias("last_block"),
+        F.coalesce(
+            F.array_join(F.transform("layout_blocks", lambda b: F.concat_ws(" ", b["block_id"], b["type"], b["page"])), ","), F.lit("")
+        ).alias("layout_blocks"),
     )
 
 

@@ -19,9 +19,9 @@ ROUTES_SQL = "routes(ext, format, entity_type) AS (VALUES " + ", ".join(
     [
         f"('{ext}', '{fmt}', '{FORMAT_ENTITY_TYPE[fmt]}')"
         for fmt, exts in FORMAT_EXTENSIONS.items()
-        for ext in exts.split()
+        for ext in exts
     ]
-    + [f"('{ext}', NULL, 'document')" for ext in UNFORMATTED_DOCUMENTS.split()]
+    + [f"('{ext}', NULL, 'document')" for ext in UNFORMATTED_DOCUMENTS]
 ) + ")"
 
 

@@ -83,14 +83,15 @@ def rebuild_stale(spark, sf):
 @query(
     "lineage_queries",
     f"""WITH RECURSIVE {RULES_SQL}, far AS (SELECT input_rep, output_rep, max(depth) AS depth FROM walk GROUP BY ALL)
-SELECT event_id, output_rep AS rep_type, depth, 'downstream' AS direction FROM events JOIN far ON input_rep = 'source_original' WHERE event_type = 'error'
-UNION ALL SELECT event_id, input_rep, depth, 'upstream' FROM events JOIN far ON output_rep = 'canonical_md' WHERE event_type = 'signup'""",
+SELECT event_id, output_rep AS rep_type, depth, 'downstream' AS direction FROM events JOIN far ON input_rep = 'source_original' WHERE event_type IN ('error', 'click')
+UNION ALL SELECT event_id, input_rep, depth, 'upstream' FROM events JOIN far ON output_rep = 'canonical_md' WHERE event_type NOT IN ('error', 'click')""",
 )
 def lineage_queries(spark, sf):
     rules, events = lineage_rules(spark), table(spark, sf, "events")
-    down = L.lineage(rules, "source_original").withColumn("direction", F.lit("downstream")).withColumn("event_type", F.lit("error"))
-    up = L.lineage(rules, "canonical_md", "upstream").withColumn("direction", F.lit("upstream")).withColumn("event_type", F.lit("signup"))
-    return events.select("event_id", "event_type").join(F.broadcast(down.unionByName(up)), "event_type").drop("event_type")
+    down = L.lineage(rules, "source_original").withColumn("direction", F.lit("downstream"))
+    up = L.lineage(rules, "canonical_md", "upstream").withColumn("direction", F.lit("upstream"))
+    asked = F.when(F.col("event_type").isin("error", "click"), F.lit("downstream")).otherwise(F.lit("upstream"))
+    return events.select("event_id", asked.alias("direction")).join(F.broadcast(down.unionByName(up)), "direction")
 
 
 @query(

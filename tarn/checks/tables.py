@@ -49,7 +49,7 @@ def route_queries(spark, sf):
     return Q.route_queries(table(spark, sf, "part").select("p_partkey", text.alias("text"))).drop("text")
 
 
-PROFILED = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]
+PROFILED = ["c_custkey", "c_nationkey", "c_acctbal", "c_name", "c_mktsegment"]
 
 
 def _profile_sql(columns, numeric):
@@ -60,24 +60,30 @@ def _profile_sql(columns, numeric):
             f"""SELECT '{c}' AS column_name, count(*) AS row_count, count_if({c} IS NULL)::bigint AS null_count, count(DISTINCT {c}) AS distinct_count,
   round(coalesce(min({number}), -1), 4) AS min, round(coalesce(max({number}), -1), 4) AS max, round(coalesce(avg({number}), -1), 4) AS mean, round(coalesce(stddev({number}), -1), 4) AS std FROM src"""
         )
-    return "WITH src AS (SELECT c_custkey, nullif(c_nationkey, 3) AS c_nationkey, c_acctbal, c_mktsegment FROM customer) " + " UNION ALL ".join(parts)
+    return "WITH src AS (SELECT * REPLACE (nullif(c_nationkey, 3) AS c_nationkey) FROM customer) " + " UNION ALL ".join(parts)
 
 
 @query("profile", _profile_sql(PROFILED, PROFILED[:3]))
 def profile(spark, sf):
-    src = table(spark, sf, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("c_nationkey"), "c_acctbal", "c_mktsegment")
+    src = table(spark, sf, "customer").withColumn("c_nationkey", F.nullif("c_nationkey", F.lit(3)))
     rounded = [F.round(F.coalesce(c, F.lit(-1.0)), 4).alias(c) for c in ("min", "max", "mean", "std")]
     return Q.profile(src).select("column_name", "row_count", "null_count", "distinct_count", *rounded)
 
 
 @query(
     "profile_top_values",
-    """WITH v AS (SELECT 'event_type' AS column_name, event_type AS value, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'user_id', user_id::varchar, count(*) FROM events GROUP BY ALL),
+    """WITH v AS (UNPIVOT_COLUMNS),
 r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS r FROM v)
-SELECT column_name, string_agg(value, ',' ORDER BY r) AS top_values FROM r WHERE r <= 5 GROUP BY column_name""",
+SELECT column_name, string_agg(value, ',' ORDER BY r) AS top_values FROM r WHERE r <= 5 GROUP BY column_name""".replace(
+        "UNPIVOT_COLUMNS",
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, {c}::varchar AS value, count(*) AS n FROM events GROUP BY ALL"
+            for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+        ),
+    ),
 )
 def profile_top_values(spark, sf):
-    return Q.profile(table(spark, sf, "events").select("event_type", "user_id")).select(
+    return Q.profile(table(spark, sf, "events")).select(
         "column_name", F.array_join("top_values", ",").alias("top_values")
     )
 

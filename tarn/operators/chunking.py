@@ -788,13 +788,15 @@ def dedup_chunks(chunks: DataFrame, doc: str, within_document: bool = False,
     )
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, bucket: int) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, key: str | list[str], bucket: int) -> DataFrame:
     """Pairs whose half-open ``[start_pos, end_pos)`` overlaps inside ``key``.
 
     Both sides are spread over fixed-length position buckets; the pair is kept
     in the bucket where the later of the two starts, so it appears once.
     """
 
+    keys = [key] if isinstance(key, str) else list(key)
+
     def placed(df: DataFrame) -> DataFrame:
         return df.withColumn(
             "_bucket",
@@ -808,39 +810,51 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, bucket: int) -> Dat
 
     a = placed(left)
     b = placed(right).select(
-        F.col(key).alias("_k"),
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
         F.col("_bucket").alias("_b"),
         F.col("start_pos").alias("_start"),
         F.col("end_pos").alias("_end"),
-        *[c for c in right.columns if c not in (key, "start_pos", "end_pos")],
+        *[c for c in right.columns if c not in (*keys, "start_pos", "end_pos")],
     )
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & (a[c] == b[f"_k{i}"])
     cond = (
-        (a[key] == b["_k"])
+        same
         & (a["_bucket"] == b["_b"])
         & (a["start_pos"] < b["_end"])
         & (b["_start"] < a["end_pos"])
         & (a["_bucket"] == F.floor(F.greatest(a["start_pos"], b["_start"]) / bucket))
     )
-    return a.join(b, cond).drop("_bucket", "_b", "_k")
+    return a.join(b, cond).drop("_bucket", "_b", *[f"_k{i}" for i in range(len(keys))])
 
 
 def align_layout(chunks: DataFrame, blocks: DataFrame, key: str = "entity_id",
                  bucket: int = 4096) -> DataFrame:
-    """Per chunk the number of overlapping layout blocks and its primary page,
-    the page of the first one."""
+    """Per chunk the layout blocks that overlap it, in reading order, their number, and its
+    primary page, the page of the first one.
+
+    ``layout_blocks`` holds ``block_id``, ``page`` and what else the blocks have of ``type``,
+    ``level`` and ``bbox``. Workspace and collection belong to the key where both tables have
+    them. A chunk is of bounded length, so its list is short.
+    """
+    keys = [c for c in ("workspace_id", "collection_id") if c in chunks.columns and c in blocks.columns] + [key]
+    more = [c for c in ("type", "level", "bbox") if c in blocks.columns]
     pairs = overlapping(
-        chunks.select(key, "chunk_index", "start_pos", "end_pos"),
-        blocks.select(key, "start_pos", "end_pos", "block_id", "page"),
-        key,
+        chunks.select(*keys, "chunk_index", "start_pos", "end_pos"),
+        blocks.select(*keys, "start_pos", "end_pos", "block_id", "page", *more),
+        keys,
         bucket,
     )
-    hits = pairs.groupBy(key, "chunk_index").agg(
-        F.count(F.lit(1)).alias("block_count"),
-        F.min_by("page", F.struct("_start", "block_id")).alias("primary_page"),
-        F.min_by("block_id", F.struct("_start", "block_id")).alias("first_block"),
-        F.max_by("block_id", F.struct("_start", "block_id")).alias("last_block"),
-    )
-    return chunks.join(hits, [key, "chunk_index"], "left").withColumn(
+    block = F.struct("_start", "block_id", "page", *more)
+    hits = pairs.groupBy(*keys, "chunk_index").agg(F.array_sort(F.collect_list(block)).alias("_blocks"))
+    kept = F.transform("_blocks", lambda b: F.struct(*[b[c].alias(c) for c in ("block_id", "page", *more)]))
+    hits = hits.select(
+        *keys, "chunk_index", F.size("_blocks").cast("long").alias("block_count"), kept.alias("layout_blocks"),
+        F.col("_blocks")[0]["page"].alias("primary_page"), F.col("_blocks")[0]["block_id"].alias("first_block"),
+        F.element_at("_blocks", -1)["block_id"].alias("last_block"),
+    )
+    return chunks.join(hits, [*keys, "chunk_index"], "left").withColumn(
         "block_count", F.coalesce("block_count", F.lit(0).cast("long"))
     )
 
@@ -862,18 +876,20 @@ def chunk_semantic(sentence_vectors: DataFrame, doc: str, threshold: float) -> D
 
 
 def layout_coverage(documents: DataFrame, blocks: DataFrame, key: str = "entity_id") -> DataFrame:
-    """Covered characters per document; ``stale`` unless the blocks cover all of it."""
+    """Covered characters per document; ``stale`` unless the blocks cover all of it.
+    Workspace and collection belong to the key where both tables have them."""
     from tarn.functions.ordered import ordered_blocks, running_max
 
+    keys = [c for c in ("workspace_id", "collection_id") if c in documents.columns and c in blocks.columns] + [key]
     placed = ordered_blocks(
-        blocks.select(key, "start_pos", "end_pos", "block_id"), [key], ["start_pos", "end_pos", "block_id"]
+        blocks.select(*keys, "start_pos", "end_pos", "block_id"), keys, ["start_pos", "end_pos", "block_id"]
     )
-    reach = running_max(placed, [key], F.col("end_pos"), "_reach", exclusive=True)
+    reach = running_max(placed, keys, F.col("end_pos"), "_reach", exclusive=True)
     gained = F.greatest(
         F.col("end_pos") - F.greatest("start_pos", F.coalesce("_reach", F.lit(0))), F.lit(0)
     )
-    covered = reach.groupBy(key).agg(F.sum(gained).cast("long").alias("covered"))
-    return documents.join(covered, key, "left").withColumn(
+    covered = reach.groupBy(*keys).agg(F.sum(gained).cast("long").alias("covered"))
+    return documents.join(covered, keys, "left").withColumn(
         "covered", F.coalesce("covered", F.lit(0).cast("long"))
     ).withColumn("stale", F.col("covered") < F.col("n_chars"))
 

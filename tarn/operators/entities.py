@@ -7,16 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.sizes import is_small
+from tarn.functions.sizes import broadcast_if_small, is_small
 from tarn.functions.text import decode_text, file_extension, hash16
 from tarn.schema import REP_DIMS
 
 # --- fixed values: output formats by modality ------------------------------------
 MODALITY_FORMATS = {
-    "image": "png jpg jpeg tiff bmp gif webp svg heic avif",
-    "audio": "wav mp3 flac ogg m4a opus",
-    "video": "mp4 avi mov mkv webm flv wmv",
-    "table": "csv tsv xlsx xls parquet",
+    "image": ("png", "jpg", "jpeg", "tiff", "bmp", "gif", "webp", "svg", "heic", "avif"),
+    "audio": ("wav", "mp3", "flac", "ogg", "m4a", "opus"),
+    "video": ("mp4", "avi", "mov", "mkv", "webm", "flv", "wmv"),
+    "table": ("csv", "tsv", "xlsx", "xls", "parquet"),
 }
 
 # Watch rules that are looked up in the row.
@@ -102,12 +102,12 @@ def route_files(df: DataFrame, routes: DataFrame, name: str = "name") -> DataFra
     """``ext``, ``format`` and ``entity_type`` by extension.
 
     An unmapped extension is its own format; without an extension there is none.
-    ``routes`` is the fixed extension table.
+    ``routes`` is the extension table, by default a fixed one of some fifty rows.
     """
     known = routes.withColumnRenamed("format", "_format")
     return (
         df.withColumn("ext", file_extension(F.col(name)))
-        .join(F.broadcast(known), "ext", "left")
+        .join(broadcast_if_small(known, MAP_RULES), "ext", "left")
         .withColumn("format", F.coalesce("_format", F.nullif(F.expr("substr(ext, 2)"), F.lit(""))))
         .drop("_format")
     )
@@ -128,7 +128,7 @@ def modality_of(output_format: Column) -> Column:
     """Modality of an output format, ``text`` unless listed."""
     found = F.lit("text")
     for modality, formats in MODALITY_FORMATS.items():
-        found = F.when(output_format.isin(*formats.split()), F.lit(modality)).otherwise(found)
+        found = F.when(output_format.isin(*formats), F.lit(modality)).otherwise(found)
     return found
 
 

@@ -241,7 +241,7 @@ def check_inheritance(reps: DataFrame, rules: DataFrame, pipeline_version: str |
     """Problems along the chain: a rep whose ``input_content_hash`` is not the current
     hash of its direct upstream, is missing its file, or has an old pipeline version."""
     keys = [c for c in ENTITY_KEY if c in reps.columns]
-    edges = F.broadcast(rules.select(F.col("output_rep").alias("rep_type"), "input_rep").distinct())
+    edges = broadcast_if_small(rules.select(F.col("output_rep").alias("rep_type"), "input_rep").distinct(), SMALL_ROWS)
     upstream = reps.select(*keys, F.col("rep_type").alias("input_rep"), F.col("content_hash").alias("_up"))
     linked = reps.join(edges, "rep_type").join(upstream, [*keys, "input_rep"])
     # A rep may come from any of several inputs: it is in step if one of them fits.
@@ -310,7 +310,7 @@ def rebuild_metadata(files: DataFrame, rules: DataFrame) -> tuple[DataFrame, Dat
     until a rebuild confirms it.
     """
     hashed = files.select(*ENTITY_KEY, "rep_type", hash16(F.col("content")).alias("content_hash"), "size")
-    edges = F.broadcast(rules.select("step", F.col("output_rep").alias("rep_type"), "input_rep"))
+    edges = broadcast_if_small(rules.select("step", F.col("output_rep").alias("rep_type"), "input_rep"), SMALL_ROWS)
     upstream = hashed.select(*ENTITY_KEY, F.col("rep_type").alias("input_rep"), F.col("content_hash").alias("input_content_hash"))
     derived = (
         hashed.join(edges, "rep_type").join(upstream, [*ENTITY_KEY, "input_rep"])
@@ -357,12 +357,13 @@ def as_of(log: DataFrame, when: Column | None = None, version: int | None = None
 
 
 def classify_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Change classes between two snapshots with one row per (entity, scope, name).
+    """Change classes between two snapshots with one row per (entity, scope, name), entities
+    named with workspace and collection where the snapshots have them.
 
     Scopes are ``raw``, ``rep``, ``index``, ``schema``, ``entity`` and
     ``projector``; ``content_hash`` and ``status`` hold their state.
     """
-    key = ["entity_id", "scope", "name"]
+    key = [*entity_key(old, new), "scope", "name"]
     a = old.select(*key, F.col("content_hash").alias("h0"), F.col("status").alias("s0"), F.lit(True).alias("in0"))
     b = new.select(*key, F.col("content_hash").alias("h1"), F.col("status").alias("s1"), F.lit(True).alias("in1"))
     both = a.join(b, key, "full_outer")
@@ -384,13 +385,14 @@ def classify_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def edge_status(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """An edge is deleted or stale as soon as one of its ends is."""
-    ends = entities.select(F.col("entity_id"), F.col("status").alias("_status")).filter(
-        F.col("_status").isin("deleted", "stale")
-    )
-    src = ends.select(F.col("entity_id").alias("src"), F.col("_status").alias("_s"))
-    dst = ends.select(F.col("entity_id").alias("dst"), F.col("_status").alias("_d"))
-    joined = edges.join(src, "src", "left").join(dst, "dst", "left")
+    """An edge is deleted or stale as soon as one of its ends is. Its ends lie in its own
+    workspace and collection; an edge is one row, however often an end is listed."""
+    scope = _edge_scope(edges, entities)
+    ends = entities.filter(F.col("status").isin("deleted", "stale")).groupBy(*scope, "entity_id")
+    ends = ends.agg(F.min("status").alias("_status"))  # deleted comes first
+    src = ends.select(*scope, F.col("entity_id").alias("src"), F.col("_status").alias("_s"))
+    dst = ends.select(*scope, F.col("entity_id").alias("dst"), F.col("_status").alias("_d"))
+    joined = edges.join(src, [*scope, "src"], "left").join(dst, [*scope, "dst"], "left")
     either = F.array("_s", "_d")
     return joined.withColumn(
         "status",
@@ -400,17 +402,28 @@ def edge_status(edges: DataFrame, entities: DataFrame) -> DataFrame:
     ).drop("_s", "_d")
 
 
+def _edge_scope(edges: DataFrame, entities: DataFrame) -> list[str]:
+    """Workspace and collection of edges; both tables have them, or neither has."""
+    scope = [c for c in ENTITY_KEY if c != "entity_id" and c in edges.columns]
+    if [*scope, "entity_id"] != [c for c in ENTITY_KEY if c in entities.columns]:
+        raise ValueError("edges and entities name workspace and collection differently")
+    return scope
+
+
 def neighbors(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Entities within ``hops`` of the seeds along edges in both directions, with the
-    shortest distance. Every hop is stored before the next one is planned."""
-    both = edges.select("src", "dst").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    shortest distance; paths stay in the workspace and collection of their edges. Every hop
+    is stored before the next one is planned."""
+    scope = _edge_scope(edges, seeds)
+    both = edges.select(*scope, F.col("src").alias("entity_id"), "dst").unionByName(
+        edges.select(*scope, F.col("dst").alias("entity_id"), F.col("src").alias("dst"))
     ).distinct()
-    seen = seeds.select("entity_id").distinct().withColumn("hop", F.lit(0))
+    key = [*scope, "entity_id"]
+    seen = seeds.select(*key).distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, hops + 1):
-        reached = frontier.join(both, F.col("entity_id") == F.col("src")).select(F.col("dst").alias("entity_id")).distinct()
-        frontier = durable(reached.join(seen, "entity_id", "left_anti").withColumn("hop", F.lit(hop)))
+        reached = frontier.join(both, key).select(*scope, F.col("dst").alias("entity_id")).distinct()
+        frontier = durable(reached.join(seen, key, "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 

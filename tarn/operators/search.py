@@ -664,8 +664,9 @@ def evidence_pack(chunks: DataFrame, table_rows: DataFrame, grep_hits: DataFrame
                   rrf_k: int = 60) -> DataFrame:
     """Evidence of three kinds in one schema, without repeats, fused by rank.
 
-    Inputs carry ``query_id, entity_id, evidence_id, score``; a table row without
-    a score counts 1.0.
+    Inputs carry ``query_id, entity_id, evidence_id, score``, and workspace and collection
+    if they reach over several: equal ids of two collections are two pieces of evidence. A
+    table row without a score counts 1.0.
     """
     parts = None
     for order, (kind, df) in enumerate(
@@ -676,34 +677,37 @@ def evidence_pack(chunks: DataFrame, table_rows: DataFrame, grep_hits: DataFrame
             part = part.withColumn("score", F.lit(1.0))
         parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
     parts = parts.withColumn("score", F.coalesce("score", F.lit(1.0)))
-    key = ["query_id", "type", "entity_id", "evidence_id"]
+    scope = [c for c in SCOPE if c in parts.columns]
+    key = ["query_id", "type", *scope, "entity_id", "evidence_id"]
     rest = [c for c in parts.columns if c not in key]
     unique = parts.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col("score")).alias("_r")).select(*key, "_r.*")
     # A list longer than k cannot reach the first k places beyond its own k-th row.
-    by_type = Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "entity_id", "evidence_id")
+    by_type = Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "entity_id", "evidence_id", *scope)
     listed = unique.withColumn("type_rank", F.row_number().over(by_type)).filter(F.col("type_rank") <= k)
     fused = listed.withColumn("fused", 1.0 / (rrf_k + F.col("type_rank")))
-    return best_k(fused, k, [F.desc("fused"), F.col("_order"), F.col("entity_id"), F.col("evidence_id")]).drop("_order")
+    order = [F.desc("fused"), F.col("_order"), F.col("entity_id"), F.col("evidence_id"), *map(F.col, scope)]
+    return best_k(fused, k, order).drop("_order")
 
 
 def locate_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each hit (``entity_id, hit_id, position``) with the nearest chunk that starts
-    at or before it."""
+    at or before it, in the same workspace and collection where the tables have them."""
     from tarn.functions.ordered import carry_last, ordered_blocks
 
+    key = entity_key(hits, chunks)
     both = chunks.select(
-        "entity_id", F.col("start_pos").alias("position"), F.lit(0).alias("_kind"),
+        *key, F.col("start_pos").alias("position"), F.lit(0).alias("_kind"),
         F.col("chunk_index"), F.lit(None).cast("long").alias("hit_id"),
     ).unionByName(
         hits.select(
-            "entity_id", "position", F.lit(1).alias("_kind"),
+            *key, "position", F.lit(1).alias("_kind"),
             F.lit(None).cast("long").alias("chunk_index"), "hit_id",
         )
     )
-    blocks = ordered_blocks(both, ["entity_id"], ["position", "_kind", "chunk_index", "hit_id"])
-    carried = carry_last(blocks, ["entity_id"], F.col("chunk_index"), "_nearest")
+    blocks = ordered_blocks(both, key, ["position", "_kind", "chunk_index", "hit_id"])
+    carried = carry_last(blocks, key, F.col("chunk_index"), "_nearest")
     return carried.filter("_kind = 1").select(
-        "entity_id", "hit_id", "position", F.col("_nearest").alias("chunk_index")
+        *key, "hit_id", "position", F.col("_nearest").alias("chunk_index")
     )
 
 

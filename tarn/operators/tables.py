@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.errors import ParseException
@@ -22,15 +23,21 @@ def query_tables(tables: dict[str, DataFrame], sql: str, with_entity: bool = Tru
     if not _READ_ONLY.match(sql):
         raise ValueError("only SELECT and WITH statements are allowed")
     spark = next(iter(tables.values())).sparkSession
+    # The names are known to this statement alone: the session keeps none of them, so two
+    # callers with tables of the same name do not meet.
+    views = {name: f"query_{uuid.uuid4().hex}" for name in tables}
+    named = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
     for name, df in tables.items():
         shown = df.withColumn("_entity_id", F.lit(name)) if with_entity else df
-        shown.createOrReplaceTempView(name)
+        shown.createOrReplaceTempView(views[name])
     try:
         # What writes, such as WITH ... INSERT, is no subquery. Nothing runs here.
-        spark.sql(f"SELECT * FROM (\n{sql.rstrip().rstrip(';')}\n)")
+        return spark.sql(f"WITH {named} SELECT * FROM (\n{sql.rstrip().rstrip(';')}\n)")
     except ParseException as error:
         raise ValueError(f"not a query that only reads: {error}") from error
-    return spark.sql(sql)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 # --- profile ---------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators.chunking import ChunkConfig, chunk_documents, window_metadata
 from tarn.operators.embedding import EmbedFn, embed
-from tarn.operators.entities import decoded, dedup_by_content, new_entities, split_supported
+from tarn.operators.entities import ENTITY_KEY, decoded, dedup_by_content, new_entities, split_supported
 from tarn.schema import ENTITY_COLUMNS
 
 
@@ -49,6 +49,6 @@ def ingest(files: DataFrame, routes: DataFrame, now: Column, order: str, cfg: Ch
     if embedder is not None:
         chunks = embed(chunks, embedder)
     entities = rows.select(*ENTITY_COLUMNS)
-    log = entities.select("entity_id", "version", "content_hash", now.alias("timestamp"), F.lit("ingest").alias("trigger"))
+    log = entities.select(*ENTITY_KEY, "version", "content_hash", now.alias("timestamp"), F.lit("ingest").alias("trigger"))
     return Ingested(entities, source.unionByName(canonical), chunks, rejected, log)
 

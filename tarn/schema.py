@@ -39,13 +39,13 @@ LINEAGE_STEPS = [
 
 # --- fixed values: file extensions by format -----------------------------------
 FORMAT_EXTENSIONS = {
-    "md": ".md .markdown .txt .html",
-    "docx": ".docx .doc .pptx .ppt",
-    "pdf": ".pdf",
-    "png": ".png .jpg .jpeg .tiff .bmp .gif .webp .svg .heic .avif",
-    "audio": ".wav .mp3 .flac .ogg .m4a .opus",
-    "video": ".mp4 .avi .mov .mkv .webm .flv .wmv",
-    "table": ".csv .tsv .xlsx .xls .parquet .json",
+    "md": (".md", ".markdown", ".txt", ".html"),
+    "docx": (".docx", ".doc", ".pptx", ".ppt"),
+    "pdf": (".pdf",),
+    "png": (".png", ".jpg", ".jpeg", ".tiff", ".bmp", ".gif", ".webp", ".svg", ".heic", ".avif"),
+    "audio": (".wav", ".mp3", ".flac", ".ogg", ".m4a", ".opus"),
+    "video": (".mp4", ".avi", ".mov", ".mkv", ".webm", ".flv", ".wmv"),
+    "table": (".csv", ".tsv", ".xlsx", ".xls", ".parquet", ".json"),
 }
 
 # --- fixed values: entity type by format, and extensions without a format --------
@@ -53,7 +53,7 @@ FORMAT_ENTITY_TYPE = {
     "md": "document", "docx": "document", "pdf": "document", "png": "image",
     "audio": "audio", "video": "video", "table": "table",
 }
-UNFORMATTED_DOCUMENTS = ".wps .wpt .dps .dpt"
+UNFORMATTED_DOCUMENTS = (".wps", ".wpt", ".dps", ".dpt")
 
 # --- fixed values: required reps, text reps, virtual names ------------------------
 REQUIRED_REPS = ["source_original", "canonical_md"]
@@ -105,7 +105,7 @@ def ext_routes(spark: SparkSession) -> DataFrame:
     rows = [
         (ext, fmt, FORMAT_ENTITY_TYPE[fmt])
         for fmt, exts in FORMAT_EXTENSIONS.items()
-        for ext in exts.split()
+        for ext in exts
     ]
-    rows += [(ext, None, "document") for ext in UNFORMATTED_DOCUMENTS.split()]
+    rows += [(ext, None, "document") for ext in UNFORMATTED_DOCUMENTS]
     return spark.createDataFrame(rows, "ext string, format string, entity_type string")

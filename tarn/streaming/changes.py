@@ -54,8 +54,10 @@ def watch_once(spark: SparkSession, listing: DataFrame, state_path: str,
     now = durable(listing.select("path", "content_hash", "size"))
     try:
         before = spark.read.schema(SNAPSHOT_SCHEMA).parquet(state_path)
-    except AnalysisException:  # the path does not exist yet
-        before = None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        before = None  # nothing was kept yet
     changes = durable(file_changes(before, now))
     if handle:
         handle(changes)

@@ -113,3 +113,57 @@ def test_null_text_on_both_sides(spark, monkeypatch):
     small = run()
     monkeypatch.setattr(S, "BROADCAST_QUERIES", 0)
     assert run() == small and len(small) == 4
+
+
+def scoped(spark, rows, columns):
+    return spark.createDataFrame(rows, f"workspace_id string, collection_id string, {columns}")
+
+
+def test_edges_stay_in_their_collection(spark):
+    edges = scoped(spark, [("w", "a", "x", "y"), ("w", "b", "x", "y")], "src string, dst string")
+    entities = scoped(spark, [("w", "a", "x", "stale"), ("w", "a", "x", "deleted"), ("w", "b", "y", "stale")], "entity_id string, status string")
+    got = {(r["collection_id"], r["status"]) for r in L.edge_status(edges, entities).collect()}
+    assert got == {("a", "deleted"), ("b", "stale")} and L.edge_status(edges, entities).count() == 2
+    seeds = scoped(spark, [("w", "a", "y")], "entity_id string")
+    reached = [(r["collection_id"], r["entity_id"], r["hop"]) for r in L.neighbors(edges, seeds, 2).orderBy("hop").collect()]
+    assert reached == [("a", "y", 0), ("a", "x", 1)]
+    with pytest.raises(ValueError, match="differently"):
+        L.edge_status(edges, entities.drop("workspace_id"))
+
+
+def test_hits_changes_and_evidence_keep_their_collection(spark):
+    chunks = scoped(spark, [("w", "a", "x", 0, 0), ("w", "b", "x", 7, 5)], "entity_id string, chunk_index long, start_pos long")
+    hits = scoped(spark, [("w", "a", "x", 1, 9), ("w", "b", "x", 2, 9)], "entity_id string, hit_id long, position long")
+    located = {(r["collection_id"], r["hit_id"]): r["chunk_index"] for r in S.locate_hits(hits, chunks).collect()}
+    assert located == {("a", 1): 0, ("b", 2): 7}
+    state = "entity_id string, scope string, name string, content_hash string, status string"
+    old = scoped(spark, [("w", "a", "x", "raw", "f", "1", "ok"), ("w", "b", "x", "raw", "f", "1", "ok")], state)
+    new = scoped(spark, [("w", "a", "x", "raw", "f", "2", "ok"), ("w", "b", "x", "raw", "f", "1", "ok")], state)
+    assert [(r["collection_id"], r["change"]) for r in L.classify_changes(old, new).collect()] == [("a", "C1")]
+    found = scoped(spark, [("w", "a", 1, "x", "0", 2.0), ("w", "b", 1, "x", "0", 1.0)], "query_id long, entity_id string, evidence_id string, score double")
+    none = found.limit(0)
+    assert [r["collection_id"] for r in S.evidence_pack(found, none, none, 5).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_layout_blocks_of_a_chunk(spark):
+    from tarn.operators.chunking import align_layout
+
+    chunks = scoped(spark, [("w", "a", "x", 0, 0, 10), ("w", "b", "x", 0, 0, 10)], "entity_id string, chunk_index long, start_pos long, end_pos long")
+    blocks = scoped(
+        spark,
+        [("w", "a", "x", 2, 1, 4, 12, "table", 0, [0.0, 1.0]), ("w", "a", "x", 1, 0, 0, 4, "heading", 2, None), ("w", "b", "x", 9, 5, 20, 30, "text", 0, None)],
+        "entity_id string, block_id long, page long, start_pos long, end_pos long, type string, level int, bbox array<double>",
+    )
+    got = {r["collection_id"]: r for r in align_layout(chunks, blocks).collect()}
+    assert [tuple(b) for b in got["a"]["layout_blocks"]] == [(1, 0, "heading", 2, None), (2, 1, "table", 0, [0.0, 1.0])]
+    assert (got["a"]["block_count"], got["a"]["primary_page"], got["a"]["last_block"], got["b"]["block_count"]) == (2, 0, 2, 0)
+
+
+def test_sql_names_are_private(spark):
+    from tarn.operators.tables import query_table, query_tables
+
+    first, second = spark.range(3), spark.range(5)
+    a, b = query_table(first, "SELECT count(*) AS n FROM t"), query_table(second, "WITH u AS (SELECT * FROM t) SELECT count(*) AS n FROM u")
+    assert (a.first()["n"], b.first()["n"]) == (3, 5)
+    assert query_tables({"x": first, "y": second}, "SELECT count(*) AS n FROM x JOIN y USING (id);").first()["n"] == 3
+    assert not [v for v in spark.catalog.listTables() if v.name in ("t", "x", "y") or v.name.startswith("query_")]
