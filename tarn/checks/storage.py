@@ -264,22 +264,59 @@ def sync_written_index(spark, sf):
     return X.read_chunk_index(spark, path).select("entity_id", "rep_name", "chunk_index", "text")
 
 
+@query("compact_index", f"WITH {SYNC_SQL} SELECT * FROM synced")
+def compact_index(spark, sf):
+    """The same after two syncs and a compaction: the base alone."""
+    path = scratch_path(spark, "index")
+    X.write_chunk_index(chunk_rows(spark, sf).drop("doc_id"), path, shards=4)
+    staged = staged_rows(spark, sf)
+    X.sync_index(spark, path, staged.withColumn("text", F.lit("version 1")))
+    X.sync_index(spark, path, staged)
+    X.compact_index(spark, path)
+    return spark.read.parquet(path).where("delta = 0").select("entity_id", "rep_name", "chunk_index", "text")
+
+
+DAMAGED = "doc_id % 50 = 7"
+
+
 @query(
     "rebuild_index",
-    f"WITH {CHUNKS_SQL} SELECT workspace_id, collection_id, count(*) AS chunks, count(DISTINCT entity_id) AS entities FROM chunks GROUP BY ALL",
+    f"""WITH {CHUNKS_SQL},
+staged AS (SELECT workspace_id, collection_id, doc_id, chunk_index, r AS rep_name FROM chunks, (SELECT unnest(['canonical_md', 'notes']) AS r))
+SELECT workspace_id, collection_id, rep_name, count(*) FILTER (NOT bad) AS chunks, count(DISTINCT doc_id) FILTER (NOT bad) AS entities,
+       count(DISTINCT doc_id) FILTER (bad) AS rejected
+FROM (SELECT *, {DAMAGED} AND rep_name = 'notes' AS bad FROM staged) GROUP BY ALL""",
 )
 def rebuild_index(spark, sf):
+    """Two staged files for every document, some of them damaged."""
     root = scratch_path(spark, "staging")
-    # One staged file per collection stands for the per-entity files of an upload.
-    staged = chunk_rows(spark, sf).select(
-        F.concat_ws("/", "workspace_id", "collection_id", "entity_id").alias("where"), "chunk_index", "text", "rep_name"
+    staged = chunk_rows(spark, sf).withColumn("bad", F.expr(DAMAGED)).select(
+        "workspace_id", "collection_id", "entity_id", "chunk_index", "text", "bad", F.explode(F.array(F.lit("canonical_md"), F.lit("notes"))).alias("rep")
     )
-    staged.write.parquet(f"{root}/all/all/all/staging/canonical_md.parquet")
-    rows = X.rebuild_index(spark, root)
-    where = F.split("where", "/")
-    return rows.select(where[0].alias("workspace_id"), where[1].alias("collection_id"), where[2].alias("entity_id")).groupBy(
-        "workspace_id", "collection_id"
-    ).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("entity_id").alias("entities"))
+
+    def write(group):
+        import pyarrow as pa
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        first = group.iloc[0]
+        fs, base = pa.fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        folder = f"{base}/{first['workspace_id']}/{first['collection_id']}/{first['entity_id']}/staging"
+        fs.create_dir(folder, recursive=True)
+        with fs.open_output_stream(f"{folder}/{first['rep']}.parquet") as out:
+            if first["bad"] and first["rep"] == "notes":
+                out.write(b"PAR1 cut off")
+            else:
+                pq.write_table(pa.table({"chunk_index": group["chunk_index"].tolist(), "text": group["text"].tolist()}), out)
+        return group[["entity_id"]].head(1)
+
+    # The chunks of a document are one group; the files are there when all of them are written.
+    staged.groupBy("workspace_id", "collection_id", "entity_id", "rep").applyInPandas(write, "entity_id string").count()
+    rows, rejected = X.rebuild_index(spark, root)
+    key = ["workspace_id", "collection_id", "rep_name"]
+    good = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("entity_id").alias("entities"))
+    bad = rejected.withColumn("rep_name", F.regexp_extract("file", "([^/]+)\\.parquet$", 1)).groupBy(*key).agg(F.count(F.lit(1)).alias("rejected"))
+    return good.join(bad, key, "left").withColumn("rejected", F.coalesce("rejected", F.lit(0).cast("long")))
 
 
 @query("indexed_entities", f"WITH {CHUNKS_SQL} SELECT DISTINCT workspace_id, collection_id, entity_id FROM chunks")

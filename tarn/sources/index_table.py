@@ -1,30 +1,42 @@
-"""The chunk index as a partitioned table."""
+"""The chunk index as a partitioned table that is merged when it is read.
+
+A row lies in the partition of its workspace, collection, rep and shard, and there in the base
+(``delta=0``) or in one of the deltas that syncs append. The last delta that names an (entity,
+rep) replaces all earlier rows of it; a row without a chunk number says that it has none left.
+``compact_index`` folds the deltas into the base.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarn.functions.sizes import broadcast_if_small
 from tarn.session import durable, scratch
 
 # Shards differ in number from table to table, so the number is part of the path.
-PARTITIONS = ["workspace_id", "collection_id", "rep_name", "shards", "shard"]
+PLACE = ["workspace_id", "collection_id", "rep_name", "shards", "shard"]
+PARTITIONS = [*PLACE, "delta"]
 REP_KEY = ["workspace_id", "collection_id", "entity_id", "rep_name"]
-SHARDS = 64
-# Partitions that are named in a filter; more are found by a join.
-MAX_PRUNED = 10_000
+#: Rows of one rep of a collection that a shard is meant for, and shards at most.
+SHARD_ROWS, MOST_SHARDS = 200_000, 4096
+# Keys of deltas that are broadcast to readers.
+SMALL_KEYS = 500_000
 
 
 def _shard(entity: Column, shards: Column) -> Column:
     return F.pmod(F.xxhash64(entity), shards).cast("int")
 
 
-def with_shard(df: DataFrame, shards: int = SHARDS) -> DataFrame:
+def with_shard(df: DataFrame, shards: int) -> DataFrame:
     """A hash shard of the entity: partitions stay few and of even size, where one
     directory per entity would mean millions of small files."""
     number = F.lit(shards).cast("int")
@@ -42,11 +54,17 @@ def stored_shards(spark: SparkSession, path: str) -> int | None:
     return row["shards"] if row else None
 
 
-def _agreed_shards(spark: SparkSession, path: str, asked: int | None) -> int:
+def _agreed_shards(spark: SparkSession, path: str, asked: int | None) -> int | None:
     stored = stored_shards(spark, path)
     if stored and asked and stored != asked:
         raise ValueError(f"{path} is written in {stored} shards, not {asked}")
-    return stored or asked or SHARDS
+    return stored or asked
+
+
+def _shards_for(rows: DataFrame) -> int:
+    """By the size of the largest collection and rep."""
+    largest = rows.groupBy(*PLACE[:3]).count().agg(F.max("count")).first()[0] or 0
+    return min(max(1, -(-largest // SHARD_ROWS)), MOST_SHARDS)
 
 
 def _write(placed: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -58,13 +76,28 @@ def _write(placed: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
+def _delta_files(index: DataFrame) -> list[str]:
+    return [f for f in index.inputFiles() if re.search(r"/delta=[1-9]", f)]
+
+
 def write_chunk_index(df: DataFrame, path: str, shards: int | None = None, mode: str = "overwrite") -> None:
     """Write (or replace) an index. Rows are rebalanced by the table layout: Spark
     splits a large partition over several files and merges small ones, and the
     rows, with vectors that are costly to make, are computed once.
 
-    A table keeps the number of shards it was first written with."""
-    _write(with_shard(df, _agreed_shards(df.sparkSession, path, shards)), path, mode)
+    A table keeps the number of shards it was first written with; without one it
+    follows from the number of rows. Deltas of partitions that are replaced go."""
+    spark = df.sparkSession
+    with scratch(spark):
+        agreed = _agreed_shards(spark, path, shards)
+        stale = _delta_files(spark.read.parquet(path)) if mode == "overwrite" and stored_shards(spark, path) else []
+        if stale or not agreed:
+            df = durable(df)
+        placed = with_shard(df, agreed or _shards_for(df)).withColumn("delta", F.lit(0))
+        _write(placed, path, mode)
+        if stale:
+            written = {r["name"] for r in placed.select(_place_name().alias("name")).distinct().collect()}
+            _delete_files(spark, [f for f in stale if _place_of(f) in written])
 
 
 def read_chunk_index(spark: SparkSession, path: str, workspace: str | None = None,
@@ -78,7 +111,19 @@ def read_chunk_index(spark: SparkSession, path: str, workspace: str | None = Non
     if entity is not None:
         shard = _shard(F.lit(entity), F.col("shards"))
         index = index.filter((F.col("shard") == shard) & (F.col("entity_id") == entity))
-    return index.drop("shards", "shard")
+    return _merged(index).drop("shards", "shard")
+
+
+def _merged(index: DataFrame) -> DataFrame:
+    """The rows that count. Without deltas the base as it is; else the keys of the deltas
+    meet both, and no row of the base moves where these keys can be broadcast."""
+    base = index.filter("delta = 0").drop("delta")
+    if not _delta_files(index):
+        return base
+    deltas = index.filter("delta > 0")
+    newest = broadcast_if_small(durable(deltas.groupBy(*REP_KEY).agg(F.max("delta").alias("delta"))), SMALL_KEYS)
+    last = deltas.filter("chunk_index is not null").join(newest, [*REP_KEY, "delta"], "left_semi").drop("delta")
+    return base.join(newest.drop("delta"), REP_KEY, "left_anti").unionByName(last)
 
 
 def latest_reps(rows: DataFrame, order: str) -> DataFrame:
@@ -107,8 +152,17 @@ def replace_reps(target: DataFrame, staged: DataFrame, touched: DataFrame | None
     return target.join(touched, keys, "left_anti").unionByName(staged, allowMissingColumns=True)
 
 
-def _partition_name() -> Column:
-    return F.concat_ws("/", *[F.col(c).cast("string") for c in PARTITIONS])
+def _place_name() -> Column:
+    """As the folders of a file spell the partition."""
+    return F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in PLACE])
+
+
+def _place_of(file: str) -> str:
+    from urllib.parse import unquote
+
+    # The URI quotes the name that the writer has quoted already.
+    found = re.search(r"/(workspace_id=.*)/delta=", unquote(unquote(file)))
+    return found.group(1) if found else ""
 
 
 def _delete_files(spark: SparkSession, files: list[str]) -> None:
@@ -127,58 +181,102 @@ def sync_index(spark: SparkSession, path: str, staged: DataFrame, order: str | N
     those among them without a row in ``staged`` are emptied. The rows of ``staged``
     count as touched in any case.
 
-    Only the partitions (collection, rep, shard) that touched keys fall into are
-    read and rewritten. Running it again with the same rows changes nothing.
+    Only the batch is written, as a delta beside what is there, which is not read.
+    Running it again with the same rows changes nothing that readers see. One sync
+    at a time writes to an index.
     """
-    shards = _agreed_shards(spark, path, None)
     with scratch(spark):
+        shards = _agreed_shards(spark, path, None)
+        if shards is None:
+            raise ValueError(f"no index is written at {path}")
         index = spark.read.parquet(path)
         rows = latest_reps(staged, order) if order else staged
         if order and order not in index.columns:
             rows = rows.drop(order)
-        fresh = durable(with_shard(rows, shards))
-        keys = fresh.select(*REP_KEY)
-        if touched is not None:
-            keys = keys.union(touched.select(*REP_KEY))
-        keys = durable(with_shard(keys.distinct(), shards))
-        names = keys.select(_partition_name().alias("name")).distinct()
-        head = names.limit(MAX_PRUNED + 1).collect()
-        if len(head) <= MAX_PRUNED:
-            # A filter on partition columns alone: other directories are not read.
-            current = index.filter(_partition_name().isin([r["name"] for r in head]))
-        else:
-            current = index.join(keys.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
-        # The result is stored before it overwrites the files it was read from.
-        merged = durable(replace_reps(current, fresh, broadcast_if_small(keys.select(*REP_KEY), 500_000)))
-        emptied: list[str] = []
+        fresh = durable(rows)
+        missing = [f for f in index.schema.fields if f.name not in (*fresh.columns, *PARTITIONS)]
+        batch = fresh.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
         if touched is not None:
-            # Partitions left without a row are not overwritten; their files go.
-            files = index.select(*PARTITIONS, F.col("_metadata.file_path").alias("_file"))
-            files = files.join(keys.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
-            gone = files.join(merged.select(*PARTITIONS).distinct(), PARTITIONS, "left_anti")
-            emptied = [r["_file"] for r in gone.select("_file").distinct().collect()]
-        _write(merged, path)
-        _delete_files(spark, emptied)
+            gone = touched.select(*REP_KEY).distinct().join(fresh.select(*REP_KEY).distinct(), REP_KEY, "left_anti")
+            batch = batch.unionByName(gone, allowMissingColumns=True)
+        last = max((int(n) for f in _delta_files(index) for n in re.findall(r"/delta=(\d+)", f)), default=0)
+        _write(with_shard(batch, shards).withColumn("delta", F.lit(last + 1)), path, "append")
         return fresh.count()
 
 
-def rebuild_index(spark: SparkSession, staging: str) -> DataFrame:
-    """Every staged chunk file below ``staging``; unreadable files are skipped.
+def compact_index(spark: SparkSession, path: str) -> int:
+    """Fold the deltas of an index into its base and return how many files of deltas went.
 
-    Staging keeps ``{workspace}/{collection}/{entity}/staging/{rep}.parquet``.
+    Only partitions with deltas are read and rewritten. If the job is lost between its
+    steps, the deltas are still there and say the same as the new base.
+    """
+    with scratch(spark):
+        index = spark.read.parquet(path)
+        files = _delta_files(index)
+        if not files:
+            return 0
+        touched = durable(index.filter("delta > 0").select(*PLACE).distinct())
+        current = index.join(broadcast_if_small(touched, SMALL_KEYS), PLACE, "left_semi")
+        # Stored before it overwrites the files it was read from.
+        merged = durable(_merged(current))
+        kept = {r["name"] for r in merged.select(_place_name().alias("name")).distinct().collect()}
+        names = {r["name"] for r in touched.select(_place_name().alias("name")).collect()}
+        emptied = [f for f in index.inputFiles() if "/delta=0/" in f and _place_of(f) in names - kept]
+        _write(merged.withColumn("delta", F.lit(0)), path)
+        _delete_files(spark, [*emptied, *files])
+        return len(files)
+
+
+STAGED = "rep_name string, chunk_index long, text string, embedding array<float>, metadata string, embedding_text string"
+_STAGED_PATH = "/([^/]+)/([^/]+)/([^/]+)/staging/([^/]+)\\.parquet(?:/[^/]*)?$"
+
+
+def rebuild_index(spark: SparkSession, staging: str, schema: str = STAGED) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): every staged chunk file below ``staging``, and the files that could
+    not be read, with the reason.
+
+    Staging keeps ``{workspace}/{collection}/{entity}/staging/{rep}.parquet``; names that
+    start with an underscore are left out. Each file is opened by itself in a task: one that
+    is damaged, or whose columns do not fit ``schema``, costs no other file and is reported.
+    Columns a file lacks are null; without a ``rep_name`` its file name is taken. Staged
+    files hold one entity, so a file is read whole.
     """
-    rows = (
-        spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet").parquet(staging)
+    fields = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("error", T.StringType()), *fields.fields])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = to_arrow_schema(out)
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    table = pq.read_table(pa.BufferReader(content.as_buffer()))
+                    n = table.num_rows
+                    columns = [
+                        table.column(f.name).cast(f.type) if f.name in table.column_names else pa.nulls(n, f.type) for f in arrow
+                    ]
+                    error = None
+                except (pa.ArrowException, OSError, ValueError) as fault:
+                    n, error = 1, f"{type(fault).__name__}: {str(fault).splitlines()[0][:200]}"
+                    columns = [pa.nulls(1, f.type) for f in arrow]
+                head = [pa.array([file] * n, pa.string()), pa.array([error] * n, pa.string())]
+                yield from pa.Table.from_arrays([*head, *columns], schema=named).to_batches(max_chunksize=4096)
+
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        .load(staging).select("path", "content")
     )
-    where = F.col("_metadata.file_path")
-    parts = "/([^/]+)/([^/]+)/([^/]+)/staging/([^/]+)\\.parquet(?:/|$)"
-    return rows.select(
-        F.regexp_extract(where, parts, 1).alias("workspace_id"),
-        F.regexp_extract(where, parts, 2).alias("collection_id"),
-        F.regexp_extract(where, parts, 3).alias("entity_id"),
-        *[c for c in rows.columns if c not in ("workspace_id", "collection_id", "entity_id")],
-    ).filter(~F.startswith("entity_id", F.lit("_")))
+    read = durable(files.mapInArrow(opened, out))
+    part = lambda i: F.regexp_extract("file", _STAGED_PATH, i)
+    placed = read.withColumns({"workspace_id": part(1), "collection_id": part(2), "entity_id": part(3), "_rep": part(4)})
+    strange = F.when(F.col("workspace_id") == "", F.lit("not below {workspace}/{collection}/{entity}/staging"))
+    placed = placed.withColumn("error", F.coalesce("error", strange)).filter(~F.startswith("entity_id", F.lit("_")))
+    rows = placed.filter("error is null")
+    if "rep_name" in fields.names:
+        rows = rows.withColumn("rep_name", F.coalesce("rep_name", "_rep"))
+    rows = rows.select("workspace_id", "collection_id", "entity_id", *fields.names)
+    rejected = placed.filter("error is not null").groupBy("workspace_id", "collection_id", "entity_id", "file")
+    return rows, rejected.agg(F.min("error").alias("error"))
 
 
 def indexed_entities(index: DataFrame) -> DataFrame:

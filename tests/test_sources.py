@@ -1,6 +1,7 @@
 """Files, manifests, logs and the written index."""
 
 import json
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,75 @@ def test_sync_takes_the_latest_version_and_empties(spark, tmp_path):
     assert [r["entity_id"] for r in X.read_chunk_index(spark, path).collect()] == ["a"]
 
 
+def index_frame(spark, collection, entities, text, per=1):
+    rows = [("w ü", collection, f"e{e}", "a=b/c", i, text) for e in entities for i in range(per)]
+    return spark.createDataFrame(rows, "workspace_id string, collection_id string, entity_id string, rep_name string, chunk_index long, text string")
+
+
+def files_of(spark, path):
+    return {unquote(f) for f in spark.read.parquet(path).inputFiles()}
+
+
+def test_sync_writes_its_rows_only(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    whole = index_frame(spark, "c%1", range(400), "old", 3).unionByName(index_frame(spark, "c2", range(50), "old"))
+    X.write_chunk_index(whole, path)
+    before = files_of(spark, path)
+    assert X.sync_index(spark, path, index_frame(spark, "c%1", range(100), "new")) == 100
+    added = files_of(spark, path) - before
+    assert before < files_of(spark, path) and spark.read.parquet(*added).count() == 100
+    read = lambda: sorted((r["collection_id"], r["text"], r["count"]) for r in X.read_chunk_index(spark, path).groupBy("collection_id", "text").count().collect())
+    want = [("c%1", "new", 100), ("c%1", "old", 900), ("c2", "old", 50)]
+    assert read() == want
+    # Another collection is emptied, and the same entities change once more.
+    X.sync_index(spark, path, index_frame(spark, "c%1", range(10), "newer"), touched=index_frame(spark, "c2", range(50), ""))
+    want = [("c%1", "new", 90), ("c%1", "newer", 10), ("c%1", "old", 900)]
+    assert read() == want
+    assert X.compact_index(spark, path) > 0 and read() == want
+    assert not any("delta=0/" not in f or "collection_id=c2" in f for f in files_of(spark, path))
+    assert X.compact_index(spark, path) == 0
+
+
+def test_rewritten_partitions_lose_their_deltas(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    X.write_chunk_index(index_frame(spark, "c1", range(5), "old").unionByName(index_frame(spark, "c2", range(5), "old")), path, shards=1)
+    X.sync_index(spark, path, index_frame(spark, "c1", [1], "new").unionByName(index_frame(spark, "c2", [1], "new")))
+    X.write_chunk_index(index_frame(spark, "c1", range(3), "again"), path)
+    got = sorted((r["collection_id"], r["text"]) for r in X.read_chunk_index(spark, path).collect())
+    assert got == [("c1", "again")] * 3 + [("c2", "new")] + [("c2", "old")] * 4
+
+
+def test_shards_follow_the_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "SHARD_ROWS", 100)
+    X.write_chunk_index(index_frame(spark, "c1", range(450), "t"), str(tmp_path / "ix"))
+    assert X.stored_shards(spark, str(tmp_path / "ix")) == 5
+    with pytest.raises(ValueError, match="no index"):
+        X.sync_index(spark, str(tmp_path / "none"), index_frame(spark, "c1", [1], "t"))
+
+
+def test_rebuild_reports_what_it_cannot_read(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def stage(where, table):
+        path = tmp_path / where
+        path.parent.mkdir(parents=True, exist_ok=True)
+        pq.write_table(pa.table(table), path) if isinstance(table, dict) else path.write_bytes(table)
+
+    stage("w/c/e1/staging/canonical_md.parquet", {"chunk_index": [0, 1], "text": ["a", "b"], "embedding": [[1.0], [2.0]], "more": [1, 2]})
+    stage("w/c/e1/staging/notes.parquet", {"chunk_index": [0], "rep_name": ["other"]})
+    stage("w/c/e2/staging/canonical_md.parquet", b"PAR1 cut off")
+    stage("w/c/e3/staging/canonical_md.parquet", {"chunk_index": ["x"], "text": ["a"]})
+    stage("w/c/e4/staging/canonical_md.parquet", {"chunk_index": [], "text": []})
+    stage("w/c/_e5/staging/canonical_md.parquet", {"chunk_index": [0]})
+    stage("w/stray.parquet", {"chunk_index": [0]})
+    rows, rejected = X.rebuild_index(spark, str(tmp_path))
+    got = sorted((r["entity_id"], r["rep_name"], r["chunk_index"], r["text"], r["embedding"]) for r in rows.collect())
+    assert got == [("e1", "canonical_md", 0, "a", [1.0]), ("e1", "canonical_md", 1, "b", [2.0]), ("e1", "other", 0, None, None)]
+    why = {r["entity_id"]: r["error"] for r in rejected.collect()}
+    assert set(why) == {"e2", "e3", ""} and "ArrowInvalid" in why["e2"] and "not below" in why[""]
+
+
 def test_stream_with_two_versions_in_a_batch(spark, tmp_path):
     from tarn.streaming.events import maintain_index
 
