@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,16 @@ EVERY = 20
 PAGE = 128
 FAN_OUT = 8
 TREE_ROWS = 4096
-#: Queries that are sent to the tasks at once.
+#: Queries that a task holds at once.
 QUERY_BLOCK = 4096
+#: Share of the pairs of a page below which scores are computed pair by pair.
+SPARSE = 0.05
 
 TREES = (
     "dim int, ids array<long>, vectors binary, top double, parent array<int>, pivot binary, "
     "radius array<double>, pivot_distance array<double>, first array<int>, last array<int>, row_distance array<double>"
 )
-HITS = "query_id long, vec_id long, score long"
+HITS = "query_id long, vec_id long, score long, scored long"
 
 
 def quantised(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -146,7 +150,7 @@ class Search:
         self.square = (self.f * self.f).sum(axis=1)
         self.best = np.full((len(ids), k), np.iinfo(np.int64).min)
         self.best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.visits = 0
+        self.scored = np.zeros(len(ids), np.int64)
 
     def reach(self, q: np.ndarray, top: float) -> np.ndarray:
         """Distance beyond which nothing can enter a query's list, with room for rounding."""
@@ -155,9 +159,20 @@ class Search:
         return np.sqrt(np.maximum(square, 0)) + 1e-6 * (1 + np.sqrt(self.square[q] + top))
 
     def add(self, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, near: np.ndarray) -> None:
-        """Merge the rows of a page; ``near`` tells which rows each query must look at."""
-        largest = float(np.abs(self.f[q]).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
-        if largest < 2**52:
+        """Merge the rows of a page; ``near`` tells which rows each query must look at. Scores
+        of others are not computed: pair by pair where few are left, else as a product of the
+        queries and rows that have any."""
+        self.scored[q] += near.sum(axis=1)
+        rows = np.flatnonzero(near.any(axis=0))
+        some = np.flatnonzero(near.any(axis=1))
+        if not len(rows):
+            return
+        q, ids, vectors, near = q[some], ids[rows], vectors[rows], near[np.ix_(some, rows)]
+        if near.mean() < SPARSE:
+            a, b = np.nonzero(near)
+            score = np.zeros(near.shape, np.int64)
+            score[a, b] = np.einsum("ij,ij->i", self.v[q[a]], vectors[b])
+        elif float(np.abs(self.f[q]).max()) * float(np.abs(vectors).max()) * vectors.shape[1] < 2**52:
             score = (self.f[q] @ vectors.T.astype(float)).astype(np.int64)
         else:
             score = self.v[q] @ vectors.T
@@ -220,67 +235,103 @@ class Search:
                 page = leaf[q[0]]
                 span = slice(first[page], last[page])
                 near = np.abs(distance[page, q][:, None] - row_distance[span]) <= limit[q][:, None]
-                self.visits += len(q)
                 self.add(q, ids[span], rows[span], near)
 
 
+def _block_of(path: str, block: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of a block of queries by dimension, read in the task that needs them."""
+    fs, root = pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(f"{root}/block={block}")) if f.path.endswith(".parquet")]
+    tables = [pq.ParquetFile(fs.open_input_file(f)).read(["vec_id", "v"]) for f in sorted(files)]
+    rows = pa.concat_tables(tables).combine_chunks()
+    ids, v = rows.column("vec_id").to_numpy(), rows.column("v").chunk(0)
+    sizes, flat = v.value_lengths().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    by_dim = {}
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        by_dim[d] = ids[at], flat[(ends[at] - d)[:, None] + np.arange(d)]
+    return by_dim
+
+
+def _refuse_overflow(vectors: DataFrame, column: str) -> None:
+    """Scores are 64-bit integers: components for which one could overflow are refused."""
+    size = F.abs(F.col("x").cast("double"))
+    rows = vectors.select(F.size(column).alias("n"), F.explode(column).alias("x")).where(size < float("inf"))
+    seen = rows.agg(F.max("n").alias("n"), F.max(size).alias("x")).first()
+    if seen["n"] and (SCALE * seen["x"] + 1) ** 2 * seen["n"] >= 2.0**63:
+        raise ValueError(f"components as large as {seen['x']:g} in {seen['n']} dimensions: scores do not fit 64 bits")
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vector_column: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vector whose vec_id is divisible by ``every``
-    the ``k`` others with the largest inner product, ties to the smaller vec_id.
+    """(query_id, rank, vec_id, score, n_scored): for each vector whose vec_id is divisible by
+    ``every`` the ``k`` others with the largest inner product, ties to the smaller vec_id.
+    ``n_scored`` says for how many rows the score of the query was computed; all others were
+    ruled out by the bounds of the trees.
 
     All vectors are loaded into trees, a few thousand in each, in the tasks that hold them.
-    Queries are sent to the trees in blocks of bounded size; the index is read where it
-    lies, once for each block, and a task returns k rows for each query. Scores are exact
-    integers; distances only decide which pages and rows need not be looked at.
-
-    Vectors that are null, empty or hold null or non-finite components take no part.
-    Vectors are compared with those of the same dimension. Rows with the query's own id are
-    left out; other repeated rows are each ranked. An empty table gives no rows.
+    Queries are written in blocks to the shared folder and read there by the tasks, one block
+    at a time; the index is read where it lies, once for each block, and a task returns k rows
+    for each query. The driver sees block numbers only. Scores are exact integers; distances
+    only decide which pages and rows need not be looked at.
+
+    Vectors that are null, empty or hold null or non-finite components take no part; finite
+    components so large that a score could leave 64 bits are refused. Vectors are compared
+    with those of the same dimension. Rows with the query's own id are left out; other
+    repeated rows are each ranked. Of several query rows with one id the least vector is asked
+    for. An empty table gives no rows.
     """
     spark = vectors.sparkSession
+    _refuse_overflow(vectors, vector_column)
     rows = durable(quantised(vectors, "vec_id", vector_column))
     trees = durable(rows.mapInArrow(build, TREES))
-    asked = durable(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = durable(asked)
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    path = scratch_path(spark, "top")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")
+    questions, path = scratch_path(spark, "queries"), scratch_path(spark, "top")
+    asked.select("*", block).repartition("block").write.partitionBy("block").parquet(questions)
+    numbers = [r["block"] for r in asked.select(block).distinct().orderBy("block").collect()]
     parts = []
-    for b in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toArrow()
-        ids = block.column("vec_id").to_numpy()
-        sizes = np.array([len(v) for v in block.column("v").to_pylist()], np.int64)
-        flat = block.column("v").combine_chunks().flatten().to_numpy() if len(ids) else np.empty(0, np.int64)
-        ends = np.cumsum(sizes)
-        by_dim = {
-            int(d): (ids[sizes == d], np.array([flat[e - d : e] for e in ends[sizes == d]]).reshape(-1, d))
-            for d in np.unique(sizes)
-        }
-        sent = spark.sparkContext.broadcast(by_dim)
+    for b in numbers:
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found: dict[int, Search] = {}
+        def search(batches: Iterator[pa.RecordBatch], b: int = b) -> Iterator[pa.RecordBatch]:
+            queries, found = None, {}
             for batch in batches:
                 for i in range(batch.num_rows):
+                    queries = _block_of(questions, b) if queries is None else queries
                     tree = batch.slice(i, 1).to_pylist()[0]
-                    if tree["dim"] in sent.value:
+                    if tree["dim"] in queries:
                         if tree["dim"] not in found:
-                            found[tree["dim"]] = Search(*sent.value[tree["dim"]], k)
+                            found[tree["dim"]] = Search(*queries[tree["dim"]], k)
                         found[tree["dim"]].tree(tree)
             for s in found.values():
                 real = s.best_id != np.iinfo(np.int64).max
+                n = int(real.sum())
+                # A row without an id tells how many scores were computed here.
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(s.ids, k)[real.ravel()]), pa.array(s.best_id[real]), pa.array(s.best[real])],
-                    names=["query_id", "vec_id", "score"],
+                    [
+                        pa.array(np.concatenate([np.repeat(s.ids, k)[real.ravel()], s.ids])),
+                        pa.array(np.concatenate([s.best_id[real], s.ids]), mask=np.arange(n + len(s.ids)) >= n),
+                        pa.array(np.concatenate([s.best[real], s.scored])),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), s.scored])),
+                    ],
+                    names=["query_id", "vec_id", "score", "scored"],
                 )
 
         hits = trees.mapInArrow(search, HITS)
-        place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        ranked = hits.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-        ranked = ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        if n_blocks == 1:
+        place = Window.partitionBy("query_id").orderBy(F.col("vec_id").isNull(), F.desc("score"), "vec_id")
+        # Each task sends at most k rows and one more for a query.
+        total = F.sum("scored").over(Window.partitionBy("query_id")).alias("n_scored")
+        ranked = hits.select("*", F.row_number().over(place).cast("int").alias("rank"), total)
+        ranked = ranked.where((F.col("rank") <= k) & F.col("vec_id").isNotNull())
+        ranked = ranked.select("query_id", "rank", "vec_id", "score", "n_scored")
+        if len(numbers) == 1:
             return ranked
         ranked.write.parquet(f"{path}/block={b}")
         parts.append(f"{path}/block={b}")
-        sent.unpersist()
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, n_scored long")
     return spark.read.parquet(*parts)
 
 

@@ -66,7 +66,7 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    return top_k(_table(spark, sf, "embeddings"))
+    return top_k(_table(spark, sf, "embeddings")).drop("n_scored")
 
 
 def op9_personal_data(spark: SparkSession, sf: str) -> DataFrame:
