@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.checks.base import query, table, texts
@@ -10,8 +13,9 @@ from tarn.functions.rowid import with_row_id
 from tarn.functions.vectors import cosine, l2_normalize, mrl_truncate
 from tarn.operators import search as S
 from tarn.operators import text_index as X
+from tarn.operators import vector_index as V
 from tarn.operators.embedding import embedding_input, hashed_embedder, embed, mock_embed
-from tarn.session import scratch_path
+from tarn.session import durable, scratch_path
 
 DIM = 64
 
@@ -408,6 +412,64 @@ def search_ann(spark, sf):
     return ranked(found, "distance")
 
 
+MANY_SQL = """asked AS (
+  SELECT vec_id * 8 + r AS query_id, list_concat(embedding[r * 8 + 1:], embedding[:r * 8])::double[] AS qv
+  FROM embeddings, (SELECT unnest(range(8)) AS r))"""
+
+
+def many_queries(spark, sf):
+    """Every vector in eight rotations: at sf0.01 more queries than are broadcast."""
+    turned = F.concat(F.slice("embedding", F.col("r") * 8 + 1, DIM), F.slice("embedding", 1, F.col("r") * 8))
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("r")).select(
+        (F.col("vec_id") * 8 + F.col("r")).alias("query_id"), turned.alias("embedding")
+    )
+
+
+def _top_many(distance: str) -> str:
+    return f"""WITH {MANY_SQL} SELECT query_id, 'v' || vec_id AS entity_id, vec_id AS chunk_index, round(d, 6) AS score, rank FROM (
+  SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, 'v' || vec_id) AS rank FROM (
+    SELECT query_id, vec_id, round({distance}, 9) AS d FROM embeddings e, asked)) WHERE rank <= 3"""
+
+
+@query("semantic_many", _top_many("list_distance(e.embedding::double[], qv)"))
+def semantic_many(spark, sf):
+    """A query table that does not fit a broadcast, over cells of vectors."""
+    return ranked(S.nearest(vector_index(spark, sf), many_queries(spark, sf), 3, DIM), "distance")
+
+
+@query("semantic_many_cosine", _top_many("1 - list_cosine_similarity(e.embedding::double[], qv)"))
+def semantic_many_cosine(spark, sf):
+    return ranked(S.nearest(vector_index(spark, sf), many_queries(spark, sf), 3, DIM, "cosine"), "distance")
+
+
+@query("search_cells", f"WITH {CENTRES_SQL} {topk_sql('embeddings', 5)}")
+def search_cells(spark, sf):
+    """A kept index of 12 cells, searched exactly in two rounds."""
+    path = scratch_path(spark, "vectors")
+    V.write_vector_index(vector_index(spark, sf), path, DIM, cells=12)
+    return ranked(V.nearest_written(V.VectorIndex(spark, path), centroids(spark, sf), 5), "distance")
+
+
+@query("search_ann_all_cells", f"WITH {CENTRES_SQL} {topk_sql('embeddings', 5)}")
+def search_ann_all_cells(spark, sf):
+    """The approximate search with all cells probed."""
+    path = scratch_path(spark, "vectors")
+    V.write_vector_index(vector_index(spark, sf), path, DIM, cells=12)
+    return ranked(V.nearest_written(V.VectorIndex(spark, path), centroids(spark, sf), 5, probe=12), "distance")
+
+
+@query("search_ann_recall")
+def search_ann_recall(spark, sf):
+    """Recall at 10 of the approximate search, every vector a query, by cells probed of 12."""
+    path = scratch_path(spark, "vectors")
+    index = vector_index(spark, sf)
+    V.write_vector_index(index, path, DIM, cells=12)
+    written, asked = V.VectorIndex(spark, path), index.select(F.col("chunk_index").alias("query_id"), "embedding")
+    exact = durable(V.nearest_written(written, asked, 10))
+    rows = [V.recall(exact, V.nearest_written(written, asked, 10, probe=p)).withColumn("probe", F.lit(p)) for p in (3, 6, 9, 12)]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("embed_documents")
 def embed_documents(spark, sf):
     return embed(text_index(spark, sf), hashed_embedder(DIM)).select("entity_id", F.size("embedding").alias("dim"))

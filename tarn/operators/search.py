@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tarn.functions.arrays import let
 from tarn.functions.sizes import broadcast_if_small, is_small
 from tarn.operators.entities import entity_key
-from tarn.session import durable
+from tarn.session import durable, scratch_path
 
 KEY = ["entity_id", "rep_name", "chunk_index"]
 SCOPE = ["workspace_id", "collection_id"]
@@ -30,9 +30,6 @@ SCOPE = ["workspace_id", "collection_id"]
 BROADCAST_QUERIES = 2048
 # Mean size of the query batches of an approximate search.
 ANN_BATCH = 1536
-# Block sides of the grid used beyond that.
-GRID_QUERIES = 1024
-GRID_VECTORS = 16384
 # Rows of a result or term list that may be broadcast.
 SMALL_ROWS = 500_000
 # Cells of a distance matrix held at once.
@@ -169,15 +166,19 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, dim: int, metric: str
 
     A query batch up to ``BROADCAST_QUERIES`` goes to every task as a matrix;
     the index is scanned once, each task keeps ``k`` rows per query, and only
-    those are shuffled. Larger batches are cut into blocks, see ``_grid``.
+    those are shuffled. A larger query table is searched over cells of vectors that are
+    written for it, see ``vector_index``, where an index to keep can be written too.
     """
     index = _searchable(index, dim)
     queries = conforming_vectors(queries, dim).select("query_id", "embedding")
     head = queries.orderBy("query_id").limit(BROADCAST_QUERIES + 1).collect()
     if len(head) > BROADCAST_QUERIES:
-        partial = _grid(index, queries, k, metric, _result_schema(index, queries))
-    else:
-        partial = _scan(index, head, k, dim, metric, _result_schema(index, queries))
+        from tarn.operators.vector_index import VectorIndex, nearest_written, write_vector_index
+
+        path = scratch_path(index.sparkSession, "vectors")
+        write_vector_index(index, path, dim, metric=metric)
+        return nearest_written(VectorIndex(index.sparkSession, path), queries, k)
+    partial = _scan(index, head, k, dim, metric, _result_schema(index, queries))
     return best_k(partial, k, [F.col("distance"), *map(F.col, chunk_key(index))])
 
 
@@ -212,31 +213,6 @@ def _scan(index: DataFrame, head: list, k: int, dim: int, metric: str, schema: T
     return index.mapInArrow(scan, schema)
 
 
-def _grid(index: DataFrame, queries: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
-    """Exact search for a query table of any size: vectors and queries are cut
-    into blocks by a hash of their key and every pair of blocks meets once, with
-    both sides of a pair bounded in size whatever the data looks like."""
-    key = chunk_key(index)
-    n_query_blocks = -(-queries.count() // GRID_QUERIES)
-    n_vector_blocks = max(1, -(-index.count() // GRID_VECTORS))
-    left = index.withColumn("vb", F.pmod(F.xxhash64(*key), F.lit(n_vector_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long")))
-    )
-    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks))).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_vector_blocks - 1).cast("long")))
-    )
-
-    def meet(vectors: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        top = _TopK(len(batch), k, key)
-        if len(vectors) and len(batch):
-            q = np.stack(batch["embedding"].to_list()).astype(np.float64)
-            v = np.stack(vectors["embedding"].to_list()).astype(np.float64)
-            _scan_block(top, q, vectors[key], v, metric)
-        return top.result(batch["query_id"].to_list())
-
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(meet, schema)
-
-
 def search_semantic(index: DataFrame, queries: DataFrame, k: int = 5, dim: int = 1024,
                     metric: str = "l2") -> DataFrame:
     """Nearest chunks with their payload; ``score`` is the distance, ascending."""

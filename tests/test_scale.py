@@ -10,6 +10,7 @@ from tarn.functions.ordered import carry_last, ordered_blocks, previous, running
 from tarn.functions.rowid import with_row_id
 from tarn.operators import chunking as C
 from tarn.operators import search as S
+from tarn.operators import vector_index as V
 
 
 @pytest.fixture(autouse=True)
@@ -109,11 +110,43 @@ def test_nearest_with_many_copies(spark, monkeypatch):
     want = brute(data, picks, 7)
     assert ranked(S.nearest(index, queries, 7, 8)) == want
     monkeypatch.setattr(S, "BROADCAST_QUERIES", 2)
-    monkeypatch.setattr(S, "GRID_QUERIES", 2)
-    monkeypatch.setattr(S, "GRID_VECTORS", 100)
+    monkeypatch.setattr(V, "CELL_ROWS", 100)
+    monkeypatch.setattr(V, "PART", 2)
     assert ranked(S.nearest(index, queries, 7, 8)) == want
 
 
+def test_cells_are_exact_and_skip(spark, tmp_path):
+    """Clustered vectors: two rounds are exact, and few cells hold nearly all neighbours."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(20, 8)) * 10
+    data = middles[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 8))
+    rows = [("e", "canonical_md", i, v.astype("float32").tolist()) for i, v in enumerate(data)]
+    index = spark.createDataFrame(rows, "entity_id string, rep_name string, chunk_index long, embedding array<float>")
+    queries = index.filter("chunk_index % 7 = 0").select(F.col("chunk_index").alias("query_id"), "embedding")
+    for metric in ("l2", "cosine"):
+        path = str(tmp_path / metric)
+        V.write_vector_index(index, path, 8, cells=20, metric=metric)
+        written = V.VectorIndex(spark, path)
+        assert written.n.sum() == 1500 and len(written.n) > 10
+        exact = V.nearest_written(written, queries, 10)
+        assert ranked(exact) == ranked(S.nearest(index, queries, 10, 8, metric))
+        assert V.recall(exact, V.nearest_written(written, queries, 10, probe=3)).first()["recall"] >= 0.9
+    read = V._pairs(written, queries.withColumn("kth", F.lit(0.0)), 10, None, True).count()
+    assert read < 0.3 * queries.count() * 20
+
+
+def test_cells_of_odd_tables(spark, tmp_path):
+    schema = "entity_id string, chunk_index long, embedding array<float>"
+    none = spark.createDataFrame([("a", 0, None), ("b", 0, [1.0])], schema)
+    V.write_vector_index(none, str(tmp_path / "none"), 2)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<float>")
+    assert V.nearest_written(V.VectorIndex(spark, str(tmp_path / "none")), asked, 3).count() == 0
+    few = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 0, [1.0, 0.0]), ("c", 0, [0.0, 5.0])], schema)
+    V.write_vector_index(few, str(tmp_path / "few"), 2, cells=9)
+    found = V.nearest_written(V.VectorIndex(spark, str(tmp_path / "few")), asked, 5).orderBy("rank").collect()
+    assert [(r["query_id"], r["entity_id"], r["rank"]) for r in found] == [(1, "a", 1), (1, "b", 2), (1, "c", 3)]
+
+
 def test_ann_with_all_cells_is_exact(spark):
     data, index = vectors(spark, 400)
     queries = index.filter("chunk_index < 5").select(F.col("chunk_index").alias("query_id"), "embedding")
