@@ -470,12 +470,33 @@ def search_ann_recall(spark, sf):
     return reduce(DataFrame.unionByName, rows)
 
 
-@query("embed_documents")
+def _embed_sql(source: str, key: str, dim: int) -> str:
+    return rf"""WITH tok AS (
+  SELECT {key}, t, sha256(t) AS h, count(*) AS n
+  FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS t FROM {source}) GROUP BY ALL),
+slots AS (
+  SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % {dim} AS slot, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN n ELSE -n END)::DOUBLE AS c
+  FROM tok GROUP BY ALL),
+vectors AS (SELECT {key}, string_agg(slot || ':' || printf('%.5f', (c / z)::FLOAT::DOUBLE), ',' ORDER BY slot) AS v
+  FROM slots JOIN (SELECT {key}, sqrt(sum(c * c)) AS z FROM slots GROUP BY ALL) USING ({key}) WHERE c <> 0 GROUP BY ALL)
+SELECT {key}, coalesce(v, '') AS v FROM {source} LEFT JOIN vectors USING ({key})"""
+
+
+def _spelled(vector: str):
+    """The components of a vector that are not zero, with their places."""
+    placed = F.transform(vector, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x")))
+    return F.array_join(
+        F.transform(F.filter(placed, lambda p: p["x"] != 0), lambda p: F.format_string("%d:%.5f", p["i"], p["x"])), ","
+    )
+
+
+@query("embed_documents", _embed_sql("documents", "doc_id", DIM))
 def embed_documents(spark, sf):
-    return embed(text_index(spark, sf), hashed_embedder(DIM)).select("entity_id", F.size("embedding").alias("dim"))
+    rows = embed(texts(spark, sf, "documents", "doc_id", "text"), hashed_embedder(DIM))
+    return rows.select("doc_id", _spelled("embedding").alias("v"))
 
 
-@query("mock_embed")
+@query("mock_embed", _embed_sql("conversations", "conv_id, turn", 32))
 def mock_embedding(spark, sf):
     rows = mock_embed(table(spark, sf, "conversations").select("conv_id", "turn", "text"), 32)
-    return rows.select("conv_id", "turn", F.array_join(F.transform("embedding", lambda x: F.round(x, 5)), ",").alias("v"))
+    return rows.select("conv_id", "turn", _spelled("embedding").alias("v"))

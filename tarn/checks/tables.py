@@ -102,7 +102,17 @@ def preview_medium(spark, sf):
     return Q.preview(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
 
 
-@query("preview_large")
+@query(
+    "preview_large",
+    """WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS line_id, l_quantity FROM lineitem),
+head AS (SELECT * FROM l ORDER BY line_id LIMIT 30),
+size AS (SELECT count(*) AS n FROM l),
+small AS (SELECT * FROM l ORDER BY line_id LIMIT 50),
+tail AS (SELECT * FROM l ORDER BY line_id DESC LIMIT 50),
+drawn AS (SELECT * FROM l WHERE line_id NOT IN (SELECT line_id FROM head) ORDER BY sha256('0:' || line_id), line_id LIMIT 70)
+SELECT x.* FROM (SELECT * FROM head UNION ALL SELECT * FROM drawn) x, size WHERE n > 100000
+UNION ALL SELECT x.* FROM (SELECT * FROM small UNION ALL SELECT * FROM tail) x, size WHERE n <= 100000""",
+)
 def preview_large(spark, sf):
     lines = table(spark, sf, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     return Q.preview(lines.select("line_id", "l_quantity"), "line_id")

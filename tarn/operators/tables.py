@@ -95,7 +95,8 @@ def profile(df: DataFrame, top: int = 5) -> DataFrame:
 
 def preview(df: DataFrame, key: str, seed: int = 0, offset: int | None = None, limit: int | None = None) -> DataFrame:
     """Rows to show of a table: all below 1,000; head 50 and tail 50 up to 100,000;
-    above that head 30 and 70 by hash. An offset and limit override this."""
+    above that head 30 and 70 in the order of SHA-256 of the seed and key. An offset and limit
+    override this."""
     if limit is not None:
         return df.orderBy(key).offset(offset or 0).limit(limit)
     rows = df.limit(100_001).count()
@@ -105,7 +106,8 @@ def preview(df: DataFrame, key: str, seed: int = 0, offset: int | None = None, l
         return df.orderBy(key).limit(50).unionByName(df.orderBy(F.desc(key)).limit(50))
     head = df.orderBy(key).limit(30)
     rest = df.join(F.broadcast(head.select(key)), key, "left_anti")
-    return head.unionByName(rest.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(70))
+    drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    return head.unionByName(rest.orderBy(drawn, key).limit(70))
 
 
 # --- routing of questions -----------------------------------------------------------------
