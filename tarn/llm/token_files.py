@@ -21,6 +21,10 @@ SEQUENCE = 1024
 BATCH = 256
 DOC_BATCH = 8192
 
+#: Bytes of text in a range and so in a pair of files; ranges smaller than the second are not
+#: made for the sake of more tasks.
+RANGE_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
+
 MANIFEST = "part long, tokens_file string, docs_file string, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -102,7 +106,7 @@ class TokenFile:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text), in ascending doc_id order, below ``path``.
 
-    Rows are dealt out by ranges of the id; each task writes the sequences of its range and
+    Rows are dealt out by ranges of the id, as many as the size of the texts asks for; each task writes the sequences of its range and
     an index of its documents. Files are named by the attempt, and the returned manifest
     (``MANIFEST``, one row for each range that holds rows, in order of ``part``) lists those
     of the attempts that succeeded, so lost executors leave no wrong file in it. ``path`` is
@@ -152,7 +156,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> Da
                 }
             )
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id")
+    rows = docs.select("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(-(-size // RANGE_BYTES), min(usual, -(-size // LEAST_BYTES)), 1)
+    rows = rows.repartitionByRange(ranges, "doc_id")
     rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
     return durable(rows.mapInArrow(write, MANIFEST))
 
