@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions.located import FILE, ROW, located
 from tarn.functions.sizes import spread
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -73,10 +74,20 @@ ENT_SQL = """ent AS (
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as uploaded files."""
-    return table(spark, sf, "documents").select(
+    return _as_files(table(spark, sf, "documents"))
+
+
+def located_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the place of each row."""
+    return _as_files(located(table(spark, sf, "documents")), FILE, ROW)
+
+
+def _as_files(documents: DataFrame, *more: str) -> DataFrame:
+    return documents.select(
         F.col("lang").alias("workspace_id"),
         F.col("source").alias("collection_id"),
         "doc_id",
         F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"),
         F.col("text").cast("binary").alias("content"),
+        *more,
     )

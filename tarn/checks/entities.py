@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.checks.base import ENT_SQL, files, query, table, texts
+from tarn.checks.base import ENT_SQL, files, located_files, query, table, texts
+from tarn.functions.located import located
 from tarn.operators import entities as E
 from tarn.schema import FORMAT_ENTITY_TYPE, FORMAT_EXTENSIONS, UNFORMATTED_DOCUMENTS, ext_routes
 
@@ -42,6 +43,13 @@ def content_dedup(spark, sf):
     return E.dedup_by_content(rows, "doc_id")
 
 
+@query("content_dedup_texts", f"WITH {ENT_SQL} SELECT entity_id, workspace_id, collection_id, ent.doc_id, sha256(text) AS full_hash FROM ent JOIN documents USING (doc_id)")
+def content_dedup_texts(spark, sf):
+    """Contents of the last uploads, read again by their places."""
+    rows = E.dedup_by_content(E.with_content_id(located_files(spark, sf)), "doc_id")
+    return rows.select("entity_id", "workspace_id", "collection_id", "doc_id", F.sha2("content", 256).alias("full_hash"))
+
+
 @query(
     "new_entities",
     f"""WITH {ENT_SQL}
@@ -140,6 +148,17 @@ def url_entities(spark, sf):
     return E.url_entities(table(spark, sf, "pages").select("page_id", "url"), "url_hash", "page_id")
 
 
+@query(
+    "url_entities_html",
+    """WITH b AS (SELECT page_id, html, substr(sha256(regexp_replace(url, '#.*$', '')), 1, 16) AS entity_id FROM pages)
+SELECT entity_id, page_id, sha256(html) AS html_hash FROM b QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY page_id DESC) = 1""",
+)
+def url_entities_html(spark, sf):
+    """The last fetch of each URL with its body, read again by its place."""
+    rows = E.url_entities(located(table(spark, sf, "pages")), "url_hash", "page_id")
+    return rows.select("entity_id", "page_id", F.sha2("html", 256).alias("html_hash"))
+
+
 @query(
     "url_path_entities",
     r"""WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS hp FROM pages)

@@ -23,6 +23,7 @@ from tarn.functions.arrays import (
     runs,
     tail,
 )
+from tarn.functions.located import FILE, ROW, at_places, stored
 from tarn.functions.text import count_tokens, slugify, strip, truncate_center
 
 # Fixed value: characters that end a sentence.
@@ -776,16 +777,16 @@ def dedup_chunks(chunks: DataFrame, doc: str, within_document: bool = False,
                  text: str = "text") -> DataFrame:
     """Keep the first chunk of every distinct text.
 
-    One aggregate on the hash: copies collapse in the map tasks, so a text that
-    makes up much of the corpus does not travel.
+    One aggregate on the hash, in which copies collapse in the map tasks. Texts do not
+    travel: chunks without places (``functions/located.py``) are written once, and the
+    first ones are read again by their places.
     """
-    keyed = chunks.withColumn("chunk_hash", F.sha2(text, 256))
+    keyed = stored(chunks).withColumn("chunk_hash", F.sha2(text, 256))
     group = [doc, "chunk_hash"] if within_document else ["chunk_hash"]
-    return (
-        keyed.groupBy(*group)
-        .agg(F.min_by(F.struct(*chunks.columns), F.struct(doc, "chunk_index")).alias("_first"))
-        .select("_first.*", "chunk_hash")
+    first = keyed.groupBy(*group).agg(
+        F.min_by(F.struct(FILE, ROW), F.struct(doc, "chunk_index", FILE, ROW)).alias("_first")
     )
+    return at_places(keyed, first.select("_first.*"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str | list[str], bucket: int) -> DataFrame:

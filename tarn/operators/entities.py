@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.functions.located import FILE, ROW, at_places, is_located
 from tarn.functions.sizes import broadcast_if_small, is_small
 from tarn.functions.text import decode_text, file_extension, hash16
 from tarn.schema import REP_DIMS
@@ -52,8 +53,15 @@ def dedup_by_content(df: DataFrame, order: str, keys: Sequence[str] = ENTITY_KEY
     earlier than any other.
 
     An aggregate rather than a ranked window: copies collapse in each map task,
-    so a content that makes up much of the input does not travel.
+    so a content that makes up much of the input does not travel. Of rows with places
+    (``functions/located.py``) only keys, order and places travel, contents stay in their
+    files and the last writes are read again; places also settle equal orders.
     """
+    if is_located(df):
+        place, written = F.struct(FILE, ROW), F.col(order)
+        last = df.groupBy(*keys).agg(F.max_by(place, F.struct(written.isNotNull(), written, FILE, ROW)).alias("_last"))
+        kept = at_places(df, last.select("_last.*"))
+        return kept.select(*keys, *[c for c in kept.columns if c not in keys])
     rest = [c for c in df.columns if c not in keys]
     return (
         df.groupBy(*keys)
@@ -134,7 +142,8 @@ def modality_of(output_format: Column) -> Column:
 
 def url_entities(df: DataFrame, strategy: str = "url_hash", order: str = "seq", url: str = "url",
                  template: str = "{domain}/{path}") -> DataFrame:
-    """One entity per URL without its fragment; the last fetch wins."""
+    """One entity per URL without its fragment; the last fetch wins. Bodies of rows with places
+    are not shuffled, see :func:`dedup_by_content`."""
     bare = F.regexp_replace(url, "#.*$", "")
     host = F.coalesce(F.try_parse_url(bare, F.lit("HOST")), F.lit(""))
     path = F.regexp_replace(F.coalesce(F.try_parse_url(bare, F.lit("PATH")), F.lit("")), "^/+|/+$", "")

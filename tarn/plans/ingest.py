@@ -1,4 +1,4 @@
-"""From files to searchable chunks, as one lazy plan."""
+"""From files to searchable chunks."""
 
 from __future__ import annotations
 
@@ -7,15 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.located import FILE, ROW, at_places, stored
 from tarn.operators.chunking import ChunkConfig, chunk_documents, window_metadata
 from tarn.operators.embedding import EmbedFn, embed
-from tarn.operators.entities import ENTITY_KEY, decoded, dedup_by_content, new_entities, split_supported
+from tarn.operators.entities import ENTITY_KEY, decoded, new_entities, split_supported
 from tarn.schema import ENTITY_COLUMNS
+from tarn.session import durable
 
 
 @dataclass
 class Ingested:
-    """Tables an ingest run produces; nothing is computed until one is written."""
+    """Tables an ingest run produces. Contents have been hashed; chunks and vectors are computed
+    when they are written."""
 
     entities: DataFrame
     reps: DataFrame
@@ -29,13 +32,19 @@ def ingest(files: DataFrame, routes: DataFrame, now: Column, order: str, cfg: Ch
     """``files`` has ``workspace_id, collection_id, name, content`` and an ``order``
     column that says which of two identical uploads came last.
 
-    Copies collapse before anything is chunked; chunking and embedding work row by
-    row, so the only shuffle is the one that finds the copies.
+    Copies collapse before anything is chunked. Contents are hashed in one pass and stay in
+    their files; the last uploads are found by places (``functions/located.py``) and only
+    their texts are read again, so no content is shuffled. Files without places are written
+    to the shared folder first.
     """
-    accepted, rejected = split_supported(files, routes)
-    rows = dedup_by_content(new_entities(accepted.drop("entity_type", "format", "ext"), now), order)
-    text = decoded(rows).select("workspace_id", "collection_id", "entity_id", "text")
-    keyed = rows.select("workspace_id", "collection_id", "entity_id", "content_hash", F.length("content").cast("long").alias("size"))
+    accepted, rejected = split_supported(stored(files), routes)
+    uploads = new_entities(accepted.drop("entity_type", "format", "ext"), now)
+    known = uploads.withColumn("size", F.length("content").cast("long")).drop("content")
+    last = F.struct(F.col(order).isNotNull(), F.col(order), FILE, ROW)
+    rest = [c for c in known.columns if c not in ENTITY_KEY]
+    rows = durable(known.groupBy(*ENTITY_KEY).agg(F.max_by(F.struct(*rest), last).alias("_last")).select(*ENTITY_KEY, "_last.*"))
+    text = decoded(at_places(uploads, rows)).select("workspace_id", "collection_id", "entity_id", "text")
+    keyed = rows.select("workspace_id", "collection_id", "entity_id", "content_hash", "size")
     source = keyed.select(
         "*", F.lit("source_original").alias("rep_type"), F.lit("").alias("transform"),
         F.lit("").alias("input_content_hash"), F.lit("active").alias("status"), F.lit("text").alias("modality"),
@@ -49,6 +58,7 @@ def ingest(files: DataFrame, routes: DataFrame, now: Column, order: str, cfg: Ch
     if embedder is not None:
         chunks = embed(chunks, embedder)
     entities = rows.select(*ENTITY_COLUMNS)
+    rejected = rejected.drop(FILE, ROW)
     log = entities.select(*ENTITY_KEY, "version", "content_hash", now.alias("timestamp"), F.lit("ingest").alias("trigger"))
     return Ingested(entities, source.unionByName(canonical), chunks, rejected, log)
 
