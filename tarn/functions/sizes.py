@@ -22,8 +22,8 @@ def spread(scan: DataFrame) -> DataFrame:
 
     A small table, or one in a few large row groups, would run the work that
     follows in a few tasks. A scan with enough partitions is left alone, so a
-    large table is not shuffled. Only for plain scans: looking at the partitions
-    of a plan with shuffles would run them.
+    large table is not shuffled. Only for scans, also those joined with a broadcast
+    table: looking at the partitions of a plan with shuffles would run them.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

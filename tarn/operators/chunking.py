@@ -781,7 +781,7 @@ def dedup_chunks(chunks: DataFrame, doc: str, within_document: bool = False,
     travel: chunks without places (``functions/located.py``) are written once, and the
     first ones are read again by their places.
     """
-    keyed = stored(chunks).withColumn("chunk_hash", F.sha2(text, 256))
+    keyed = stored(chunks.withColumn("chunk_hash", F.sha2(text, 256)))
     group = [doc, "chunk_hash"] if within_document else ["chunk_hash"]
     first = keyed.groupBy(*group).agg(
         F.min_by(F.struct(FILE, ROW), F.struct(doc, "chunk_index", FILE, ROW)).alias("_first")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.located import FILE, ROW, at_places, stored
+from tarn.functions.sizes import spread
 from tarn.operators.chunking import ChunkConfig, chunk_documents, window_metadata
 from tarn.operators.embedding import EmbedFn, embed
 from tarn.operators.entities import ENTITY_KEY, decoded, new_entities, split_supported
@@ -43,7 +44,9 @@ def ingest(files: DataFrame, routes: DataFrame, now: Column, order: str, cfg: Ch
     last = F.struct(F.col(order).isNotNull(), F.col(order), FILE, ROW)
     rest = [c for c in known.columns if c not in ENTITY_KEY]
     rows = durable(known.groupBy(*ENTITY_KEY).agg(F.max_by(F.struct(*rest), last).alias("_last")).select(*ENTITY_KEY, "_last.*"))
-    text = decoded(at_places(uploads, rows)).select("workspace_id", "collection_id", "entity_id", "text")
+    # A table in fewer pieces than there are cores is dealt out before it is chunked.
+    kept = spread(at_places(uploads, rows).select(*ENTITY_KEY, "content"))
+    text = decoded(kept).select(*ENTITY_KEY, "text")
     keyed = rows.select("workspace_id", "collection_id", "entity_id", "content_hash", "size")
     source = keyed.select(
         "*", F.lit("source_original").alias("rep_type"), F.lit("").alias("transform"),

@@ -76,9 +76,15 @@ def test_texts_of_chunks_are_not_shuffled(spark):
     assert inside.count() == chunks.select("doc_id", "text").distinct().count()
 
 
-def test_ingest_shuffles_no_content(spark):
+def test_ingest_shuffles_no_content(spark, tmp_path):
     now = F.lit("2024-02-01").cast("timestamp")
-    done = ingest(located_files(spark, SF), ext_routes(spark), now, "doc_id")
+    # As many files as there are cores, or more.
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(16).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        done = ingest(located_files(spark, str(tmp_path)), ext_routes(spark), now, "doc_id")
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
     assert not {"content", "text"} & exchanged(done.chunks)
     assert "_file" not in done.rejected.columns
     keys = ["workspace_id", "collection_id", "entity_id"]
