@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.checks.base import ORACLES, query, table
@@ -44,6 +47,29 @@ def watch_scans(spark, sf):
     return scans[0].unionByName(scans[1]).unionByName(scans[2]).select("scan", "path", "event_type")
 
 
+@query(
+    "watch_folder_scans",
+    """SELECT DISTINCT 2 AS scan, lang, source, CASE lang WHEN 'de' THEN 'created' ELSE 'deleted' END AS event_type FROM documents WHERE lang IN ('de', 'fr')""",
+)
+def watch_folder_scans(spark, sf):
+    """Texts as files by language and source: German ones come between two scans, French ones go."""
+    folder, state = scratch_path(spark, "folder"), scratch_path(spark, "watch")
+    docs = table(spark, sf, "documents").select("lang", "source", "text")
+
+    def put(rows):
+        rows.repartition("lang", "source").write.partitionBy("lang", "source").mode("append").text(folder)
+
+    put(docs.where("lang <> 'de'"))
+    scans = [W.watch_folder(spark, folder, state)]
+    put(docs.where("lang = 'de'"))
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/lang=fr")
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    scans += [W.watch_folder(spark, folder, state) for _ in range(2)]
+    found = reduce(DataFrame.unionByName, [s.withColumn("scan", F.lit(i + 1)) for i, s in enumerate(scans)])
+    part = [F.regexp_extract("path", f"/{c}=([^/]*)/", 1).alias(c) for c in ("lang", "source")]
+    return found.select("scan", *part, "event_type").distinct()
+
+
 @query(
     "apply_changes",
     f"""WITH {CHANGES_SQL} SELECT path, event_type, CASE event_type WHEN 'deleted' THEN 'log' WHEN 'modified' THEN 'skip' ELSE 'ingest' END AS action, 'skip' AS policy FROM ev WHERE event_type IS NOT NULL

@@ -26,3 +26,56 @@ def test_tasks_after_an_end_are_new(spark, tmp_path):
     whole = T.dedup_tasks(spark.createDataFrame(rows, LOG), ["key"], ["ts"]).collect()
     assert seen == {(r["key"], r["task_id"]): (r["attempts"], r["status"]) for r in whole}
     assert seen["a", "a1"] == (2, "done") and seen["a", "a5"] == (1, "pending") and seen["b", "b5"] == (0, "pending")
+
+
+def test_watch_folder_opens_changed_files_only(spark, tmp_path):
+    import os
+
+    from tarn.streaming import changes as W
+
+    folder, state = tmp_path / "files", str(tmp_path / "state")
+    (folder / "sub dir").mkdir(parents=True)
+    names = ["a.md", "b.md", "c.md", "sub dir/d é#%20.md"]
+
+    def put(name, text, at=None):
+        (folder / name).write_text(text)
+        os.utime(folder / name, (at or 1_700_000_000,) * 2)
+
+    def scan():
+        found = W.watch_folder(spark, str(folder), state).collect()
+        return {(r["path"].split("/files/")[1], r["event_type"]) for r in found}
+
+    for name in names:
+        put(name, f"text of {name}")
+    assert scan() == set()  # a silent baseline
+    assert spark.read.parquet(state).count() == 4
+    # Rewritten with its size and time kept: it would be found if it were opened.
+    put("a.md", "TEXT of a.md")
+    assert scan() == set()
+    put("b.md", "touched later", 1_700_000_100)
+    put("c.md", "text of c.md", 1_700_000_100)  # touched, the same content
+    put(names[3], "another", 1_600_000_000)  # older than before
+    put("e.md", "e", 1_500_000_000)
+    assert scan() == {("b.md", "modified"), (names[3], "modified"), ("e.md", "created")}
+    assert scan() == set()
+    (folder / "b.md").unlink()
+    put(names[3], "")
+    assert scan() == {("b.md", "deleted"), (names[3], "deleted")}  # empty files are not listed
+    # More changed files than are named one by one.
+    W.NAMED_FILES, named = 1, W.NAMED_FILES
+    try:
+        put("c.md", "new", 1_700_000_200)
+        put("e.md", "new", 1_400_000_000)
+        assert scan() == {("c.md", "modified"), ("e.md", "modified")}
+    finally:
+        W.NAMED_FILES = named
+
+
+def test_listing_reads_no_content(spark, tmp_path):
+    from tarn.streaming import changes as W
+
+    (tmp_path / "x").write_text("x")
+    plan = W.list_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content:binary" not in plan
+    chosen = W.list_files(spark, str(tmp_path))
+    assert W.hash_files(spark, str(tmp_path), chosen.limit(0)).count() == 0
