@@ -279,6 +279,17 @@ def stream_task_ends(spark, sf):
     return followed(spark, T.dedup_stream(task_log(event_stream(spark, sf)), ["entity_id"], "seq"))
 
 
+@query("stream_task_folds", ORACLES["dedup_tasks"])
+def stream_task_folds(spark, sf):
+    """The whole log, in batches that pass on a table of pending tasks."""
+    out = scratch_path(spark, "folds")
+    T.follow_tasks(
+        task_log(event_stream(spark, sf)), scratch_path(spark, "folds-state"), scratch_path(spark, "folds-checkpoint"),
+        lambda changed, epoch: changed.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), ["entity_id"], "seq",
+    )
+    return last_told(spark.read.parquet(out))
+
+
 def followed(spark, changed):
     """The last state of every task of a stream of changes."""
     out = scratch_path(spark, "dedup")
@@ -291,8 +302,12 @@ def followed(spark, changed):
         .option("checkpointLocation", scratch_path(spark, "dedup-checkpoint")).trigger(availableNow=True).start()
     )
     query_.awaitTermination()
+    return last_told(spark.read.parquet(out))
+
+
+def last_told(told):
     last = F.max_by(F.struct("attempts", "status"), "epoch").alias("_r")
-    return spark.read.parquet(out).groupBy("entity_id", "task_id").agg(last).select("entity_id", "task_id", "_r.*")
+    return told.groupBy("entity_id", "task_id").agg(last).select("entity_id", "task_id", "_r.*")
 
 
 @query(

@@ -1,5 +1,9 @@
 """Streams keep their state from batch to batch."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from tarn.streaming import tasks as T
 
 LOG = "key string, ts long, op string, task_id string"
@@ -79,3 +83,70 @@ def test_listing_reads_no_content(spark, tmp_path):
     assert "content:binary" not in plan
     chosen = W.list_files(spark, str(tmp_path))
     assert W.hash_files(spark, str(tmp_path), chosen.limit(0)).count() == 0
+
+
+def plain_tasks(rows):
+    """Tasks of a log row by row."""
+    done, pending = [], {}
+    for key, _, op, task in sorted(rows, key=lambda r: (r[1], r[3], r[2] != "enqueue", r[2])):
+        if op == "enqueue":
+            first, again = pending.get(key, (task, -1))
+            pending[key] = (first, again + 1)
+        elif op in ("done", "failed") and key in pending:
+            done.append((key, *pending.pop(key), op))
+    return sorted(done + [(k, *v, "pending") for k, v in pending.items()], key=str)
+
+
+def test_stretches_compose_with_a_hot_key(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rnd = random.Random(7)
+    rows = []
+    for i in range(1200):
+        key = "hot" if i % 2 else rnd.choice(["a", "b", None])
+        rows.append((key, i // 3, rnd.choice(["enqueue"] * 4 + ["done", "failed", "recovered"]), f"t{rnd.randint(0, 300)}"))
+    rows += rows[:30]  # repeated rows
+    rows.sort(key=lambda r: r[1])
+    ended, pending = [], None
+    edges = [0, 1, 400, 800, 1230]
+    try:
+        for a, b in zip(edges, edges[1:]):
+            # Equal times stay in one stretch, as batches are taken by time.
+            part = [r for r in rows if rows[a][1] <= r[1] and (b == 1230 or r[1] < rows[b][1])]
+            log = spark.createDataFrame(part, LOG).repartition(5).withColumn("since", F.lit("clash"))
+            pending = T.no_tasks(log, ["key"]) if pending is None else pending
+            changed, pending = T.fold_tasks(log, pending, ["key"])
+            ended += [tuple(r) for r in changed.where("status <> 'pending'").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = plain_tasks(rows)
+    assert sorted(ended, key=str) == [w for w in want if w[3] != "pending"]
+    left = sorted(((r["key"], r["task_id"], r["attempts"], "pending") for r in pending.collect()), key=str)
+    assert left == [w for w in want if w[3] == "pending"]
+
+
+def test_no_rows_and_expiry(spark):
+    log = spark.createDataFrame([("a", 1, "enqueue", "a1"), ("a", 9, "enqueue", "a2"), ("b", 2, "enqueue", "b1")], LOG)
+    changed, pending = T.fold_tasks(log, T.no_tasks(log, ["key"]), ["key"], expire_after=F.lit(5))
+    assert sorted(tuple(r) for r in changed.collect()) == [("a", "a1", 1, "pending"), ("b", "b1", 0, "expired")]
+    none = log.limit(0)
+    changed, after = T.fold_tasks(none, pending, ["key"], expire_after=F.lit(5))
+    assert changed.count() == 0 and after.collect() == pending.collect()
+    later = spark.createDataFrame([("c", 15, "enqueue", "c1"), (None, 15, "enqueue", None)], LOG)
+    changed, after = T.fold_tasks(later, after, ["key"], expire_after=F.lit(5))
+    assert {(r["key"], r["status"]) for r in changed.collect()} == {("a", "expired"), ("c", "pending"), (None, "pending")}
+    assert {r["key"] for r in after.collect()} == {"c", None}
+
+
+def test_followed_tasks_keep_their_state(spark, tmp_path):
+    log, told = str(tmp_path / "log"), []
+    for batch in (
+        [("a", 1, "enqueue", "a1"), ("b", 1, "enqueue", "b1")],
+        [("a", 3, "enqueue", "a3"), ("a", 4, "done", "a1"), ("a", 5, "enqueue", "a5")],
+    ):
+        spark.createDataFrame(batch, LOG).coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(LOG).parquet(log)
+        T.follow_tasks(
+            stream, str(tmp_path / "state"), str(tmp_path / "checkpoint"),
+            lambda changed, epoch: told.extend((epoch, *r) for r in changed.collect()), ["key"],
+        )
+    assert sorted(told) == [(0, "a", "a1", 0, "pending"), (0, "b", "b1", 0, "pending"), (1, "a", "a1", 1, "done"), (1, "a", "a5", 0, "pending")]
