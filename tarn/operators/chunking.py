@@ -26,6 +26,9 @@ from tarn.functions.arrays import (
 from tarn.functions.located import FILE, ROW, at_places, stored
 from tarn.functions.text import count_tokens, slugify, strip, truncate_center
 
+# Pieces whose windows are in one row at a time.
+WINDOW_BLOCK = 64
+
 # Fixed value: characters that end a sentence.
 SENTENCE_ENDS = "。！？.!?"
 
@@ -582,26 +585,52 @@ def window_texts(texts: Column, centre: Column, limit: int) -> Column:
     return F.when(total > limit, truncate_window(texts, centre, limit)).otherwise(texts)
 
 
-def with_window(pieces: Column, cfg: ChunkConfig, field: str = "text") -> Column:
-    """Per piece the window around it, joined over ``field``."""
+def explode_windows(df: DataFrame, keep: list[str], cfg: ChunkConfig, field: str = "text") -> DataFrame:
+    """One row for each of ``_pieces``: ``chunk_index``, the piece as ``_piece``, and ``_window``,
+    the window around it joined over ``field``.
+
+    Pieces leave their document in blocks, with copies of the few pieces next to a block's
+    borders, and windows are built inside a block. So a row holds the windows of one block,
+    however long the document is, and nothing is shuffled.
+    """
     half = cfg.half_window
 
-    def one(p: Column, i: Column) -> Column:
-        lo = F.greatest(i - half, F.lit(0))
-        around = F.slice(pieces, lo + 1, F.least(i + half + 1, F.size(pieces)) - lo)
+    def block(pieces: Column, at: Column) -> Column:
+        low = F.greatest(at - half, F.lit(0))
+        high = F.least(at + WINDOW_BLOCK + half, F.size(pieces))
+        return F.struct(
+            at.alias("at"), (at - low).alias("lead"), F.least(F.lit(WINDOW_BLOCK), F.size(pieces) - at).alias("n"),
+            F.slice(pieces, low + 1, high - low).alias("pieces"),
+        )
+
+    def blocks(pieces: Column) -> Column:
+        starts = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.size(pieces) - 1, F.lit(WINDOW_BLOCK)))
+        return F.transform(starts, lambda at: block(pieces, at))
+
+    def one(pieces: Column, i: Column) -> Column:
+        low = F.greatest(i - half, F.lit(0))
+        around = F.slice(pieces, low + 1, F.least(i + half + 1, F.size(pieces)) - low)
         kept = let(
             F.transform(around, lambda c: c[field]),
-            lambda texts: window_texts(texts, i - lo, cfg.max_window_length),
+            lambda texts: window_texts(texts, i - low, cfg.max_window_length),
         )
-        return let(
+        window = let(
             kept,
             lambda w: F.struct(
                 F.array_join(w, "\n\n").alias("embedding_text"),
                 F.size(w).cast("long").alias("window_size"),
             ),
         )
+        return F.struct(F.get(pieces, i).alias("piece"), window.alias("window"))
 
-    return F.transform(pieces, one)
+    cut = explode_rows(df, keep, let(F.col("_pieces"), blocks), "_number", "_cut")
+    inside = F.sequence(F.col("_cut.lead"), F.col("_cut.lead") + F.col("_cut.n") - 1)
+    rows = let(F.col("_cut.pieces"), lambda pieces: F.transform(inside, lambda i: one(pieces, i)))
+    at = F.col("_cut.at").alias("_at")
+    return explode_rows(cut.select(*keep, at, "_cut"), [*keep, "_at"], rows, "_place", "_row").select(
+        *keep, (F.col("_at") + F.col("_place")).alias("chunk_index"),
+        F.col("_row.piece").alias("_piece"), F.col("_row.window").alias("_window"),
+    )
 
 
 def window_metadata(df: DataFrame, caller: str | None = None) -> DataFrame:
@@ -680,16 +709,8 @@ def chunk_documents(df: DataFrame, cfg: ChunkConfig | None = None, text: str = "
         *keep, header_sections(F.col(text)).alias("_sections")
     )
     pieces = _with_pieces(sections, cfg, whole=True)
-    windows = pieces.withColumn("_windows", with_window(F.col("_pieces"), cfg))
-    return with_anchor(
-        explode_rows(windows, keep, F.arrays_zip("_pieces", "_windows"), "chunk_index", "_z")
-        .select(
-            *keep,
-            "chunk_index",
-            "_z._pieces.*",
-            "_z._windows.*",
-        )
-    )
+    windows = explode_windows(pieces, keep, cfg)
+    return with_anchor(windows.select(*keep, "chunk_index", "_piece.*", "_window.*"))
 
 
 def chunk_stats(chunks: DataFrame, *keys: str) -> DataFrame:

@@ -204,3 +204,20 @@ def test_packing_against_brute_force(spark):
     for r in df.select("id", C.pack(F.transform("sizes", lambda n: F.floor(n / 4)), 12).alias("g")).collect():
         want = greedy(cases[r["id"]], 12)
         assert [(g["first"], g["last"]) for g in r["g"]] == [(w[0], w[-1]) for w in want]
+
+
+def test_windows_of_a_long_document_are_built_in_blocks(spark, monkeypatch):
+    text = "\n\n".join(f"Paragraph {i} of the text has some words." for i in range(300))
+    docs = spark.createDataFrame([(1, text, 7), (2, "short", 8), (3, "", 9), (4, None, 9)], "id long, text string, at int")
+    cfg = C.ChunkConfig(chunk_tokens=8)
+    got = {}
+    for block in (1, 5, 64, 10_000):
+        monkeypatch.setattr(C, "WINDOW_BLOCK", block)
+        got[block] = C.chunk_documents(docs, cfg).orderBy("id", "chunk_index").collect()
+    assert len(got[64]) > 200 and got[64][0]["at"] == 7
+    assert got[1] == got[5] == got[64] == got[10_000]
+    own = [r["text"] for r in got[64] if r["id"] == 1]
+    assert [r["chunk_index"] for r in got[64] if r["id"] == 1] == list(range(len(own)))
+    for i in (0, 3, 63, 64, 67, 130, len(own) - 1):
+        around = own[max(0, i - cfg.half_window): i + cfg.half_window + 1]
+        assert got[64][i]["embedding_text"] == "\n\n".join(around)
