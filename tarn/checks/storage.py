@@ -27,7 +27,10 @@ def scan_corpus(spark, sf):
         F.col("lang").alias("workspace"), F.col("source").alias("collection"),
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity"), F.lit("source").alias("stage"),
         F.lit("original").alias("file"), F.col("text").alias("value"),
-    ).repartition("entity").write.partitionBy(*where).option("lineSep", "\x00").text(root)
+    ).repartition("entity").write.partitionBy(*where).option("lineSep", "\x00").option(
+        # The tasks move their own files: as many folders as documents are too many for the driver.
+        "mapreduce.fileoutputcommitter.algorithm.version", "2"
+    ).text(root)
     files = R.scan_corpus(spark, root)
     # The text writer ends every record with its separator.
     body = F.expr("substring(content, 1, length(content) - 1)")
