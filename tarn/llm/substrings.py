@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.batches import mix, prefix_hash, slices, substring_hash
+from tarn.llm.passages import covered, shared_windows
 from tarn.session import durable
 
 LENGTH = 400
@@ -293,7 +294,9 @@ def _repeats(length: int):
 def _finish(length: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
-            spans_out, removed, digest, left = [], [], [], []
+            spans_out, removed, digest, left, shared = [], [], [], [], []
+            for starts in rows.column("starts"):
+                shared.append(covered(starts.values.to_numpy()) if starts.is_valid else 0)
             for i, runs in enumerate(rows.column("runs").to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]]
                 edge = np.zeros(len(text) + 1, np.int64)
@@ -316,8 +319,9 @@ def _finish(length: int):
                     pa.array(spans_out, span),
                     pa.array(digest, pa.string()),
                     pa.array(left, pa.string()),
+                    pa.array(shared, pa.int64()),
                 ],
-                names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept_text"],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept_text", "n_shared_words"],
             )
 
     return finish
@@ -343,12 +347,14 @@ def _meeting(rows: DataFrame, parent: list[str]) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept_sha256, kept_text) of each of ``docs``.
+    """(doc_id, n_bytes, n_removed, spans, kept_sha256, kept_text, n_shared_words) of each of ``docs``.
 
     Every byte of the UTF-8 text that is covered by a string of ``length`` bytes which starts
     anywhere else in ``docs``, the same text included, is removed. Spans are the maximal
     removed runs; ``kept_text`` leaves out characters cut in two, ``kept_sha256`` is of all
-    remaining bytes.
+    remaining bytes. ``n_shared_words`` counts the words in passages of 50 words and more
+    that another row holds too, also where these are shorter than ``length`` bytes; they are
+    told by ``passages.shared_windows`` and not removed.
 
     Segments are exchanged as hashes; bytes are fetched for one of each distinct segment
     whose anchor occurs twice. Anchors with more than ``CROWD`` distinct segments, such as
@@ -392,12 +398,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         runs = durable(lifted.agg(F.flatten(F.collect_list(_moved())).alias("runs")))
     hits = segments.select("meet", "piece", "key", "doc_name", "start").join(runs, ["meet", "piece"])
     hits = hits.groupBy("key", "doc_name").agg(F.flatten(F.collect_list(_moved())).alias("runs"))
-    out = docs.join(hits, ["key", "doc_name"], "left")
+    out = docs.join(hits, ["key", "doc_name"], "left").join(shared_windows(docs), ["key", "doc_name"], "left")
     schema = (
         "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, "
-        "kept_sha256 string, kept_text string"
+        "kept_sha256 string, kept_text string, n_shared_words long"
     )
-    return out.select("doc_id", "text", "runs").mapInArrow(_finish(length), schema)
+    return out.select("doc_id", "text", "runs", "starts").mapInArrow(_finish(length), schema)
 
 
 def _moved():

@@ -98,3 +98,18 @@ def base_spans(text):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def shared_words(texts, length):
+    """Words of each text in sequences of ``length`` words that another text holds too."""
+    each = [words(t) for t in texts]
+    held = [{tuple(w[k : k + length]) for k in range(len(w) - length + 1)} for w in each]
+    seen = Counter(s for h in held for s in h)
+    out = []
+    for w in each:
+        gone = [False] * len(w)
+        for k in range(len(w) - length + 1):
+            if seen[tuple(w[k : k + length])] > 1:
+                gone[k : k + length] = [True] * length
+        out.append(sum(gone))
+    return out

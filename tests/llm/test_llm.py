@@ -120,6 +120,35 @@ def test_repeats(hard, small):
         ] == brute.repeats(rows, 400)
 
 
+def test_passages_shorter_than_the_removed_strings_are_counted(spark):
+    """Fifty short words are under 400 bytes: nothing is removed, but the documents share them."""
+    rng = np.random.default_rng(7)
+
+    def filler(n):
+        return " ".join(f"u{x}" for x in rng.integers(0, 10**9, n))
+
+    short = [" ".join(f"{k}{i}" for i in range(n)) for k, n in (("a", 50), ("b", 49), ("c", 63), ("d", 120))]
+    texts = [f"{filler(int(rng.integers(0, 90)))} {short[i % 4]}\n{filler(int(rng.integers(0, 90)))}" for i in range(40)]
+    texts += [f"{short[0]} {short[2]}", f"{short[3]} {short[3]}", filler(300), None, "", short[1], "x " * 200, "x " * 70]
+    texts += [filler(20) + " once " * 120, plain, plain + " tail", plain, plain.upper()]
+    same = [*enumerate(texts), (0, texts[0]), (None, texts[1])]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in same], SCHEMA).repartition(5)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shared_words"]) for r in remove_repeats(df).collect())
+    want = brute.shared_words([t for _, t in same], 50)
+    assert got == sorted((-1 if i is None else i, n) for (i, _), n in zip(same, want, strict=True))
+    assert want[0] >= 50 and want[1] > 49 and want[42] == 0
+
+
+def test_least_places_in_chunks(monkeypatch):
+    from tarn.llm import passages
+
+    monkeypatch.setattr(passages, "CHUNK_BITS", 6)
+    hashes = np.random.default_rng(2).integers(0, 40, 500).astype(np.uint64) << np.uint64(20)
+    got = passages.least_places(hashes, 43)
+    assert got.tolist() == [k + int(np.argmin(hashes[k : k + 43])) for k in range(458)]
+    assert len(passages.least_places(hashes[:42], 43)) == 0
+
+
 def test_repeats_at_a_crowded_anchor(spark):
     """A passage with other words around it in every text: its edges differ by a few bytes."""
     rng = np.random.default_rng(3)
