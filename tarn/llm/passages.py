@@ -126,14 +126,13 @@ def shared_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
         F.min("row").alias("r0"), F.max("row").alias("r1"), (F.min("piece") != F.max("piece")).alias("mixed")
     )
     met = durable(segments.join(places.where("r0 != r1").select("meet", "mixed"), "meet"))
-    pieces = met.groupBy("meet", "piece", "mixed", "size").agg(
-        F.min("row").alias("low"), F.max("row").alias("high"), F.min(F.struct("key", "doc_name", "first")).alias("one")
-    )
+    one = [F.min_by(c, "row").alias(c) for c in ("key", "doc_name", "first")]
+    pieces = met.groupBy("meet", "piece", "mixed", "size").agg(F.min("row").alias("low"), F.max("row").alias("high"), *one)
     pieces = durable(pieces)
     # Segments that several rows hold are shared from end to end.
     whole = pieces.where("low != high").select("meet", "piece", F.sequence(F.lit(0), F.col("size") - 1).alias("starts"))
-    w = F.struct("meet", "piece", "low", "high", F.col("one.first").alias("first"), "size")
-    wanted = pieces.where("mixed").groupBy("one.key", "one.doc_name").agg(F.collect_list(w).alias("wanted"))
+    w = F.struct("meet", "piece", "low", "high", "first", "size")
+    wanted = pieces.where("mixed").groupBy("key", "doc_name").agg(F.collect_list(w).alias("wanted"))
     texts = docs.select("key", "doc_name", "text").join(wanted, ["key", "doc_name"]).select("text", "wanted")
     windows = durable(texts.mapInArrow(_windows(words), WINDOWS))
     twice = windows.groupBy("meet", "window").agg(F.min("low").alias("r0"), F.max("high").alias("r1")).where("r0 != r1")

@@ -334,16 +334,17 @@ def _meeting(rows: DataFrame, parent: list[str]) -> DataFrame:
     Copies are summed before the shuffle, so a passage in a third of all rows is one row
     for each task.
     """
-    one = F.min(F.struct(*parent, "start", "size", "at")).alias("one")
-    distinct = rows.groupBy("meet", "piece").agg(F.sum("copies").alias("copies"), one)
+    place = F.xxhash64(*parent, "start")
+    one = [F.min_by(c, place).alias(c) for c in (*parent, "start", "size", "at")]
+    distinct = rows.groupBy("meet", "piece").agg(F.sum("copies").alias("copies"), *one)
     distinct = durable(distinct)
     places = distinct.groupBy("meet").agg(F.count(F.lit(1)).alias("crowd"), F.sum("copies").alias("all"))
     found = distinct.join(places.where("all > 1").select("meet", "crowd"), "meet")
     w = F.struct(
-        "meet", "piece", F.col("one.at").alias("at"), F.col("one.start").alias("start"), F.col("one.size").alias("size"),
+        "meet", "piece", "at", "start", "size",
         F.least("copies", F.lit(2)).cast("int").alias("copies"), "crowd",
     )
-    return found.select(*[F.col(f"one.{c}").alias(c) for c in parent], w.alias("w"))
+    return found.select(*parent, w.alias("w"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
