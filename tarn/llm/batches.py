@@ -103,6 +103,13 @@ def substring_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return mix(raw + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def gram_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """``substring_hash`` of every string of ``size``, without an index for each."""
+    n = max(0, len(prefix) - size)
+    raw = (prefix[size:] - prefix[:n]) * powers(len(prefix))[1][:n]
+    return mix(raw + _U(size * 0xD6E8FEB86659FD93 % (1 << 64)))
+
+
 def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
 

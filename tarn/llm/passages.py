@@ -15,25 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.batches import powers, prefix_hash, slices, substring_hash, word_bounds
+from tarn.llm.batches import gram_hash, powers, prefix_hash, slices, substring_hash, word_bounds
 from tarn.session import durable
 
 WORDS = 50
 #: Words of the sequences whose hashes are anchors.
 GRAM = 8
-#: Word places whose least hashes are found at once; a place takes so many low bits.
-CHUNK_BITS = 22
+#: Word places whose least hashes are found at once, at least; a place takes so many low bits.
+CHUNK_BITS = 16
 
 SEGMENTS = "meet long, piece long, row long, key long, doc_name long, first int, size int"
-WINDOWS = "meet long, piece long, low long, high long, at int, window long"
 
 
 def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each ``width`` neighbouring hashes the place of the leftmost of the least."""
     n = max(0, len(hashes) - width + 1)
     out = np.empty(n, np.int64)
-    step = (1 << CHUNK_BITS) - width
-    low = np.uint64((1 << CHUNK_BITS) - 1)
+    bits = max(CHUNK_BITS, (2 * width).bit_length())
+    step = (1 << bits) - width
+    low = np.uint64((1 << bits) - 1)
     for start in range(0, n, step):
         part = hashes[start : start + step + width - 1]
         count = len(part) - width + 1
@@ -64,8 +64,7 @@ def _segments(words: int):
             row, prefix = _word_prefix(data, offsets)
             if len(row) < words:
                 continue
-            gram = np.arange(len(row) - GRAM + 1)
-            anchor = substring_hash(prefix, gram, gram + GRAM)
+            anchor = gram_hash(prefix, GRAM)
             place = least_places(anchor, words - GRAM + 1)
             window = np.flatnonzero(row[: len(place)] == row[words - 1 :])
             if not len(window):
@@ -88,33 +87,25 @@ def _segments(words: int):
     return cut
 
 
-def _windows(words: int):
-    """Hashes of all windows of the wanted segments of each text."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches):
-            row, prefix = _word_prefix(data, offsets)
-            wanted = rows.column("wanted")
-            flat = wanted.flatten()
-            home = np.repeat(np.arange(rows.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
-            first = flat.field("first").to_numpy() + np.searchsorted(row, home)
-            size = flat.field("size").to_numpy().astype(np.int64)
-            owner = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
-            start = first[owner] + at
-            window = substring_hash(prefix, start, start + words).view(np.int64)
-            same = [flat.field(c).take(pa.array(owner)) for c in ("meet", "piece", "low", "high")]
-            yield pa.RecordBatch.from_arrays(
-                [*same, pa.array(at, pa.int32()), pa.array(window)],
-                names=["meet", "piece", "low", "high", "at", "window"],
-            )
-
-    return cut
+def window_hashes(
+    wanted: pa.ListArray, data: np.ndarray, offsets: np.ndarray, words: int = WORDS
+) -> dict[str, pa.Array]:
+    """Columns meet, piece, low, high, at and window: hashes of all windows of the wanted segments of each text."""
+    row, prefix = _word_prefix(data, offsets)
+    flat = wanted.flatten()
+    home = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))
+    first = flat.field("first").to_numpy() + np.searchsorted(row, home)
+    size = flat.field("size").to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    start = first[owner] + at
+    window = substring_hash(prefix, start, start + words).view(np.int64)
+    same = {c: flat.field(c).take(pa.array(owner)) for c in ("meet", "piece", "low", "high")}
+    return same | {"at": pa.array(at, pa.int32()), "window": pa.array(window)}
 
 
-def shared_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(key, doc_name, starts): the word places in each of ``docs`` (key, doc_name, text) where
-    ``words`` words start that another row of ``docs`` holds too. Places may come twice.
+def shared_segments(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (key, doc_name, text): all segments whose anchor several rows hold, and the distinct ones.
 
     A row is read as words, runs of bytes that are not ASCII white space.
     """
@@ -125,16 +116,28 @@ def shared_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     places = segments.groupBy("meet").agg(
         F.min("row").alias("r0"), F.max("row").alias("r1"), (F.min("piece") != F.max("piece")).alias("mixed")
     )
-    met = durable(segments.join(places.where("r0 != r1").select("meet", "mixed"), "meet"))
+    # Written, so that the join reads shuffled rows on both sides and a hot anchor can be split.
+    places = durable(places.where("r0 != r1").select("meet", "mixed"))
+    met = durable(segments.join(places, "meet"))
     one = [F.min_by(c, "row").alias(c) for c in ("key", "doc_name", "first")]
     pieces = met.groupBy("meet", "piece", "mixed", "size").agg(F.min("row").alias("low"), F.max("row").alias("high"), *one)
-    pieces = durable(pieces)
+    return met, durable(pieces)
+
+
+def wanted_segments(pieces: DataFrame) -> DataFrame:
+    """(key, doc_name, v): the distinct segments whose windows must be compared, and a text that holds each."""
+    v = F.struct("meet", "piece", "low", "high", "first", "size")
+    return pieces.where("mixed").select("key", "doc_name", v.alias("v"))
+
+
+def shared_windows(met: DataFrame, pieces: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, doc_name, starts): the word places of each text where a window starts that another row holds too.
+
+    ``met`` and ``pieces`` are of ``shared_segments``, ``windows`` has the ``window_hashes`` of the wanted ones.
+    Places may come twice.
+    """
     # Segments that several rows hold are shared from end to end.
     whole = pieces.where("low != high").select("meet", "piece", F.sequence(F.lit(0), F.col("size") - 1).alias("starts"))
-    w = F.struct("meet", "piece", "low", "high", "first", "size")
-    wanted = pieces.where("mixed").groupBy("key", "doc_name").agg(F.collect_list(w).alias("wanted"))
-    texts = docs.select("key", "doc_name", "text").join(wanted, ["key", "doc_name"]).select("text", "wanted")
-    windows = durable(texts.mapInArrow(_windows(words), WINDOWS))
     twice = windows.groupBy("meet", "window").agg(F.min("low").alias("r0"), F.max("high").alias("r1")).where("r0 != r1")
     some = windows.where("low = high").join(twice, ["meet", "window"])
     some = some.groupBy("meet", "piece").agg(F.collect_list("at").alias("starts"))

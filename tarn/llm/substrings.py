@@ -3,7 +3,7 @@
 Two equal strings of the minimum length have the same anchor, the least hash of the short
 strings inside them, at the same place. Texts are cut into segments of neighbouring start
 places with one anchor, and segments meet by anchor: what is equal meets in one task. There a
-Burrows-Wheeler transform of the segments tells which strings repeat.
+Burrows-Wheeler transform of what the segments may share tells which strings repeat.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.batches import mix, prefix_hash, slices, substring_hash
-from tarn.llm.passages import covered, shared_windows
+from tarn.llm.batches import gram_hash, mix, prefix_hash, slices, substring_hash
+from tarn.llm.passages import covered, shared_segments, shared_windows, wanted_segments, window_hashes
 from tarn.session import durable
 
 LENGTH = 400
@@ -27,15 +27,20 @@ GRAM = 32
 CROWD = 64
 #: Start places in the pieces of crowded anchors, level by level; the last meets by the whole string.
 FINER = (16, 1)
-#: Bytes that a task takes into one transform.
-TRANSFORM_BYTES = 1 << 20
+#: Bytes of pieces that a task takes into one transform.
+TRANSFORM_BYTES = 1 << 19
+#: Neighbouring start places that are left out of a transform together.
+GRID = 16
+#: Bytes of text that a task cuts at once.
+FETCH_BYTES = 1 << 19
 END = 0xFF  # no byte of UTF-8
 
-#: Bytes of text whose anchors are found at once; places in it take so many low bits.
-CHUNK_BITS = 22
+#: Bytes of text whose anchors are found at once, at least; places in it take so many low bits.
+CHUNK_BITS = 16
 
 SEGMENTS = "meet long, piece long, at int, size int, doc_id long, doc_name long, start long"
-PIECES = "meet long, piece long, at int, bytes binary, copies int, crowd long"
+#: Pieces with their bytes; or the windows of a piece, without bytes.
+FETCHED = "meet long, piece long, at int, bytes binary, copies int, crowd long, low long, high long, window long"
 CHILDREN = "meet long, piece long, at int, size int, up_meet long, up_piece long, start long, copies int"
 RUNS = "meet long, piece long, runs array<struct<first:int,last:int>>"
 
@@ -45,13 +50,13 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     least hashes of the short strings inside it."""
     n = len(data) - length + 1
     out_hash, out_place = np.empty(n, np.uint64), np.empty(n, np.int64)
-    step = (1 << CHUNK_BITS) - length
-    low = np.uint64((1 << CHUNK_BITS) - 1)
+    bits = max(CHUNK_BITS, (2 * length).bit_length())
+    step = (1 << bits) - length
+    low = np.uint64((1 << bits) - 1)
     for start in range(0, n, step):
         part = data[start : start + step + length - 1]
-        gram = np.arange(len(part) - GRAM + 1)
-        hashes = substring_hash(prefix_hash(part), gram, gram + GRAM)
-        best = (hashes & ~low) | gram.astype(np.uint64)
+        hashes = gram_hash(prefix_hash(part), GRAM)
+        best = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
         span, width = 1, length - GRAM + 1
         while span * 2 <= width:
             best = np.minimum(best[:-span], best[span:])
@@ -99,21 +104,31 @@ def _segments(length: int):
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted pieces of each parent."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 64):
-            part = batch.slice(k, 64)
-            out: list[tuple] = []
-            for raw, wanted in zip(part.column("bytes").to_pylist(), part.column("wanted").to_pylist(), strict=True):
-                for w in wanted:
-                    piece = raw[w["start"] : w["start"] + w["size"]]
-                    out.append((w["meet"], w["piece"], w["at"], piece, w["copies"], w["crowd"]))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)],
-                    names=["meet", "piece", "at", "bytes", "copies", "crowd"],
-                )
+    """The bytes of the wanted pieces of each parent, and the window hashes of its wanted segments."""
+    names = [x.split()[0] for x in FETCHED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
+
+    def table(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        full = [columns.get(c, pa.nulls(n, kind)) for c, kind in zip(names, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(full, names=names)
+
+    for rows, data, offsets in slices(batches, "bytes", FETCH_BYTES):
+        wanted = rows.column("wanted")
+        flat = wanted.flatten()
+        if len(flat):
+            home = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            first = offsets[home] + flat.field("start").to_numpy()
+            size = flat.field("size").to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            raw = data[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+            cut = pa.Array.from_buffers(
+                pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)]
+            )
+            same = {c: flat.field(c) for c in ("meet", "piece", "at", "copies", "crowd")}
+            yield table(len(size), same | {"bytes": cut})
+        if "windows" in rows.schema.names and len(rows.column("windows").flatten()):
+            windows = window_hashes(rows.column("windows"), data, offsets)
+            yield table(len(windows["at"]), windows)
 
 
 def _finer(block: int, length: int):
@@ -121,7 +136,7 @@ def _finer(block: int, length: int):
     strings of their block have in common."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             out: list[list[np.ndarray]] = []
             for r in batch.to_pylist():
                 text = np.frombuffer(r["bytes"], np.uint8)
@@ -241,16 +256,66 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def may_repeat(
+    data: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, group: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start places in ``data`` whose strings of ``length`` bytes may be in another
+    piece of the group too, as runs.
+
+    Pieces have their anchor ``at`` bytes from their ``begin``, and equal strings have it at the
+    same place. Start places are taken in blocks counted from the anchor; where no other piece
+    has what all strings of a block have in common, none of them repeats.
+    """
+    block = min(GRID, length)
+    high, low = at // block, (at - (size - length)) // block
+    count = high - low + 1
+    owner = np.repeat(np.arange(len(begin)), count)
+    number = high[owner] - (np.arange(len(owner)) - (np.cumsum(count) - count)[owner])
+    nearest = (begin + at)[owner] - number * block
+    core = substring_hash(prefix_hash(data), nearest, nearest - (block - 1) + length)
+    place = number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(group[owner].astype(np.uint64))
+    _, which, counts = np.unique(core ^ mix(place), return_inverse=True, return_counts=True)
+    wanted = np.flatnonzero(counts[which] > 1)
+    owner = owner[wanted]
+    first = np.maximum(nearest[wanted] - (block - 1), begin[owner])
+    last = np.minimum(nearest[wanted], (begin + size - length)[owner])
+    opens = np.append(True, (np.diff(wanted) != 1) | (np.diff(owner) != 0))[: len(wanted)]
+    return first[opens], last[np.append(opens[1:], True)[: len(wanted)]]
+
+
+def repeated_among(pieces: list[bytes], at: list[int], group: list[int], length: int) -> np.ndarray:
+    """``repeated_starts`` of the pieces, each followed by an end, without what cannot repeat."""
+    end = bytes([END])
+    data = np.frombuffer(end.join(pieces) + end, np.uint8)
+    repeated = np.zeros(len(data), bool)
+    if not pieces:
+        return repeated
+    size = np.array([len(p) for p in pieces])
+    begin = np.cumsum(size + 1) - size - 1
+    first, last = may_repeat(data, begin, size, np.array(at), np.array(group), length)
+    if len(first):
+        starts = last - first + 1
+        full = starts + length  # with the end
+        ends = np.cumsum(full)
+        inside = np.arange(ends[-1]) - np.repeat(ends - full, full)
+        source = inside + np.repeat(first, full)
+        part = data[source]
+        part[ends - 1] = END
+        found = repeated_starts(part, length) & (inside < np.repeat(starts, full))
+        repeated[source[found]] = True
+    return repeated
+
+
 def _repeats(length: int):
     """For distinct pieces sorted by ``meet``: the repeated starts of each, as runs."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch | None:
-        end = bytes([END])
         # Pieces that meet no other need no transform: they are here for their copies.
         met = [a["meet"] == b["meet"] for a, b in zip(rows[:-1], rows[1:], strict=True)]
         alone = [not (a or b) for a, b in zip([False, *met], [*met, False], strict=True)]
-        data = np.frombuffer(end.join(r["bytes"] for r, one in zip(rows, alone, strict=True) if not one) + end, np.uint8)
-        repeated = repeated_starts(data, length) if len(data) > 1 else np.zeros(1, bool)
+        several = [r for r, one in zip(rows, alone, strict=True) if not one]
+        number = np.cumsum([False, *(a["meet"] != b["meet"] for a, b in zip(several[:-1], several[1:], strict=True))])
+        repeated = repeated_among([r["bytes"] for r in several], [r["at"] for r in several], number, length)
         out, at = [], 0
         for r, one in zip(rows, alone, strict=True):
             n = len(r["bytes"])
@@ -375,14 +440,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     segments = segments.withColumn("key", F.coalesce("doc_id", F.lit(-1)))
     rows, parent = segments.withColumn("copies", F.lit(1)), ["key", "doc_name"]
     parents = docs.select(*parent, F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    met_words, word_pieces = shared_segments(docs)
     levels: list[tuple[DataFrame, DataFrame]] = []
+    windows = None
     for block in (*FINER, 0):
-        wanted = durable(_meeting(rows, parent).groupBy(*parent).agg(F.collect_list("w").alias("wanted")))
-        fetched = parents.join(wanted, parent).select("bytes", "wanted")
-        fetched = durable(fetched.mapInArrow(_fetch, PIECES))
+        wanted, lists = _meeting(rows, parent), [F.collect_list("w").alias("wanted")]
+        if windows is None:  # texts are fetched once for both
+            wanted = wanted.unionByName(wanted_segments(word_pieces), allowMissingColumns=True)
+            lists.append(F.collect_list("v").alias("windows"))
+        wanted = wanted.groupBy(*parent).agg(*lists)
+        fetched = parents.join(wanted, parent).drop(*parent)
+        fetched = durable(fetched.mapInArrow(_fetch, FETCHED))
+        if windows is None:
+            windows = fetched.where("window is not null").select("meet", "piece", "low", "high", "at", "window")
+        fetched = fetched.where("bytes is not null").drop("low", "high", "window")
         calm = fetched.where(F.col("crowd") <= CROWD) if block else fetched
         met = calm.repartition("meet").sortWithinPartitions("meet", "piece")
-        levels.append((rows, durable(met.drop("at", "crowd").mapInArrow(_repeats(length), RUNS))))
+        levels.append((rows, durable(met.drop("crowd").mapInArrow(_repeats(length), RUNS))))
         crowded = fetched.where(F.col("crowd") > CROWD).select("meet", "piece", "at", "bytes", "copies")
         if not block or crowded.isEmpty():
             break
@@ -399,7 +473,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         runs = durable(lifted.agg(F.flatten(F.collect_list(_moved())).alias("runs")))
     hits = segments.select("meet", "piece", "key", "doc_name", "start").join(runs, ["meet", "piece"])
     hits = hits.groupBy("key", "doc_name").agg(F.flatten(F.collect_list(_moved())).alias("runs"))
-    out = docs.join(hits, ["key", "doc_name"], "left").join(shared_windows(docs), ["key", "doc_name"], "left")
+    shared = shared_windows(met_words, word_pieces, windows)
+    out = docs.join(hits, ["key", "doc_name"], "left").join(shared, ["key", "doc_name"], "left")
     schema = (
         "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, "
         "kept_sha256 string, kept_text string, n_shared_words long"

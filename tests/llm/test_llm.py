@@ -163,6 +163,63 @@ def test_repeats_at_a_crowded_anchor(spark):
     assert [(r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got] == want
 
 
+def test_only_what_may_repeat_is_transformed(monkeypatch):
+    """Pieces around equal anchors that share more or less to its sides, some of them nothing."""
+    import pyarrow as pa
+
+    from tarn.llm import substrings
+
+    seen = []
+    real = substrings.repeated_starts
+    monkeypatch.setattr(substrings, "repeated_starts", lambda data, n: (seen.append(len(data)), real(data, n))[1])
+    rng = np.random.default_rng(11)
+
+    def noise(n):
+        return bytes(rng.integers(97, 123, n).astype(np.uint8))
+
+    rows = []
+    for meet in range(40):
+        left, anchor, right = noise(368), noise(32), noise(400)
+        for _ in range(int(rng.integers(2, 5))):
+            at = int(rng.integers(200, 369))
+            a, b = (int(x) for x in rng.choice([0, 20, 170, 200, 230, 368], 2))
+            before = (noise(368 - a) + left[368 - a :])[368 - at :]
+            after = (right[:b] + noise(400 - b))[: 368 + int(rng.integers(0, at))]
+            rows.append((meet - 20, len(rows), at, before + anchor + after, 1))
+    columns = zip(*rows, strict=True)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+        names=["meet", "piece", "at", "bytes", "copies"],
+    )
+    found = [r for out in substrings._repeats(400)(iter([batch])) for r in out.to_pylist()]
+    got = {r["piece"]: [s for x in r["runs"] for s in range(x["first"], x["last"] + 1)] for r in found}
+    raw = b"\xff".join(r[3] for r in rows)
+    starts = {r[1]: [s for s in range(len(r[3]) - 399) if raw.count(r[3][s : s + 400]) > 1] for r in rows}
+    want = {k: v for k, v in starts.items() if v}
+    assert got == want
+    # What is transformed lies within two blocks of what repeats.
+    most = sum(len(v) + 2 * substrings.GRID + 400 for v in want.values())
+    assert want and len(want) < len(rows) // 2 and sum(seen) <= most
+
+
+def test_anchors_and_gram_hashes_in_chunks(monkeypatch):
+    from tarn.llm import substrings
+    from tarn.llm.batches import gram_hash
+
+    data = np.random.default_rng(4).integers(97, 99, 900).astype(np.uint8)
+    prefix, gram = prefix_hash(data), np.arange(900 - 31)
+    assert (gram_hash(prefix, 32) == substring_hash(prefix, gram, gram + 32)).all()
+    assert len(gram_hash(prefix[:20], 32)) == 0
+    whole = substrings.anchors(data, 60)
+    monkeypatch.setattr(substrings, "CHUNK_BITS", 7)
+    places = substrings.anchors(data, 60)[1]
+    text = data.tobytes()
+    assert (places >= np.arange(841)).all() and (places + 32 <= np.arange(841) + 60).all()
+    equal = [(i, j) for i in range(841) for j in range(i) if text[i : i + 60] == text[j : j + 60]]
+    assert all(places[i] - i == places[j] - j for i, j in equal) and len(whole[0]) == 841
+
+
 def test_repeated_starts_by_brute_force():
     rng = np.random.default_rng(1)
     for length in (9, 20):
