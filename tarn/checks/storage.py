@@ -23,16 +23,14 @@ def scan_corpus(spark, sf):
     """Documents written as a corpus, one file each, and read back."""
     root = scratch_path(spark, "corpus")
     where = ["workspace", "collection", "entity", "stage", "file"]
-    table(spark, sf, "documents").select(
+    rows = table(spark, sf, "documents").select(
         F.col("lang").alias("workspace"), F.col("source").alias("collection"),
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("entity"), F.lit("source").alias("stage"),
         F.lit("original").alias("file"), F.col("text").alias("value"),
-    ).repartition("entity").write.partitionBy(*where).option("lineSep", "\x00").option(
-        # The tasks move their own files: as many folders as documents are too many for the driver.
-        "mapreduce.fileoutputcommitter.algorithm.version", "2"
-    ).text(root)
+    )
+    R.write_files(rows, root, where, end="\x00")
     files = R.scan_corpus(spark, root)
-    # The text writer ends every record with its separator.
+    # Every row is ended by the separator.
     body = F.expr("substring(content, 1, length(content) - 1)")
     return files.select(
         *R.ENTITY_KEY, "relpath", "rep_type", (F.col("size") - 1).alias("size"), F.sha2(body, 256).substr(1, 16).alias("content_hash")

@@ -231,3 +231,44 @@ def test_written_postings_know_their_buckets(spark, tmp_path):
             S.search_lexical_written(spark, path, asked, buckets=7)
     S.write_postings(words("term1"), path, 64)
     assert [r["query_id"] for r in S.search_lexical_written(spark, path, asked).collect()] == [1]
+
+
+def test_files_are_written_by_the_tasks_as_spark_would(spark, tmp_path):
+    """Escaped and missing names, rows that share a place, null and empty texts: the same rows as over
+    Spark's partitioned writer, and no second file, folder or checksum for a file."""
+    rows = spark.createDataFrame(
+        [("w", "a/b c", "e1", "one"), ("w", "a/b c", "e2", None), (None, "x=1%", "e3", ""), ("", "c", "e4", "twice"),
+         ("", "c", "e4", "twice"), ("w", "d", None, "nowhere"), ("ü", "_h", "e5", "ä")],
+        "workspace string, collection string, entity string, value string",
+    ).select("workspace", "collection", "entity", F.lit("source").alias("stage"), F.lit("original").alias("file"), "value")
+    where = ["workspace", "collection", "entity", "stage", "file"]
+    R.write_files(rows, str(tmp_path / "own"), where, end="\x00")
+    rows.repartition(*where).write.partitionBy(*where).option("lineSep", "\x00").text(str(tmp_path / "spark"))
+    own, other = (
+        sorted(map(tuple, R.scan_corpus(spark, str(tmp_path / x)).select(*ENTITY_KEY, "relpath", "size", F.hex("content")).collect()))
+        for x in ("own", "spark")
+    )
+    assert own == other and len(own) == 5
+    files = [p for p in (tmp_path / "own").rglob("*") if p.is_file()]
+    assert len(files) == 6 and not [p for p in files if p.name.startswith(".")]
+
+
+def test_hidden_collections_and_empty_corpora(spark, tmp_path):
+    for rel in ("ws/_hidden/e/source/original", "ws/.dot/e/source/original", "_ws/col/e/source/original", "ws/c/e/source/original"):
+        (tmp_path / "full" / rel).parent.mkdir(parents=True)
+        (tmp_path / "full" / rel).write_text("x")
+    (tmp_path / "none").mkdir()
+    assert [r["collection_id"] for r in R.scan_corpus(spark, str(tmp_path / "full")).collect()] == ["c"]
+    assert R.scan_corpus(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    rows = spark.range(2000).select(F.lit("w").alias("w"), F.lit("c").alias("c"), F.col("id").alias("e"), F.lit("s").alias("s"),
+                                    F.lit("o").alias("o"), F.lit("x").alias("value"))
+    R.write_files(rows, str(tmp_path / "c"), ["w", "c", "e", "s", "o"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = R.scan_corpus(spark, str(tmp_path / "c"))
+        assert found.rdd.getNumPartitions() <= 64 and found.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
