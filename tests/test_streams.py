@@ -150,3 +150,21 @@ def test_followed_tasks_keep_their_state(spark, tmp_path):
             lambda changed, epoch: told.extend((epoch, *r) for r in changed.collect()), ["key"],
         )
     assert sorted(told) == [(0, "a", "a1", 0, "pending"), (0, "b", "b1", 0, "pending"), (1, "a", "a1", 1, "done"), (1, "a", "a5", 0, "pending")]
+
+
+def test_dropped_documents_of_the_largest_size_and_empty_ones_are_picked_up(spark, tmp_path):
+    """4,194 bytes are within 0.004 MB: a separator in the file once made it too large."""
+    from tarn.checks.streaming import watch_created
+
+    rows = [(1, "x" * 4194), (2, "x" * 4195), (3, ""), (4, "ä" * 2097), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, watch_created(spark, str(tmp_path)).collect())) == [(1, 4194), (3, 0), (4, 2097), (5, 0)]
+
+
+def test_a_watch_leaves_too_large_files_closed(spark, tmp_path):
+    from tarn.operators.entities import filter_files
+
+    (tmp_path / "a.txt").write_text("x")
+    files = spark.read.format("binaryFile").load(str(tmp_path)).withColumn("name", F.col("path"))
+    plan = filter_files(files, [".TXT"], 0.004)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,4194)" in plan
