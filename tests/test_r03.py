@@ -136,3 +136,27 @@ def test_trigrams_are_sorted_not_hashed(monkeypatch):
         {"gram": code("cab"), "shard": 0, "docs": [0]},
         {"gram": code("abc"), "shard": 1, "docs": [0]}, {"gram": code("xab"), "shard": 1, "docs": [0]},
     ]
+
+
+def test_single_precision_only_chooses_what_is_computed_in_double():
+    """Vectors closer together than single precision tells, far from the origin, tiny, and too large for it."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1, 16))
+    near = base + rng.normal(size=(300, 16)) * 1e-7
+    for v, q in (
+        (near, near[:40] + 1e-8), (near + 1e4, near[:40] + 1e4), (near * 1e-22, near[:40] * 1e-22), (near * 1e16, near[:40] * 1e16),
+        (np.repeat(near[:30], 10, 0), near[:40]), (rng.normal(size=(300, 16)), rng.normal(size=(40, 16))),
+    ):
+        for metric in ("l2", "cosine"):
+            v1, q1 = V._geometry(v, metric), V._geometry(np.vstack([q, np.full((1, 16), np.nan)]), metric)
+            found = V._Nearest(q1, 5, metric)
+            assert (found.short is None) == (metric == "l2" and v.max() > 1e15)
+            for a in range(0, 300, 70):
+                part = v1[a : a + 70]
+                for rows in (np.arange(0, 40, 2), np.arange(1, 40, 2)):
+                    found.add(rows, np.arange(a, a + len(part)), part)
+            difference = q1[:40, None, :] - v1[None]
+            d = np.sqrt(np.square(difference).sum(2)) if metric == "l2" else 1.0 - (q1[:40, None, :] * v1[None]).sum(2)
+            d = np.round(d, 9)
+            order = np.array([np.lexsort((np.arange(300), row))[:5] for row in d])
+            assert (found.place[:40] == order).all() and (found.distance[:40] == np.take_along_axis(d, order, 1)).all()
